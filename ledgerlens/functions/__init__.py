@@ -1,6 +1,6 @@
 """Column-expression helpers (all JVM built-ins; no Python UDFs)."""
 
-from .exact import as_fraction, cents, ratio, ratio_scaled, scaled_to_double
+from .exact import as_fraction, big, cents, ratio, ratio_scaled, scaled_to_double
 from .fmt import dollars, year_month
 from .timeutil import (
     DEFAULT_AS_OF,
@@ -22,6 +22,7 @@ __all__ = [
     "DEFAULT_AS_OF",
     "add_months",
     "as_fraction",
+    "big",
     "cents",
     "dollars",
     "elapsed_days",

@@ -26,6 +26,12 @@ def _dec(c: Column | int) -> Column:
     return c.cast(DEC0)
 
 
+def big(c: Column | int) -> Column:
+    """Widen to decimal(38,0) before multiplying several factors: a product such as
+    users x rate x cents can pass the BIGINT range at production scale."""
+    return _dec(c)
+
+
 def ratio_scaled(num: Column | int, den: Column | int, digits: int = 0) -> Column:
     """``round_half_away_from_zero(num * 10**digits / den)`` as a BIGINT; NULL if den is 0."""
     n = _dec(num) * _dec(10**digits)

@@ -1,9 +1,23 @@
 """The analyses. Each is ``(tables, **params) -> DataFrame`` built from Spark's own
 relational and window operators; no Python UDFs."""
 
+from .churn import (
+    churn_cohort_curve,
+    churn_cohort_curve_true_months,
+    churn_reason_topn,
+    monthly_churn_rate,
+    monthly_churn_rate_active_base,
+    revenue_leakage,
+)
 from .metrics import annual_revenue_growth, mrr_by_plan, plan_user_distribution
 
 __all__ = [
+    "churn_cohort_curve",
+    "churn_cohort_curve_true_months",
+    "churn_reason_topn",
+    "monthly_churn_rate",
+    "monthly_churn_rate_active_base",
+    "revenue_leakage",
     "annual_revenue_growth",
     "mrr_by_plan",
     "plan_user_distribution",

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import operators as ops
 from .. import oracle
+from ..functions import DEFAULT_AS_OF
 from ..sources import Tables, fixture_tables
 
+AS_OF = DEFAULT_AS_OF
+
 
 @dataclass(frozen=True)
 class Analysis:
@@ -42,6 +45,26 @@ ANALYSES: list[Analysis] = [
     _a("plan_user_distribution", ops.plan_user_distribution, oracle.plan_user_distribution),
     _a("mrr_by_plan", ops.mrr_by_plan, oracle.mrr_by_plan),
     _a("annual_revenue_growth", ops.annual_revenue_growth, oracle.annual_revenue_growth),
+    _a("monthly_churn_rate", ops.monthly_churn_rate, oracle.monthly_churn_rate, as_of=AS_OF),
+    _a("churn_reason_topn", ops.churn_reason_topn, oracle.churn_reason_topn, as_of=AS_OF),
+    _a("churn_cohort_curve", ops.churn_cohort_curve, oracle.churn_cohort_curve),
+    _a("revenue_leakage", ops.revenue_leakage, oracle.revenue_leakage),
+]
+
+# Corrected variants of the specification's questionable semantics (separate names).
+ANALYSES += [
+    _a(
+        "monthly_churn_rate_active_base",
+        ops.monthly_churn_rate_active_base,
+        oracle.monthly_churn_rate_active_base,
+        as_of=AS_OF,
+    ),
+    _a(
+        "churn_cohort_curve_true_months",
+        ops.churn_cohort_curve_true_months,
+        oracle.churn_cohort_curve_true_months,
+        as_of=AS_OF,
+    ),
 ]
 
 REGISTRY: dict[str, Analysis] = {a.name: a for a in ANALYSES}
