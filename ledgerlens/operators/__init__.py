@@ -1,6 +1,7 @@
 """The analyses. Each is ``(tables, **params) -> DataFrame`` built from Spark's own
 relational and window operators; no Python UDFs."""
 
+from .adoption import feature_adoption, feature_stickiness, feature_usage_vs_churn
 from .churn import (
     churn_cohort_curve,
     churn_cohort_curve_true_months,
@@ -12,6 +13,9 @@ from .churn import (
 from .metrics import annual_revenue_growth, mrr_by_plan, plan_user_distribution
 
 __all__ = [
+    "feature_adoption",
+    "feature_stickiness",
+    "feature_usage_vs_churn",
     "churn_cohort_curve",
     "churn_cohort_curve_true_months",
     "churn_reason_topn",

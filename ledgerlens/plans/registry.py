@@ -17,7 +17,10 @@ from .. import oracle
 from ..functions import DEFAULT_AS_OF
 from ..sources import Tables, fixture_tables
 
+# Fixture parameters (FIXTURES.md section 3).
 AS_OF = DEFAULT_AS_OF
+AI_FEATURE = "ai_assistant"
+PLUS_BASE = 1000
 
 
 @dataclass(frozen=True)
@@ -49,6 +52,15 @@ ANALYSES: list[Analysis] = [
     _a("churn_reason_topn", ops.churn_reason_topn, oracle.churn_reason_topn, as_of=AS_OF),
     _a("churn_cohort_curve", ops.churn_cohort_curve, oracle.churn_cohort_curve),
     _a("revenue_leakage", ops.revenue_leakage, oracle.revenue_leakage),
+    _a("feature_adoption", ops.feature_adoption, oracle.feature_adoption, as_of=AS_OF),
+    _a(
+        "feature_usage_vs_churn",
+        ops.feature_usage_vs_churn,
+        oracle.feature_usage_vs_churn,
+        as_of=AS_OF,
+        feature=AI_FEATURE,
+    ),
+    _a("feature_stickiness", ops.feature_stickiness, oracle.feature_stickiness, as_of=AS_OF),
 ]
 
 # Corrected variants of the specification's questionable semantics (separate names).
@@ -65,6 +77,20 @@ ANALYSES += [
         oracle.churn_cohort_curve_true_months,
         as_of=AS_OF,
     ),
+    _a(
+        "feature_adoption_per_user",
+        ops.feature_adoption,
+        oracle.feature_adoption,
+        as_of=AS_OF,
+        per_user=True,
+    ),
+    _a(
+        "feature_stickiness_distinct",
+        ops.feature_stickiness,
+        oracle.feature_stickiness,
+        as_of=AS_OF,
+        distinct_retained=True,
+    ),
 ]
 
 REGISTRY: dict[str, Analysis] = {a.name: a for a in ANALYSES}
