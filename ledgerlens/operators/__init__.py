@@ -10,9 +10,13 @@ from .churn import (
     monthly_churn_rate_active_base,
     revenue_leakage,
 )
+from .geo import platform_mix_by_region, region_revenue_arpu, top_countries
 from .metrics import annual_revenue_growth, mrr_by_plan, plan_user_distribution
 
 __all__ = [
+    "platform_mix_by_region",
+    "region_revenue_arpu",
+    "top_countries",
     "feature_adoption",
     "feature_stickiness",
     "feature_usage_vs_churn",

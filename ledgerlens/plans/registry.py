@@ -61,6 +61,14 @@ ANALYSES: list[Analysis] = [
         feature=AI_FEATURE,
     ),
     _a("feature_stickiness", ops.feature_stickiness, oracle.feature_stickiness, as_of=AS_OF),
+    _a("region_revenue_arpu", ops.region_revenue_arpu, oracle.region_revenue_arpu),
+    _a("top_countries", ops.top_countries, oracle.top_countries),
+    _a(
+        "platform_mix_by_region",
+        ops.platform_mix_by_region,
+        oracle.platform_mix_by_region,
+        as_of=AS_OF,
+    ),
 ]
 
 # Corrected variants of the specification's questionable semantics (separate names).
@@ -91,6 +99,12 @@ ANALYSES += [
         as_of=AS_OF,
         distinct_retained=True,
     ),
+    _a(
+        "region_revenue_arpu_nulls_last",
+        ops.region_revenue_arpu,
+        oracle.region_revenue_arpu,
+        leader_nulls_first=False,
+    ),
 ]
 
 REGISTRY: dict[str, Analysis] = {a.name: a for a in ANALYSES}
