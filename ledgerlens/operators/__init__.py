@@ -10,10 +10,15 @@ from .churn import (
     monthly_churn_rate_active_base,
     revenue_leakage,
 )
+from .dashboard import health_dashboard
 from .geo import platform_mix_by_region, region_revenue_arpu, top_countries
 from .metrics import annual_revenue_growth, mrr_by_plan, plan_user_distribution
+from .upgrade import upgrade_rate, upgrade_triggers
 
 __all__ = [
+    "health_dashboard",
+    "upgrade_rate",
+    "upgrade_triggers",
     "platform_mix_by_region",
     "region_revenue_arpu",
     "top_countries",

@@ -69,6 +69,16 @@ ANALYSES: list[Analysis] = [
         oracle.platform_mix_by_region,
         as_of=AS_OF,
     ),
+    _a("upgrade_rate", ops.upgrade_rate, oracle.upgrade_rate),
+    _a("upgrade_triggers", ops.upgrade_triggers, oracle.upgrade_triggers),
+    _a(
+        "health_dashboard",
+        ops.health_dashboard,
+        oracle.health_dashboard,
+        as_of=AS_OF,
+        ai_feature=AI_FEATURE,
+        plus_base=PLUS_BASE,
+    ),
 ]
 
 # Corrected variants of the specification's questionable semantics (separate names).
