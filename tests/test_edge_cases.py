@@ -1,0 +1,129 @@
+"""Every analysis against its oracle SQL on hand-written edge-case tables, plus literal
+checks of the specification's traps."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import pytest
+
+import handmade
+from ledgerlens import oracle
+from ledgerlens import operators as ops
+from ledgerlens.plans.registry import REGISTRY
+from oracle_harness import compare
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return handmade.spark_tables(spark)
+
+
+@pytest.fixture(scope="module")
+def empty_tables(spark):
+    return handmade.spark_tables(spark, empty=True)
+
+
+def _check(analysis, t, con, **override):
+    params = {**analysis.params, **{k: v for k, v in override.items() if k in analysis.params}}
+    df = analysis.build(t, **params)
+    with oracle.business_tables_given():
+        sql = analysis.sql(**params)
+    problems = compare(df, con, sql)
+    assert not problems, "\n".join(problems)
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_matches_oracle_on_edge_cases(name, tables):
+    _check(REGISTRY[name], tables, handmade.duck_tables())
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_matches_oracle_on_empty_tables(name, empty_tables):
+    _check(REGISTRY[name], empty_tables, handmade.duck_tables(empty=True))
+
+
+@pytest.mark.parametrize(
+    "name", [n for n, a in REGISTRY.items() if "as_of" in a.params]
+)
+def test_matches_oracle_with_as_of_on_31st(name, tables):
+    # month arithmetic clamps: 31 Aug minus 6 months is 28 Feb in both engines
+    _check(REGISTRY[name], tables, handmade.duck_tables(), as_of=datetime(2025, 8, 31, 12, 0))
+
+
+def _rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_cohort_curve_month_component_wraps(tables):
+    # 12 months after and 12 months before signup both give offset 0; 13 months gives 1
+    # and 14 months (user 8, May 2024 -> Jul 2025) gives 2
+    got = _rows(ops.churn_cohort_curve(tables))
+    assert got == [(0, 2, 2, 100.0), (1, 1, 1, 100.0), (2, 2, 2, 100.0), (11, 1, 1, 100.0)]
+
+
+def test_cohort_curve_true_months(tables):
+    got = {r[0]: r[1:] for r in _rows(ops.churn_cohort_curve_true_months(tables))}
+    # offset 12 now exists (user 7: Jul 2024 -> Jul 2025); -12 months is dropped
+    assert got[12][0] == 1
+    assert got[2][0] == 1 and got[1][0] == 0
+
+
+def test_region_without_payments_nulls_every_gap(tables):
+    rows = ops.region_revenue_arpu(tables).collect()
+    # Nowhere: no payment; East: only a refund; NULL region: user without geography
+    assert {r.region for r in rows if r.arpu_usd is None} == {"Nowhere", "East", None}
+    assert all(r.arpu_gap_vs_leader is None for r in rows)
+    rows = ops.region_revenue_arpu(tables, leader_nulls_first=False).collect()
+    gaps = {r.region: r.arpu_gap_vs_leader for r in rows}
+    assert gaps["Nowhere"] is None and max(v for v in gaps.values() if v is not None) == 0.0
+
+
+def test_duplicate_geography_row_doubles_revenue(tables):
+    rows = {r.region: r for r in ops.region_revenue_arpu(tables).collect()}
+    # North: user 1 (12.39 all time) + user 3 twice (50.00 each time) + user 9 (0.01)
+    assert rows["North"].total_users == 3
+    assert rows["North"].revenue_millions == 0.0
+    assert rows["North"].arpu_usd == round((1239 + 2 * 5000 + 1) / 3 / 100)
+
+
+def test_missing_year_lags_to_previous_present_year(tables):
+    got = _rows(ops.annual_revenue_growth(tables))
+    assert [r[0] for r in got] == [2019, 2021, 2025]
+    assert got[1][3] == round((5 - 1234) * 100 / 1234, 1)  # 2021 against 2019
+    assert got[0][2] is None and got[0][3] is None
+
+
+def test_fan_out_weights_average_usage(tables):
+    by = {r.feature_name: r for r in ops.feature_adoption(tables).collect()}
+    # July 2025 usage of paid users: user 1 (one paid sub besides plus -> 2 rows: plus +
+    # business) 30, user 3 (two active business subs) 12, user 2 (NULL usage)
+    ai = by["ai_assistant"]
+    assert (ai.active_users, ai.total_paid_users) == (2, 2)
+    assert ai.avg_monthly_uses == round((30 * 2 + 12 * 2) / 4, 1)
+    per_user = {r.feature_name: r for r in ops.feature_adoption(tables, per_user=True).collect()}
+    assert per_user["ai_assistant"].avg_monthly_uses == 21.0
+
+
+def test_trigger_window_is_closed_at_both_ends(tables):
+    got = {(r[0], r[1]): r[2] for r in _rows(ops.upgrade_triggers(tables))}
+    assert got[("feature_limit_hit", "databases")] == 1  # exactly 7 days before
+    assert got[("upgrade_cta_clicked", "docs")] == 1  # at the upgrade instant only
+    assert ("team_invite_blocked", None) not in got  # user 9 never upgraded
+
+
+def test_dashboard_zero_paid_users_gives_null(empty_tables):
+    row = ops.health_dashboard(empty_tables).collect()[0]
+    assert row.total_users == 0 and row.paid_users == 0
+    assert row.ai_adoption_pct_paid_users is None
+    assert row.plus_monthly_churn_pct is None
+    assert row.plus_to_biz_upgrade_rate_pct == 12.0
+
+
+def test_leakage_strings(tables):
+    row = ops.revenue_leakage(tables).collect()[0]
+    # active plus subscriptions: users 1, 8 and a NULL user; mrr 10.00, 10.50, 5.00
+    assert row.total_plus_users == 2
+    assert row.arpu_per_year == round(12 * (1000 + 1050 + 500) / 3 / 100)
+    assert row.monthly_churn_pct == 4.2
+    assert row.annual_revenue_leakage_usd == "$" + format(round(2 * 0.042 * 12 * 12 * 25.5 / 3), ",")
