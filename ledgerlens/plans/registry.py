@@ -118,3 +118,14 @@ ANALYSES += [
 ]
 
 REGISTRY: dict[str, Analysis] = {a.name: a for a in ANALYSES}
+
+# Names of the corrected variants (everything else is one of the sixteen specified analyses).
+CORRECTED = frozenset(
+    {
+        "monthly_churn_rate_active_base",
+        "churn_cohort_curve_true_months",
+        "feature_adoption_per_user",
+        "feature_stickiness_distinct",
+        "region_revenue_arpu_nulls_last",
+    }
+)
