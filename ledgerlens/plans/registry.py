@@ -37,7 +37,22 @@ class Analysis:
         return None if self.sql is None else self.sql(**self.params)
 
     def on_dir(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.run(fixture_tables(spark, sf_dir))
+        return self.run(tables_for(spark, sf_dir))
+
+
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """The business tables over one test-data directory, built once per Spark application.
+
+    Only the logical plans are shared between analyses; every action still reads and
+    computes everything from the files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = fixture_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def _a(name: str, build: Callable[..., DataFrame], sql: Callable[..., str] | None, **params):

@@ -22,6 +22,14 @@ def tuned_conf(shuffle_partitions: int) -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        # Broadcast bounds. Statically, only a side whose estimate (from its files on
+        # disk) is under 10 MB is broadcast: dimension tables, never a fact table at
+        # scale. Disabling this would make a terabyte fact table shuffle-write itself
+        # before AQE could switch its join with a 25-row dimension to a broadcast.
+        # Everything else is planned as a shuffle join, and AQE broadcasts a side only
+        # after its stage has run and its measured size is under the adaptive bound.
+        "spark.sql.autoBroadcastJoinThreshold": "10m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
         # Upper bound: AQE only coalesces downwards. At 100 TB this is set to thousands.
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.files.maxPartitionBytes": "128m",

@@ -77,11 +77,30 @@ def _shift_years(c: Column) -> Column:
     return plus_months(c, YEAR_SHIFT * 12)
 
 
+# The raw test tables, restricted to the columns the mapping reads. An explicit schema
+# skips footer-based schema inference (most of the cost of opening a small table).
+RAW_SCHEMAS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The seven business tables as lazy plans over ``{sf_dir}/*.parquet``."""
+    opened: dict[str, DataFrame] = {}
 
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name not in opened:
+            opened[name] = spark.read.schema(RAW_SCHEMAS[name]).parquet(
+                f"{sf_dir}/{name}.parquet"
+            )
+        return opened[name]
 
     def churn_date(orders: DataFrame) -> Column:
         return plus_days(
