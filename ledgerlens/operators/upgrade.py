@@ -26,15 +26,23 @@ def upgrade_rate(
     from_plan: str = "plus",
     upgrade_plans: tuple[str, ...] = UPGRADE_PLANS,
     benchmark_pct: float | str = "25.0",
+    salt_buckets: int = 16,
 ) -> DataFrame:
     """Share of users who ever held ``from_plan`` and later started a higher plan, mean
     whole days to that upgrade, and the gap to a benchmark rate (5.1).
 
     The cohort is one row per user (first ``from_plan`` start). The upgrade is the first
-    higher-plan start strictly after it: an equi-join on ``user_id`` with the time order
-    as a residual predicate, inner so that AQE may split a skewed user on either side,
-    then one row per user again. The final left join is between two per-user results
-    that are both hash-partitioned on ``user_id``.
+    higher-plan start strictly after it, found by joining the cohort to the higher-plan
+    subscription rows on ``user_id`` with the time order as a residual predicate.
+
+    Skew: the higher-plan side is raw rows, so a user holding a third of them would put a
+    third of the join into one task, and the time condition is unbounded, so the rows
+    cannot be reduced per user beforehand. The join is salted instead: each subscription
+    row gets a deterministic salt from its own columns (a retried task recomputes the same
+    salt), and each cohort row is repeated once per salt, so the join key
+    ``(user_id, salt)`` spreads a hot user over ``salt_buckets`` tasks. The repeated side
+    is the per-user cohort, ``salt_buckets`` rows per user. The per-user minimum is then
+    a partial plus final aggregate, exact whatever the salt.
     """
     subs = t.subscriptions
     cohort = (
@@ -42,13 +50,24 @@ def upgrade_rate(
         .groupBy("user_id")
         .agg(F.min("start_date").alias("plus_start"))
     )
+    salted_cohort = cohort.select(
+        "user_id",
+        "plus_start",
+        F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("salt"),
+    )
     higher = subs.where(F.col("plan").isin(*upgrade_plans)).select(
-        F.col("user_id").alias("h_user"), F.col("start_date").alias("up_start")
+        F.col("user_id").alias("h_user"),
+        F.col("start_date").alias("up_start"),
+        F.pmod(F.xxhash64("sub_id", "start_date"), F.lit(salt_buckets)).cast("int").alias(
+            "h_salt"
+        ),
     )
     upgraded = (
-        cohort.join(
+        salted_cohort.join(
             higher,
-            (F.col("user_id") == F.col("h_user")) & (F.col("up_start") > F.col("plus_start")),
+            (F.col("user_id") == F.col("h_user"))
+            & (F.col("salt") == F.col("h_salt"))
+            & (F.col("up_start") > F.col("plus_start")),
         )
         .groupBy("user_id")
         .agg(
@@ -92,21 +111,39 @@ def upgrade_triggers(
 
     Every matching event counts (not only the last one), and the share's denominator is
     the sum of the group counts. Ties at the cut are broken by event type, then feature.
-    The first upgrade is one row per user; events are filtered to the trigger types at
-    the scan and joined on ``user_id`` with the time window as a residual predicate.
+
+    The time-range join is made an equi-join on (user, calendar day): each user's first
+    upgrade is expanded to the ``window_days + 1`` days its closed window touches, each
+    event carries its own day, and the exact bounds stay as a residual predicate. An event
+    can only meet the one row of its own day, so nothing is counted twice; the expansion
+    is bounded by the window, and a user with a huge number of events is spread over
+    their days instead of landing in one join task.
     """
     first_upgrade = (
         t.subscriptions.where(F.col("plan").isin(*upgrade_plans))
         .groupBy("user_id")
         .agg(F.min("start_date").alias("upgrade_date"))
     )
+    window_start = plus_days(F.col("upgrade_date"), -window_days)
+    days = first_upgrade.select(
+        "user_id",
+        "upgrade_date",
+        F.explode(
+            F.sequence(F.to_date(window_start), F.to_date(F.col("upgrade_date")))
+        ).alias("day"),
+    )
     ev = t.events.where(F.col("event_type").isin(*trigger_types)).select(
-        F.col("user_id").alias("e_user"), "event_type", "feature_name", "created_at"
+        F.col("user_id").alias("e_user"),
+        "event_type",
+        "feature_name",
+        "created_at",
+        F.to_date("created_at").alias("e_day"),
     )
-    window = F.col("created_at").between(
-        plus_days(F.col("upgrade_date"), -window_days), F.col("upgrade_date")
+    in_window = F.col("created_at").between(window_start, F.col("upgrade_date"))
+    j = ev.join(
+        days,
+        (F.col("e_user") == F.col("user_id")) & (F.col("e_day") == F.col("day")) & in_window,
     )
-    j = ev.join(first_upgrade, (F.col("e_user") == F.col("user_id")) & window)
     g = j.groupBy("event_type", "feature_name").agg(
         F.count_distinct("e_user").alias("user_count")
     )

@@ -21,6 +21,11 @@ def tuned_conf(shuffle_partitions: int) -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A hot user_id (say a third of all events) sits in one join partition. Several
+        # joins feed a groupBy(user_id), whose required partitioning would otherwise stop
+        # AQE from splitting that partition; forcing the split costs one extra shuffle of
+        # already partially aggregated rows (one per user and task).
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         # Broadcast bounds. Statically, only a side whose estimate (from its files on
         # disk) is under 10 MB is broadcast: dimension tables, never a fact table at
@@ -56,11 +61,19 @@ def local_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set a scratch one when unset."""
+    """Use the cluster's ``spark.checkpoint.dir``; only set a scratch one when unset.
+
+    None of the analyses needs to cut lineage (each is a short DAG of scans, joins and
+    aggregates that Spark recomputes from its shuffle files if an executor is lost), but
+    a caller that checkpoints must land in the shared folder the cluster names. A local
+    scratch folder is only acceptable in local mode (tests, benchmark).
+    """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses this library rebuilds are batch reports over an ``as_of`` instant: the
+specification has no stream source, watermark, windowed state or late-data rule, so no
+streaming operator is provided. Each analysis is a plain DataFrame function and can be
+scheduled as a batch job (for example per day, with ``as_of`` set to the run time).
+"""

@@ -7,9 +7,11 @@ tables the oracle SQL reads), so every analysis can be checked against its oracl
 from __future__ import annotations
 
 from datetime import datetime as dt
+from datetime import timedelta
 from decimal import Decimal as D
 
 import duckdb
+import pyarrow as pa
 
 from ledgerlens.sources import SCHEMAS, Tables
 
@@ -109,33 +111,73 @@ ROWS = {
     "feature_usage": FEATURE_USAGE,
 }
 
-_DUCK_TYPES = {
-    "bigint": "BIGINT",
-    "string": "VARCHAR",
-    "timestamp_ntz": "TIMESTAMP",
-    "boolean": "BOOLEAN",
-    "decimal(12,2)": "DECIMAL(12,2)",
+_ARROW_TYPES = {
+    "bigint": pa.int64(),
+    "string": pa.string(),
+    "timestamp_ntz": pa.timestamp("us"),
+    "boolean": pa.bool_(),
+    "decimal(12,2)": pa.decimal128(12, 2),
 }
 
 
-def spark_tables(spark, empty: bool = False) -> Tables:
+def hot_user_rows(n: int = 6000) -> dict[str, list[tuple]]:
+    """The edge-case rows plus one hot user (id 1) holding about a third of every table."""
+    rows = {k: list(v) for k, v in ROWS.items()}
+    base = dt(2024, 1, 1)
+    types = ["ai_paywall_shown", "feature_limit_hit", "page_view", "upgrade_cta_clicked"]
+    features = ["ai_assistant", "docs", "databases"]
+    for i in range(n):
+        t = base + timedelta(hours=7 * i)
+        rows["events"].append(
+            (10_000 + i, 1, types[i % 4], features[i % 3], t, ["mobile", "desktop", None][i % 3])
+        )
+        rows["payments"].append((20_000 + i, 1, D(f"{i % 997}.{i % 100:02d}"), "USD", t, "completed"))
+        rows["subscriptions"].append(
+            (30_000 + i, 1, ["business", "enterprise", "plus"][i % 3], "active", t, None, D("12.00"))
+        )
+        rows["churn_events"].append((40_000 + i, 1, "plus", t, f"r{i % 5}"))
+        rows["feature_usage"].append(
+            (1, features[i % 3], t.replace(day=1, hour=0), i % 50, i % 2 == 0)
+        )
+    # the other users: enough rows that the hot one is a third, not all
+    for u in range(100, 100 + n // 3):
+        t = base + timedelta(days=u % 500)
+        rows["users"].append((u, t, "Z", ["plus", "free", "business"][u % 3], True))
+        rows["geo_data"].append((u, f"C{u % 7}", f"R{u % 3}"))
+        for j in range(2):
+            rows["events"].append((60_000 + 2 * u + j, u, types[u % 4], features[j], t, "mobile"))
+            rows["payments"].append((70_000 + 2 * u + j, u, D("5.00"), "USD", t, "completed"))
+        rows["subscriptions"].append((80_000 + u, u, ["plus", "business"][u % 2], "active", t, None, D("8.00")))
+        rows["churn_events"].append((90_000 + u, u, "plus", t + timedelta(days=40), "price"))
+        rows["feature_usage"].append((u, features[u % 3], t.replace(day=1), 30, True))
+    return rows
+
+
+def spark_tables(spark, empty: bool = False, rows: dict | None = None) -> Tables:
+    rows = ROWS if rows is None else rows
     frames = {
-        name: spark.createDataFrame([] if empty else rows, SCHEMAS[name])
-        for name, rows in ROWS.items()
+        name: spark.createDataFrame([] if empty else data, SCHEMAS[name])
+        for name, data in rows.items()
     }
     return Tables.from_frames(**frames)
 
 
-def duck_tables(empty: bool = False) -> duckdb.DuckDBPyConnection:
+def duck_tables(empty: bool = False, rows: dict | None = None) -> duckdb.DuckDBPyConnection:
+    rows = ROWS if rows is None else rows
     con = duckdb.connect()
-    for name, rows in ROWS.items():
+    for name, data in rows.items():
         schema = SCHEMAS[name]
         table = "activity" if name == "events" else name
-        cols = ", ".join(
-            f"{f.name} {_DUCK_TYPES[f.dataType.simpleString()]}" for f in schema.fields
+        arrow_schema = pa.schema(
+            [(f.name, _ARROW_TYPES[f.dataType.simpleString()]) for f in schema.fields]
+        )
+        data = [] if empty else data
+        columns = list(zip(*data)) if data else [[] for _ in schema.fields]
+        tbl = pa.Table.from_arrays(
+            [pa.array(list(c), type=t.type) for c, t in zip(columns, arrow_schema)],
+            schema=arrow_schema,
         )
-        con.execute(f"CREATE TABLE {table} ({cols})")
-        if rows and not empty:
-            marks = ", ".join("?" for _ in schema.fields)
-            con.executemany(f"INSERT INTO {table} VALUES ({marks})", rows)
+        con.register(f"{table}_arrow", tbl)
+        con.execute(f"CREATE TABLE {table} AS SELECT * FROM {table}_arrow")
+        con.unregister(f"{table}_arrow")
     return con
