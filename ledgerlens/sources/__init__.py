@@ -3,12 +3,15 @@
 from .fixture import fixture_tables
 from .schema import SCHEMAS, check_schema
 from .tables import TABLE_NAMES, Tables, read_parquet_tables
+from .validate import check_unique_keys, duplicate_keys
 
 __all__ = [
     "SCHEMAS",
     "TABLE_NAMES",
     "Tables",
     "check_schema",
+    "check_unique_keys",
+    "duplicate_keys",
     "fixture_tables",
     "read_parquet_tables",
 ]

@@ -127,3 +127,10 @@ def test_leakage_strings(tables):
     assert row.arpu_per_year == round(12 * (1000 + 1050 + 500) / 3 / 100)
     assert row.monthly_churn_pct == 4.2
     assert row.annual_revenue_leakage_usd == "$" + format(round(2 * 0.042 * 12 * 12 * 25.5 / 3), ",")
+
+
+def test_unique_key_check_finds_duplicate_geography(tables):
+    from ledgerlens.sources import check_unique_keys
+
+    found = check_unique_keys(tables)
+    assert found == {"users": [], "geo_data": [(3, 2)]}
