@@ -1,6 +1,7 @@
 """Table sources: schemas, the production Parquet layout, and the test-data mapping."""
 
 from .fixture import fixture_tables
+from .layout import read_business_tables, write_business_tables
 from .schema import SCHEMAS, check_schema
 from .tables import TABLE_NAMES, Tables, read_parquet_tables
 from .validate import check_unique_keys, duplicate_keys
@@ -13,5 +14,7 @@ __all__ = [
     "check_unique_keys",
     "duplicate_keys",
     "fixture_tables",
+    "read_business_tables",
     "read_parquet_tables",
+    "write_business_tables",
 ]
