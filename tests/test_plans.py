@@ -64,3 +64,21 @@ def test_scans_read_only_needed_columns(plans):
     assert schemas == ["struct<user_id:bigint,plan_type:string,is_active:boolean>"]
     for s in read_schemas(plans["region_revenue_arpu"]):
         assert "currency" not in s and "payment_id" not in s and "signup_date" not in s
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_single_partition_only_after_aggregation(name, parquet_tables, spark):
+    from ledgerlens.plans.inspect import single_partition_inputs
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = explain(REGISTRY[name].run(parquet_tables), "simple")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    kinds = single_partition_inputs(plan)
+    assert all(kind == "aggregate" for kind in kinds), plan
+    if name in ("plan_user_distribution", "region_revenue_arpu", "feature_stickiness"):
+        assert kinds, "the share/rank window should sit on a single-partition exchange"
