@@ -77,11 +77,15 @@ def monthly_churn_rate_active_base(
     """Corrected 2.1: the denominator is the base active at the start of each month.
 
     A subscription counts in month M when it started before M and had not ended before M
-    (``end_date`` NULL or ``>= M``). Each subscription is expanded to the months of the
-    window it covers, at most ``lookback_months + 1`` rows per subscription, so the
-    fan-out is bounded by the window and not by the data. Churners as in 2.1; a month
-    with churners but no active base is kept with a NULL rate.
+    (``end_date`` NULL or ``>= M``). Each subscription becomes a bitmask of the window
+    months it covers; the masks are OR-ed per (plan, user) by a partial plus final
+    aggregate (a user with many subscriptions collapses map-side), and only then is each
+    (plan, user) expanded to its covered months, at most ``lookback_months + 1`` rows, and
+    counted. Churners as in 2.1; a month with churners but no active base is kept with a
+    NULL rate.
     """
+    if lookback_months > 61:
+        raise ValueError("lookback_months must fit a 62-bit month mask")
     first = add_months(month_floor(parse_as_of(as_of)), -lookback_months)
     n_months = lookback_months + 1
     last = add_months(first, lookback_months)
@@ -97,16 +101,18 @@ def monthly_churn_rate_active_base(
     )
     hi_end = months_between_starts(month_start(F.col("end_date")), ts_lit(first))
     hi = F.least(F.coalesce(hi_end, F.lit(n_months - 1)), F.lit(n_months - 1))
-    covered = s.select(
-        "plan",
-        "user_id",
-        F.explode(
-            F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(
-                F.array().cast("array<int>")
-            )
-        ).alias("k"),
+    one = F.lit(1).cast("bigint")
+    shl = lambda n: F.call_function("shiftleft", one, n.cast("int"))
+    mask = F.when(lo <= hi, shl(hi + 1) - shl(lo)).otherwise(F.lit(0).cast("bigint"))
+    per_user = s.groupBy("plan", "user_id").agg(F.bit_or(mask).alias("mask"))
+    months = F.filter(
+        F.sequence(F.lit(0), F.lit(n_months - 1)),
+        lambda k: F.call_function("shiftright", F.col("mask"), k).bitwiseAND(F.lit(1)) == 1,
+    )
+    covered = per_user.where(F.col("user_id").isNotNull()).select(
+        "plan", F.explode(months).alias("k")
     )
-    base = covered.groupBy("plan", "k").agg(F.count_distinct("user_id").alias("active_base"))
+    base = covered.groupBy("plan", "k").agg(F.count(F.lit(1)).alias("active_base"))
     base = base.select(
         "plan", plus_months(ts_lit(first), F.col("k")).alias("month"), "active_base"
     )
