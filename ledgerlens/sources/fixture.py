@@ -126,21 +126,28 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def users() -> DataFrame:
-        c = raw("customer")
-        n = raw("nation")
-        first = (
+        # One row per customer. The first order date and the nation name are correlated
+        # scalar subqueries: Catalyst rewrites each into a left join with a per-key
+        # aggregate when the column is used, and prunes it (no orders scan at all) when an
+        # analysis never reads signup_date or country.
+        c = raw("customer").alias("c")
+        first_order = (
             raw("orders")
-            .groupBy(F.col("o_custkey").alias("c_custkey"))
-            .agg(F.min("o_orderdate").alias("first_order"))
+            .where(F.col("o_custkey") == F.col("c.c_custkey").outer())
+            .select(F.min("o_orderdate"))
+            .scalar()
         )
-        j = c.join(first, "c_custkey", "left").join(
-            n, c.c_nationkey == n.n_nationkey, "left"
+        nation_name = (
+            raw("nation")
+            .where(F.col("n_nationkey") == F.col("c.c_nationkey").outer())
+            .select(F.max("n_name"))
+            .scalar()
         )
         extra = F.when(F.col("c_custkey") % 4 == 0, SIGNUP_SHIFT_DAYS).otherwise(0)
-        return j.select(
+        return c.select(
             F.col("c_custkey").alias("user_id"),
-            plus_days(_shift_years(F.col("first_order")), extra).alias("signup_date"),
-            F.col("n_name").alias("country"),
+            plus_days(_shift_years(first_order), extra).alias("signup_date"),
+            nation_name.alias("country"),
             _plan_of_segment(F.col("c_mktsegment")).alias("plan_type"),
             (F.col("c_acctbal") > 0).alias("is_active"),
         )
