@@ -44,9 +44,9 @@ def read_parquet_tables(spark: SparkSession, root: str) -> Tables:
     """Business tables stored as ``{root}/{table}`` Parquet datasets (production layout).
 
     The explicit schema skips footer-based inference over thousands of files and makes a
-    drifted file fail loudly. Time-partitioned layouts (``events`` by day, ``payments``
-    and ``feature_usage`` by month) get partition pruning from the literal bounds the
-    analyses put on their time columns.
+    drifted file fail loudly. The analyses put literal bounds on the time columns, which
+    reach the scan as pushed filters, so row groups outside a window are skipped by their
+    min/max statistics.
     """
 
     def reader(name: str) -> Callable[[], DataFrame]:
