@@ -31,7 +31,10 @@ def main(argv: list[str] | None = None) -> None:
     args = p.parse_args(argv)
 
     spark = SparkSession.builder.appName("ledgerlens").getOrCreate()
-    t = read_parquet_tables(spark, args.tables) if args.tables else fixture_tables(spark, args.fixture)
+    if args.tables:
+        t = read_parquet_tables(spark, args.tables)
+    else:
+        t = fixture_tables(spark, args.fixture)
     names = args.only.split(",") if args.only else list(REGISTRY)
     overrides = {
         "as_of": args.as_of,

@@ -233,7 +233,9 @@ def churn_cohort_curve_true_months(
             F.explode(F.sequence(F.lit(0), F.lit(max_month))).alias("k"),
         )
         .where(plus_months(F.col("cohort_month"), F.col("k")) <= ts_lit(current))
-        .select("cohort_month", "cohort_users", F.col("k").cast("bigint").alias("months_since_signup"))
+        .select(
+            "cohort_month", "cohort_users", F.col("k").cast("bigint").alias("months_since_signup")
+        )
     )
     offset = months_between_starts(F.col("churn_month"), F.col("cohort_month"))
     churned = (

@@ -74,7 +74,10 @@ def main(argv: list[str]) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
-    print("| analysis | hash exchanges (keys) | single-partition | joins | aggregates | windows | top-k |")
+    print(
+        "| analysis | hash exchanges (keys) | single-partition | joins | aggregates | windows "
+        "| top-k |"
+    )
     print("|---|---|---|---|---|---|---|")
     for name, a in REGISTRY.items():
         s = summarize(a.run(t))
