@@ -20,3 +20,17 @@ def test_cli_writes_reports(spark):
     assert got.columns == ["plan_type", "total_users", "pct_of_total"]
     assert got.count() > 0
     assert spark.read.parquet(f"{out}/health_dashboard").count() == 1
+
+
+def test_sql_views(spark):
+    import handmade
+    from ledgerlens.plans.views import register_views
+
+    names = register_views(spark, handmade.spark_tables(spark), prefix="v_")
+    assert "v_region_revenue_arpu" in names and "v_payments" in names
+    got = spark.sql(
+        "SELECT region, total_users FROM v_region_revenue_arpu WHERE region = 'North'"
+    ).collect()
+    assert [tuple(r) for r in got] == [("North", 3)]
+    n = spark.sql("SELECT count(*) FROM v_payments WHERE status = 'completed'").first()[0]
+    assert n == 7
