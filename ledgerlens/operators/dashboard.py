@@ -49,7 +49,9 @@ def health_dashboard(
     year, feature users of the last full month) are combined without any join and then
     turned into the final figures. The churn rate is the mean over months *with* churn
     of count / ``plus_base``; annual churn and leakage are computed from the rounded
-    monthly rate, as specified. The last two columns are constants.
+    monthly rate, as specified. The feature adoption share counts every user with active
+    use of the feature last month over active paid users, so unlike 3.1 its numerator is
+    not restricted to paid or active users. The last two columns are constants.
     """
     as_of = parse_as_of(as_of)
     users = t.users.where(F.col("is_active")).agg(
