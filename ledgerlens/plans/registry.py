@@ -49,7 +49,8 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     Only the logical plans are shared between analyses; every action still reads and
     computes everything from the files.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    app = spark.conf.get("spark.app.id", None) or str(id(spark))  # also under Spark Connect
+    key = (app, sf_dir)
     if key not in _TABLES:
         _TABLES[key] = fixture_tables(spark, sf_dir)
     return _TABLES[key]

@@ -77,11 +77,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        _set_rdd_checkpoint_dir(spark, current)
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    _set_rdd_checkpoint_dir(spark, path)
     return path
+
+
+def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
+    # Classic sessions also register it with the SparkContext; a Spark Connect session
+    # has no SparkContext and uses the configuration only.
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - Spark Connect raises a session-specific error here
+        pass
