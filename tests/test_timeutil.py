@@ -1,0 +1,66 @@
+"""Time helpers: calendar month shifts, month component of an age, elapsed days."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import duckdb
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import (
+    add_months,
+    elapsed_days,
+    month_component_of_age,
+    month_start,
+    months_between_starts,
+)
+
+
+def test_add_months_clamps_to_month_end():
+    assert add_months(datetime(2025, 8, 31, 12), -6) == datetime(2025, 2, 28, 12)
+    assert add_months(datetime(2024, 8, 31), -6) == datetime(2024, 2, 29)
+    assert add_months(datetime(2025, 1, 15), 12) == datetime(2026, 1, 15)
+    assert add_months(datetime(2025, 3, 1), -15) == datetime(2023, 12, 1)
+
+
+def test_month_component_matches_duckdb_age(spark):
+    starts = [datetime(y, m, 1) for y in (2023, 2024, 2025) for m in (1, 5, 12)]
+    pairs = [(a, b) for a in starts for b in starts]
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    got = {
+        (r.a, r.b): (r.k, r.total)
+        for r in df.select(
+            "a",
+            "b",
+            month_component_of_age(F.col("a"), F.col("b")).alias("k"),
+            months_between_starts(F.col("a"), F.col("b")).alias("total"),
+        ).collect()
+    }
+    con = duckdb.connect()
+    for a, b in pairs:
+        want_k, want_total = con.execute(
+            "SELECT extract(month FROM age(?::TIMESTAMP, ?::TIMESTAMP)), "
+            "datediff('month', ?::TIMESTAMP, ?::TIMESTAMP)",
+            [a, b, b, a],
+        ).fetchone()
+        assert got[(a, b)] == (want_k, want_total), (a, b)
+
+
+def test_elapsed_days_and_month_start(spark):
+    df = spark.createDataFrame(
+        [(datetime(2020, 1, 10, 5), datetime(2020, 1, 1, 6)), (datetime(2021, 3, 5, 1), datetime(2020, 1, 1, 6))],
+        "a timestamp_ntz, b timestamp_ntz",
+    )
+    rows = df.select(elapsed_days(F.col("a"), F.col("b")).alias("d"), month_start(F.col("a")).alias("m")).collect()
+    assert [r.d for r in rows] == [8, 428]
+    assert [r.m for r in rows] == [datetime(2020, 1, 1), datetime(2021, 3, 1)]
+
+
+def test_month_start_ignores_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([(datetime(2025, 3, 1, 0, 30),)], "a timestamp_ntz")
+        assert df.select(month_start(F.col("a"))).first()[0] == datetime(2025, 3, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
