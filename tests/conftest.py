@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,8 @@ def spark():
 
     b = SparkSession.builder.master("local[*]").appName("ledgerlens-tests")
     b = b.config("spark.ui.enabled", "false")
+    # catalog tables created by tests live in a scratch folder, not the working directory
+    b = b.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ledgerlens-wh-"))
     for k, v in tuned_conf(8).items():
         b = b.config(k, v)
     s = b.getOrCreate()
