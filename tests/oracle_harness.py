@@ -55,13 +55,32 @@ def rows_of_duck(con, sql: str) -> tuple[list[str], list[tuple]]:
     return cols, [tuple(_norm(v) for v in row) for row in rel.fetchall()]
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "int": "INTEGER",
+    "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def compare(spark_df, con, sql: str) -> list[str]:
-    """Differences between the two results (empty list when they match)."""
+    """Differences between the two results (empty list when they match): column names,
+    column types, row count and the multiset of rows."""
     s_cols, s_rows = rows_of_spark(spark_df)
     d_cols, d_rows = rows_of_duck(con, sql)
     problems = []
     if sorted(s_cols) != sorted(d_cols):
         return [f"columns differ: spark {s_cols} vs oracle {d_cols}"]
+    s_types = {
+        f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+        for f in spark_df.schema.fields
+    }
+    d_types = dict(zip(d_cols, (str(t) for t in con.sql(sql).types)))
+    if s_types != d_types:
+        diff = {c: (s_types[c], d_types[c]) for c in s_cols if s_types[c] != d_types[c]}
+        problems.append(f"types differ (spark, oracle): {diff}")
     order = sorted(s_cols)
     si = [s_cols.index(c) for c in order]
     di = [d_cols.index(c) for c in order]
