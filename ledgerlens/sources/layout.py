@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .schema import check_schema
 from .tables import TABLE_NAMES, Tables
 
 BUCKETED_BY_USER = ("users", "geo_data")
@@ -51,4 +52,13 @@ def write_business_tables(
 
 def read_business_tables(spark: SparkSession, database: str) -> Tables:
     """The stored tables, read through the catalog (which carries the bucketing)."""
-    return Tables({name: (lambda n=name: spark.table(f"{database}.{n}")) for name in TABLE_NAMES})
+
+    def reader(name: str):
+        def read():
+            df = spark.table(f"{database}.{name}")
+            check_schema(name, df.schema)
+            return df
+
+        return read
+
+    return Tables({name: reader(name) for name in TABLE_NAMES})

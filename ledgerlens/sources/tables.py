@@ -40,16 +40,24 @@ class Tables:
         return cls({name: (lambda df=df: df) for name, df in frames.items()})
 
 
-def read_parquet_tables(spark: SparkSession, root: str) -> Tables:
+def read_parquet_tables(spark: SparkSession, root: str, validate: bool = False) -> Tables:
     """Business tables stored as ``{root}/{table}`` Parquet datasets (production layout).
 
-    The explicit schema skips footer-based inference over thousands of files and makes a
-    drifted file fail loudly. The analyses put literal bounds on the time columns, which
-    reach the scan as pushed filters, so row groups outside a window are skipped by their
-    min/max statistics.
+    Reading with the explicit schema skips footer-based inference over thousands of
+    files. With ``validate=True`` the files' own schema is inferred once per table and
+    checked first, so a missing or retyped column fails here instead of reading as NULLs.
+    The analyses put literal bounds on the time columns, which reach the scan as pushed
+    filters, so row groups outside a window are skipped by their min/max statistics.
     """
 
     def reader(name: str) -> Callable[[], DataFrame]:
-        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+        path = f"{root}/{name}"
+
+        def read() -> DataFrame:
+            if validate:
+                check_schema(name, spark.read.parquet(path).schema)
+            return spark.read.schema(SCHEMAS[name]).parquet(path)
+
+        return read
 
     return Tables({name: reader(name) for name in TABLE_NAMES})

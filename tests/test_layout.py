@@ -41,3 +41,20 @@ def test_dimension_join_needs_no_shuffle(spark, stored):
     # only the (pre-aggregated) payments side is shuffled on user_id
     assert plan.count("Exchange hashpartitioning(user_id") == 1
     assert "Bucketed: true" in plan
+
+
+def test_parquet_reader_validates_schema(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.sources import read_parquet_tables
+
+    root = tempfile.mkdtemp(prefix="ledgerlens-drift-")
+    t = handmade.spark_tables(spark)
+    for name in handmade.ROWS:
+        df = getattr(t, name)
+        if name == "payments":  # a drifted file: amount written as a string
+            df = df.withColumn("amount", F.col("amount").cast("string"))
+        df.write.parquet(f"{root}/{name}")
+    assert read_parquet_tables(spark, root, validate=True).users.count() == len(handmade.USERS)
+    with pytest.raises(ValueError, match="amount"):
+        read_parquet_tables(spark, root, validate=True).payments
