@@ -14,8 +14,8 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.registry import REGISTRY
-from .sources import fixture_tables, read_parquet_tables
+from ledgerlens.plans.registry import REGISTRY
+from ledgerlens.sources import fixture_tables, read_parquet_tables
 
 
 def main(argv: list[str] | None = None) -> None:
