@@ -45,13 +45,34 @@ def summarize(df: DataFrame) -> dict[str, object]:
         "aggregates": len(re.findall(r"HashAggregate\(", plan)),
         "windows": len(re.findall(r"\bWindow \[", plan)),
         "top_k": "TakeOrderedAndProject" in plan,
-        "pushed": [p for p in pushed_filters(plan) if p.strip() != "[]"],
+        "pushed": [p for p in pushed_filters(explain(df, "formatted")) if p.strip() != "[]"],
         "python": python_nodes(plan),
         "pairs": pair_nodes(plan),
         "single_partition_over": single_partition_inputs(plan),
     }
 
 
+def _split_filters(line: str) -> list[str]:
+    """``[A(x), Not(B(y,z)), In(c, [1,2])]`` -> the top-level filters."""
+    body = line.strip()
+    if body.startswith("[") and body.endswith("]"):
+        body = body[1:-1]
+    out, depth, cur = [], 0, ""
+    for ch in body:
+        if ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth -= 1
+        if ch == "," and depth == 0:
+            out.append(cur.strip())
+            cur = ""
+        else:
+            cur += ch
+    if cur.strip():
+        out.append(cur.strip())
+    return out
+
+
 def _fmt(c: Counter) -> str:
     return ", ".join(f"{k} x{v}" if v > 1 else k for k, v in sorted(c.items())) or "-"
 
@@ -63,6 +84,7 @@ def main(argv: list[str]) -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "2000")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -89,6 +111,19 @@ def main(argv: list[str]) -> None:
             f"| `{name}` | {_fmt(s['exchange_keys'])} | {single} | {_fmt(s['joins'])} | "
             f"{s['aggregates']} | {s['windows']} | {'yes' if s['top_k'] else '-'} |"
         )
+    print()
+    print("Filters pushed into the Parquet scans (besides IsNotNull):")
+    print()
+    print("| analysis | pushed filters |")
+    print("|---|---|")
+    for name, a in REGISTRY.items():
+        s = summarize(a.run(t))
+        found = []
+        for line in s["pushed"]:
+            for f in _split_filters(line):
+                if not f.startswith("IsNotNull") and f not in found:
+                    found.append(f)
+        print(f"| `{name}` | {', '.join(found) or '-'} |")
     spark.stop()
 
 
