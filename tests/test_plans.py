@@ -82,3 +82,14 @@ def test_single_partition_only_after_aggregation(name, parquet_tables, spark):
     assert all(kind == "aggregate" for kind in kinds), plan
     if name in ("plan_user_distribution", "region_revenue_arpu", "feature_stickiness"):
         assert kinds, "the share/rank window should sit on a single-partition exchange"
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_every_analysis_pushes_a_filter(name, parquet_tables):
+    from ledgerlens.plans.report import _split_filters
+
+    plan = explain(REGISTRY[name].run(parquet_tables), "formatted")
+    filters = [
+        f for line in pushed_filters(plan) for f in _split_filters(line) if not f.startswith("IsNotNull")
+    ]
+    assert filters, f"{name}: nothing beyond IsNotNull reaches the scan"
