@@ -64,3 +64,29 @@ def test_month_start_ignores_session_time_zone(spark):
         assert df.select(month_start(F.col("a"))).first()[0] == datetime(2025, 3, 1)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_literal_bounds_match_sql_interval_arithmetic():
+    # Spark gets as_of-relative bounds computed in Python; the oracle lets the SQL engine
+    # do the interval arithmetic. Both must agree, month ends and leap days included.
+    import calendar
+    import random
+
+    from ledgerlens.functions import minus_days, month_floor
+
+    rng = random.Random(11)
+    con = duckdb.connect()
+    for _ in range(500):
+        year, month = rng.randrange(2019, 2027), rng.randrange(1, 13)
+        last = calendar.monthrange(year, month)[1]
+        day = min(rng.choice([1, 15, 28, 29, 30, 31]), last)
+        ts = datetime(year, month, day, rng.randrange(24), rng.randrange(60))
+        months, days = rng.randrange(-24, 25), rng.randrange(0, 120)
+        want_m, want_d, want_trunc = con.execute(
+            f"SELECT ?::TIMESTAMP + to_months({months}), ?::TIMESTAMP - INTERVAL {days} DAY, "
+            f"date_trunc('month', ?::TIMESTAMP) - INTERVAL {abs(months)} MONTH",
+            [ts, ts, ts],
+        ).fetchone()
+        assert add_months(ts, months) == want_m, (ts, months)
+        assert minus_days(ts, days) == want_d, (ts, days)
+        assert add_months(month_floor(ts), -abs(months)) == want_trunc, (ts, months)
