@@ -45,7 +45,8 @@ def feature_adoption(
     """
     month = month_floor(add_months(parse_as_of(as_of), -lookback_months))
     usage = (
-        t.feature_usage.where(F.col("month") == ts_lit(month))
+        t.scan("feature_usage", since=month, until=month)
+        .where(F.col("month") == ts_lit(month))
         .groupBy("user_id", "feature_name")
         .agg(
             F.max(F.when(F.col("is_active_user"), F.lit(1))).alias("active"),
@@ -94,7 +95,8 @@ def feature_usage_vs_churn(
     """
     since = add_months(parse_as_of(as_of), -lookback_months)
     users_of_feature = (
-        t.feature_usage.where(
+        t.scan("feature_usage", since=since)
+        .where(
             (F.col("feature_name") == feature)
             & F.col("is_active_user")
             & (F.col("month") >= ts_lit(since))
@@ -104,7 +106,8 @@ def feature_usage_vs_churn(
         .withColumn("uses_feature", F.lit(True))
     )
     churners = (
-        t.churn_events.where(F.col("churn_date") >= ts_lit(since))
+        t.scan("churn_events", since=since)
+        .where(F.col("churn_date") >= ts_lit(since))
         .select("user_id")
         .distinct()
         .withColumn("churned", F.lit(True))

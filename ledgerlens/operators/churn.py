@@ -30,7 +30,7 @@ from ._common import total_over_groups
 
 def _monthly_churners(t: Tables, since: datetime) -> DataFrame:
     """Distinct churning users per (plan, churn month), churn months from ``since`` on."""
-    c = t.churn_events.where(F.col("churn_date") >= ts_lit(since))
+    c = t.scan("churn_events", since=since).where(F.col("churn_date") >= ts_lit(since))
     return c.groupBy("plan", month_start(F.col("churn_date")).alias("month")).agg(
         F.count_distinct("user_id").alias("churned_users")
     )
@@ -51,7 +51,7 @@ def monthly_churn_rate(
     scans; churn months before the bound could never join.
     """
     since = add_months(month_floor(parse_as_of(as_of)), -lookback_months)
-    s = t.subscriptions.where(
+    s = t.scan("subscriptions", since=since).where(
         F.col("status").isin(*statuses) & (F.col("start_date") >= ts_lit(since))
     )
     starts = s.groupBy("plan", month_start(F.col("start_date")).alias("month")).agg(
@@ -89,7 +89,7 @@ def monthly_churn_rate_active_base(
     first = add_months(month_floor(parse_as_of(as_of)), -lookback_months)
     n_months = lookback_months + 1
     last = add_months(first, lookback_months)
-    s = t.subscriptions.where(
+    s = t.scan("subscriptions", until=last).where(
         F.col("status").isin(*statuses) & (F.col("start_date") < ts_lit(last))
     ).where(F.col("end_date").isNull() | (F.col("end_date") >= ts_lit(first)))
     # Window months M_k = first + k months with start_date < M_k <= end_date (or no end).
@@ -141,7 +141,9 @@ def churn_reason_topn(
     by reason so the result is deterministic.
     """
     since = add_months(parse_as_of(as_of), -lookback_months)
-    c = t.churn_events.where((F.col("plan") == plan) & (F.col("churn_date") >= ts_lit(since)))
+    c = t.scan("churn_events", since=since).where(
+        (F.col("plan") == plan) & (F.col("churn_date") >= ts_lit(since))
+    )
     g = c.groupBy("churn_reason").agg(F.count(F.lit(1)).alias("churn_count"))
     return (
         g.select(

@@ -65,13 +65,13 @@ def health_dashboard(
         .agg(F.sum("c").alias("churn_rows"), F.count(F.lit(1)).alias("churn_months"))
     )
     lo, hi = datetime(dashboard_year, 1, 1), datetime(dashboard_year + 1, 1, 1)
-    revenue = t.payments.where(
+    revenue = t.scan("payments", since=lo, until=hi).where(
         (F.col("status") == status)
         & (F.col("payment_date") >= ts_lit(lo))
         & (F.col("payment_date") < ts_lit(hi))
     ).agg(F.sum(cents(F.col("amount"))).alias("rev_cents"))
     month = month_floor(add_months(as_of, -lookback_months))
-    feature_users = t.feature_usage.where(
+    feature_users = t.scan("feature_usage", since=month, until=month).where(
         (F.col("feature_name") == ai_feature)
         & F.col("is_active_user")
         & (F.col("month") == ts_lit(month))

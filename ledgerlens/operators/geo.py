@@ -131,7 +131,8 @@ def platform_mix_by_region(
     since = minus_days(parse_as_of(as_of), lookback_days)
     mobile, desktop = platforms
     flags = (
-        t.events.where(F.col("created_at") >= ts_lit(since))
+        t.scan("events", since=since)
+        .where(F.col("created_at") >= ts_lit(since))
         .groupBy("user_id")
         .agg(
             F.max(F.when(F.col("platform") == mobile, F.lit(1))).alias("m"),

@@ -6,14 +6,17 @@ every other side only has to be shuffled into the same buckets. The fact tables
 (payments, events, subscriptions, usage, churn) are deliberately *not* bucketed by user:
 a user holding a third of a fact table would put a third of it into one bucket, which a
 single task reads. Stored as plain Parquet they are scanned in byte-sized splits, and the
-analyses collapse each user with a map-side partial aggregate before any shuffle, and
-they are written in time order within each file.
+analyses collapse each user with a map-side partial aggregate before any shuffle. They
+are partitioned by the month of their time column (the analyses' ``as_of`` windows then
+prune whole partitions, see ``Tables.scan``) and written in time order within each file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.timeutil import month_start
 from .schema import check_schema
 from .tables import TABLE_NAMES, Tables
 
@@ -30,23 +33,38 @@ TIME_COLUMN = {
 }
 
 
+# DATE partition column of the month-partitioned fact tables.
+MONTH_PARTITION = "_month"
+
+
 def write_business_tables(
-    spark: SparkSession, t: Tables, database: str, root: str, buckets: int = 1024
+    spark: SparkSession,
+    t: Tables,
+    database: str,
+    root: str,
+    buckets: int = 1024,
+    month_partitions: bool = True,
 ) -> None:
     """Write the seven tables under ``root`` and register them in ``database``.
 
     ``buckets`` should be at least ``spark.sql.shuffle.partitions`` so that the shuffled
-    side of a join adopts the bucketing instead of both sides being reshuffled.
+    side of a join adopts the bucketing instead of both sides being reshuffled. With
+    ``month_partitions`` the fact tables are also partitioned by the month of their time
+    column (``_month``), so the analyses' time windows prune whole partitions.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_catalog'")
     for name in TABLE_NAMES:
         df = getattr(t, name)
         if name in TIME_COLUMN:
+            if month_partitions:
+                df = df.withColumn(MONTH_PARTITION, F.to_date(month_start(F.col(TIME_COLUMN[name]))))
             df = df.sortWithinPartitions(TIME_COLUMN[name])
         w = df.write.mode("overwrite").format("parquet")
         w = w.option("path", f"{root}/{name}")
         if name in BUCKETED_BY_USER:
             w = w.bucketBy(buckets, "user_id").sortBy("user_id")
+        if month_partitions and name in TIME_COLUMN:
+            w = w.partitionBy(MONTH_PARTITION)
         w.saveAsTable(f"{database}.{name}")
 
 
@@ -61,4 +79,9 @@ def read_business_tables(spark: SparkSession, database: str) -> Tables:
 
         return read
 
-    return Tables({name: reader(name) for name in TABLE_NAMES})
+    partitions = {}
+    for name in TABLE_NAMES:
+        cols = spark.catalog.listColumns(f"{database}.{name}")
+        if any(c.name == MONTH_PARTITION and c.isPartition for c in cols):
+            partitions[name] = MONTH_PARTITION
+    return Tables({name: reader(name) for name in TABLE_NAMES}, month_partitions=partitions)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.timeutil import month_floor
 from .schema import SCHEMAS, check_schema
 
 TABLE_NAMES = tuple(SCHEMAS)
@@ -22,10 +25,13 @@ class Tables:
     """
 
     factories: dict[str, Callable[[], DataFrame]]
+    # table -> name of a DATE partition column holding the first day of the month of the
+    # table's time column, for tables stored partitioned that way
+    month_partitions: dict[str, str] = field(default_factory=dict)
     _built: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name == "factories":
+        if name.startswith("_") or name in ("factories", "month_partitions"):
             raise AttributeError(name)
         if name not in self.factories:
             raise AttributeError(f"no business table {name!r}")
@@ -33,6 +39,26 @@ class Tables:
             self._built[name] = self.factories[name]()
         return self._built[name]
 
+    def scan(
+        self, name: str, since: datetime | None = None, until: datetime | None = None
+    ) -> DataFrame:
+        """The table, restricted to the months that can hold times in [since, until].
+
+        Callers still apply their exact time predicate; this only adds, for a table
+        stored partitioned by month, the matching range on the partition column, so the
+        scan skips whole partitions (directories never listed or opened). The month range
+        is inclusive at both ends, a superset of any bound on the time column.
+        """
+        df = getattr(self, name)
+        part = self.month_partitions.get(name)
+        if part is None:
+            return df
+        if since is not None:
+            df = df.where(F.col(part) >= F.lit(month_floor(since).date()))
+        if until is not None:
+            df = df.where(F.col(part) <= F.lit(month_floor(until).date()))
+        return df
+
     @classmethod
     def from_frames(cls, **frames: DataFrame) -> Tables:
         for name, df in frames.items():
