@@ -57,7 +57,8 @@ def write_business_tables(
         df = getattr(t, name)
         if name in TIME_COLUMN:
             if month_partitions:
-                df = df.withColumn(MONTH_PARTITION, F.to_date(month_start(F.col(TIME_COLUMN[name]))))
+                month = F.to_date(month_start(F.col(TIME_COLUMN[name])))
+                df = df.withColumn(MONTH_PARTITION, month)
             df = df.sortWithinPartitions(TIME_COLUMN[name])
         w = df.write.mode("overwrite").format("parquet")
         w = w.option("path", f"{root}/{name}")
