@@ -3,8 +3,10 @@
     python -m ledgerlens --tables /data/analytics --as-of 2025-08-01 --out /data/reports
     python -m ledgerlens --fixture /root/testdata/sf0.01 --only region_revenue_arpu
 
-``--tables`` reads the seven business tables from ``{root}/{table}`` (Parquet); with
-``--fixture`` they are derived from the TPC-H style test tables. Without ``--out`` each
+``--tables`` reads the seven business tables from ``{root}/{table}`` (Parquet),
+``--database`` from the catalog layout of ``sources.write_business_tables`` (bucketed
+dimensions, month-partitioned facts); with ``--fixture`` they are derived from the TPC-H
+style test tables. Without ``--out`` each
 result is printed; with it, each is written as Parquet to ``{out}/{analysis}``.
 """
 
@@ -15,13 +17,14 @@ import argparse
 from pyspark.sql import SparkSession
 
 from ledgerlens.plans.registry import REGISTRY
-from ledgerlens.sources import fixture_tables, read_parquet_tables
+from ledgerlens.sources import fixture_tables, read_business_tables, read_parquet_tables
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="ledgerlens")
     src = p.add_mutually_exclusive_group(required=True)
     src.add_argument("--tables", help="root of the business tables (Parquet)")
+    src.add_argument("--database", help="catalog database written by write_business_tables")
     src.add_argument("--fixture", help="directory of the TPC-H style test tables")
     p.add_argument("--as-of", help="evaluation instant, ISO format (default: fixture value)")
     p.add_argument("--only", help="comma-separated analysis names")
@@ -33,6 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("ledgerlens").getOrCreate()
     if args.tables:
         t = read_parquet_tables(spark, args.tables)
+    elif args.database:
+        t = read_business_tables(spark, args.database)
     else:
         t = fixture_tables(spark, args.fixture)
     names = args.only.split(",") if args.only else list(REGISTRY)

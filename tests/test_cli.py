@@ -34,3 +34,14 @@ def test_sql_views(spark):
     assert [tuple(r) for r in got] == [("North", 3)]
     n = spark.sql("SELECT count(*) FROM v_payments WHERE status = 'completed'").first()[0]
     assert n == 7
+
+
+def test_cli_reads_catalog_layout(spark):
+    import handmade
+    from ledgerlens.sources import write_business_tables
+
+    root = tempfile.mkdtemp(prefix="ledgerlens-cli-db-")
+    write_business_tables(spark, handmade.spark_tables(spark), "ll_cli_db", root, buckets=8)
+    out = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
+    main(["--database", "ll_cli_db", "--only", "platform_mix_by_region", "--out", out])
+    assert spark.read.parquet(f"{out}/platform_mix_by_region").count() > 0
