@@ -20,9 +20,10 @@ def tuned_conf(shuffle_partitions: int) -> dict[str, str]:
         # splits skewed join partitions (a hot user_id).
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # Coalesce shuffle partitions up to the advisory size instead of keeping one per
-        # core: right-sized tasks on a busy cluster, and few tasks for small shuffles.
-        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        # Coalescing keeps at least one partition per core (Spark's default, stated here
+        # on purpose): a shuffle of a few hundred thousand rows still aggregates on all
+        # cores, and at scale every shuffle is far above advisory size x cores anyway.
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # A hot user_id (say a third of all events) sits in one join partition. Several
         # joins feed a groupBy(user_id), whose required partitioning would otherwise stop

@@ -164,8 +164,14 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         )
 
     def order_lines() -> DataFrame:
+        # Line items are hash-partitioned on the order key before meeting their order:
+        # the distribution a sort-merge join on that key needs anyway (orders is then
+        # shuffled into the same partitions, nothing is shuffled twice), made explicit so
+        # that a source stored in a few large row groups is still joined and aggregated
+        # by many tasks.
         o = raw("orders").select("o_orderkey", "o_custkey")
-        li = raw("lineitem")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        li = raw("lineitem").repartition(n, "l_orderkey")
         return li.join(o, li.l_orderkey == o.o_orderkey)
 
     def payments() -> DataFrame:
