@@ -170,8 +170,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         # that a source stored in a few large row groups is still joined and aggregated
         # by many tasks.
         o = raw("orders").select("o_orderkey", "o_custkey")
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        li = raw("lineitem").repartition(n, "l_orderkey")
+        n = spark.conf.get("spark.sql.shuffle.partitions", "200")
+        li = raw("lineitem").repartition(int(n) if n.isdigit() else 200, "l_orderkey")
         return li.join(o, li.l_orderkey == o.o_orderkey)
 
     def payments() -> DataFrame:
