@@ -45,8 +45,9 @@ def tuned_conf(shuffle_partitions: int) -> dict[str, str]:
         # All timestamps are TIMESTAMP_NTZ; UTC keeps any zoned conversion neutral.
         "spark.sql.session.timeZone": "UTC",
         # Python-side plan building: do not ship the Python call site of every Column
-        # call to the JVM (about ten Py4J round trips each, a quarter of the latency of a
-        # small query here). Only error messages lose the Python line; plans are unchanged.
+        # call to the JVM (about ten extra Py4J round trips per call; this halves the
+        # round trips of building a plan). Only error messages lose the Python line; plans
+        # are unchanged.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
 
