@@ -17,7 +17,13 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import TABLE_NAMES, fixture_tables, read_parquet_tables
+from ..sources import (
+    TABLE_NAMES,
+    fixture_tables,
+    read_business_tables,
+    read_parquet_tables,
+    write_business_tables,
+)
 from .inspect import explain, pair_nodes, pushed_filters, python_nodes, single_partition_inputs
 from .registry import REGISTRY
 
@@ -85,6 +91,7 @@ def main(argv: list[str]) -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "2000")
         .config("spark.sql.maxMetadataStringLength", "10000")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ledgerlens-plans-wh-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -124,6 +131,22 @@ def main(argv: list[str]) -> None:
                 if not f.startswith("IsNotNull") and f not in found:
                     found.append(f)
         print(f"| `{name}` | {', '.join(found) or '-'} |")
+
+    # the recommended stored layout: dimensions bucketed by user, facts by month
+    write_business_tables(spark, derived, "ledgerlens_report", f"{root}/layout", buckets=2000)
+    stored = read_business_tables(spark, "ledgerlens_report")
+    print()
+    print("On the stored layout of `sources.layout` (users and geo_data bucketed by user_id,")
+    print("fact tables partitioned by month):")
+    print()
+    print("| analysis | hash exchanges (keys) | partition filters |")
+    print("|---|---|---|")
+    for name, a in REGISTRY.items():
+        df = a.run(stored)
+        s = summarize(df)
+        parts = sorted(set(re.findall(r"PartitionFilters: \[([^\]]+)\]", explain(df, "formatted"))))
+        cleaned = [re.sub(r"#\d+", "", p) for p in parts]
+        print(f"| `{name}` | {_fmt(s['exchange_keys'])} | {'; '.join(cleaned) or '-'} |")
     spark.stop()
 
 
