@@ -54,3 +54,22 @@ def test_dollar_format(spark):
     df = spark.createDataFrame([(1234567,), (0,), (None,), (12345678901,)], "x bigint")
     got = [r[0] for r in df.select(dollars(F.col("x"))).collect()]
     assert got == ["$1,234,567", "$0", None, "$12,345,678,901"]
+
+
+def test_oracle_rounding_matches_decimal():
+    # the oracle's SQL version of the rounding rule, checked on its own
+    import duckdb
+
+    from ledgerlens.oracle import r
+
+    rng = random.Random(3)
+    cases = [(201 * 100, 20000), (1, 8), (-1, 8), (5, -8), (0, 3), (3, 0)]
+    cases += [(rng.randint(-(10**12), 10**12), rng.choice([rng.randint(-50, 50), rng.randint(1, 10**9)])) for _ in range(2000)]
+    cases += [(rng.randint(-1000, 1000) * 2 + 1, 200) for _ in range(500)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE c (n BIGINT, d BIGINT)")
+    con.executemany("INSERT INTO c VALUES (?, ?)", cases)
+    rows = con.execute(f"SELECT n, d, {r('n', 'd', 0)}, {r('n', 'd', 1)}, {r('n', 'd', 2)} FROM c").fetchall()
+    for n, d, *got in rows:
+        for digits, value in enumerate(got):
+            assert value == _expected(n, d, digits), (n, d, digits, value)
