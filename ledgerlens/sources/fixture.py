@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import plus_days, plus_months
+from ..functions.timeutil import month_start, plus_days, plus_months
 from .tables import Tables
 
 # Fixed values of the fixture mapping (FIXTURES.md section 3).
@@ -193,9 +193,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         g = j.groupBy(
             F.col("o_custkey").alias("user_id"),
             _pick(FEATURES, F.col("l_partkey") % len(FEATURES)).alias("feature_name"),
-            F.make_timestamp_ntz(
-                F.year(shipped), F.month(shipped), F.lit(1), F.lit(0), F.lit(0), F.lit(0)
-            ).alias("month"),
+            month_start(shipped).alias("month"),
         ).agg(F.sum("l_quantity").alias("qty"))
         return g.select(
             "user_id",
