@@ -93,3 +93,16 @@ def test_every_analysis_pushes_a_filter(name, parquet_tables):
         f for line in pushed_filters(plan) for f in _split_filters(line) if not f.startswith("IsNotNull")
     ]
     assert filters, f"{name}: nothing beyond IsNotNull reaches the scan"
+
+
+def test_report_helpers(parquet_tables):
+    from ledgerlens.plans.report import _split_filters, summarize
+
+    assert _split_filters("[IsNotNull(a), Not(EqualTo(b,x)), In(c, [1,2])]") == [
+        "IsNotNull(a)",
+        "Not(EqualTo(b,x))",
+        "In(c, [1,2])",
+    ]
+    s = summarize(REGISTRY["churn_reason_topn"].run(parquet_tables))
+    assert s["top_k"] and not s["python"] and not s["pairs"]
+    assert any("churn_date" in p for p in s["pushed"])
