@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, neardup, substring, token_store
+from . import bpe, decontam, lang_id, neardup, sharding, substring, token_store, topk, url_filter, warc
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,22 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("tk")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,17 +50,30 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_url_filter": op2_url_filter,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_sharding": op4_sharding,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
+    "op9_topk": op9_topk,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The others are tested against brute force (tests/llm): a trained model, vocabulary files, or
+# too slow in SQL over whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op4_sharding": sharding.oracle(),
+    "op9_topk": topk.ORACLE_SQL,
+}

@@ -1,0 +1,74 @@
+import duckdb
+import numpy as np
+import pytest
+from llm_cases import rows_of, table
+
+from ledgerlens.llm import topk
+from ledgerlens.llm.queries import ORACLE_SQL, op9_topk
+
+
+def brute(rows, k=5, every=50):
+    kept = []
+    for vec_id, v in rows:
+        if vec_id is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        kept.append((vec_id, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
+    out = []
+    for i, (q, a) in enumerate(kept):
+        if q % every:
+            continue
+        scores = [(-sum(x * y for x, y in zip(a, b, strict=True)), c) for j, (c, b) in enumerate(kept) if j != i and len(a) == len(b)]
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+
+
+def test_whole_table_against_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op9_topk"]).fetchall(), key=repr)
+    assert rows_of(op9_topk(spark, "/root/testdata/sf0.01")) == want and len(want) == 50
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_edge_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "LANES", 3)
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in r.normal(size=40).astype(np.float32)]) for i in range(60)]
+    rows += [(100 + i, rows[50][1]) for i in range(9)]  # copies of a query: ties go to the smaller id
+    rows += [(0, rows[0][1]), (150, None), (200, [1.0, None]), (250, [float("nan")] * 40), (300, [float("inf")] * 40)]
+    rows += [(None, rows[3][1]), (350, []), (400, []), (450, [0.5, -0.25]), (451, [1.0, 1.0]), (500, [0.0] * 40), (550, [2.5])]
+    assert rows_of(topk.search(frame(spark, rows).repartition(4))) == brute(rows)
+
+
+def test_large_values_stay_exact(spark):
+    rows = [(i * 50, [float(2**20 + i), float(2**21 - 64 * i), -3.5]) for i in range(8)]
+    assert rows_of(topk.search(frame(spark, rows))) == brute(rows)
+    rows = [(i * 50, [1e30 * (i + 1)]) for i in range(3)]
+    assert {r.score for r in topk.search(frame(spark, rows)).collect()} == {2**63 - 1}
+
+
+def test_empty_table_and_clashing_columns(spark):
+    assert topk.search(frame(spark, [])).collect() == []
+    more = table(spark, "embeddings").withColumnRenamed("label", "row").selectExpr("*", "1 AS dim", "2 AS lane")
+    assert rows_of(topk.search(more)) == rows_of(op9_topk(spark, "/root/testdata/sf0.001"))
+
+
+def test_bound_saves_work():
+    """Clustered vectors: most candidates leave before their last dimensions are read."""
+    r = np.random.default_rng(2)
+    centre = r.normal(size=(64, 20)) * 100
+    c = np.floor(centre[:, r.integers(0, 20, 4000)] + r.normal(size=(64, 4000)))
+    best = topk.Best(50, 5)
+    work = topk.search_block(c[:, :50], np.arange(50), c, np.arange(4000), np.arange(4000), best)
+    assert work < 0.6 * 50 * 4000 * 64
+    full = c.T @ c[:, :50]
+    for i in range(50):
+        s = full[:, i].copy()
+        s[i] = -np.inf
+        assert sorted(best.score[i], reverse=True) == sorted(s, reverse=True)[:5]
