@@ -16,6 +16,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,57 +31,84 @@ from .text import CHUNK, ragged, string_chunks
 MAGIC = b"LLPF0001"
 BLOCK = 1024
 HEADER = struct.Struct("<8sIIQQQ")  # magic, block size, end id, ids, documents, blocks
+CUT = "<| |>"  # parts pieces for the library; holds a space, so no piece contains it
 PERCENTILE = 0.9
 FILE_IDS = 2_000_000  # ids after which a task starts another file
-CACHE = 700_000  # pieces remembered by one worker; only speed depends on it
+CACHE = 1_200_000  # pieces remembered by one worker; only speed depends on it
 
 
 class WordEncoder:
     """The tokenizers library, asked once for each space-separated piece of text.
 
-    The vocabularies this is for drop white space before merging (normaliser, pre-tokeniser and
-    special tokens never span a space), so the ids of a text are those of its pieces in turn.
+    The vocabularies this is for drop white space and case before merging (normaliser,
+    pre-tokeniser and special tokens never span a space), so the ids of a text are those of its
+    pieces in turn. New pieces go to the library together, kept apart by a special token.
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = ["a b", "é 1'll", "á b"]
-        for p in probe:
-            if self._ids([p])[0] != [t for x in self._ids(p.split(" ")) for t in x]:
-                raise ValueError("this vocabulary keeps white space; its texts cannot be cut at spaces")
-        self.clear()
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for p in ["a b", "é 1'll", "á b", "A b\nÉ"]:
+            if self._ids(p) != [t for x in self._plain(p).split(" ") for t in self._ids(x)]:
+                raise ValueError("this vocabulary keeps white space or case; its texts cannot be cut at spaces")
+        self.tokenizer.add_special_tokens([CUT])
+        self.cut = self.tokenizer.token_to_id(CUT)
+        self.index: dict[str, int] = {}
+        self.flat, self.at, self.n, self.hits = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        """Fold what the normaliser folds, so that fewer pieces differ; left alone where Python's
+        folding is another (sigma) or would touch a special token."""
+        return text if "Σ" in text or "<|" in text else text.lower().replace("\n", " ")
+
+    def _learn(self, new: list[str]) -> None:
+        flat, sizes = [self.flat], [self.n]
+        for i in range(0, len(new), 500):
+            part = new[i : i + 500]
+            ids = np.array(self._ids(CUT.join(part) + CUT), np.uint32)
+            ends = np.flatnonzero(ids == self.cut)
+            flat.append(np.delete(ids, ends))
+            sizes.append(np.diff(np.concatenate([[-1], ends])) - 1)
+        self.index.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
+        self.flat, self.n = np.concatenate(flat), np.concatenate(sizes)
+        self.at = np.cumsum(self.n) - self.n
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+
+    def _forget(self) -> None:
+        """Drop the pieces met once only (all of them, if those met again are too many)."""
+        live = np.flatnonzero(self.hits > 1)
+        live = live if len(live) < CACHE // 2 else live[:0]
+        names = list(self.index)
+        self.index = {names[i]: k for k, i in enumerate(live.tolist())}
+        self.flat = self.flat[ragged(self.at[live], self.n[live])]
+        self.n = self.n[live]
+        self.at = np.cumsum(self.n) - self.n
+        self.hits = np.ones(len(live), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
         if len(self.index) > CACHE:
-            self.clear()
+            self._forget()
         flat: list[str] = []
         count = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            p = t.split(" ")
+            p = self._plain(t).split(" ")
             flat += p
             count[i] = len(p)
-        new = [p for p in dict.fromkeys(flat) if p not in self.index]
-        if new:
-            ids = self._ids(new)
-            n = np.array([len(x) for x in ids], np.int64)
-            self.index.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-            self.n = np.concatenate([self.n, n])
-            self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.uint32, int(n.sum()))])
-        where = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        where = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(where < 0)
+        if len(missing):
+            self._learn(list(dict.fromkeys([flat[i] for i in missing.tolist()])))
+            where[missing] = [self.index[flat[i]] for i in missing.tolist()]
+        self.hits += np.bincount(where, minlength=len(self.hits))
         n = self.n[where]
         ends = np.concatenate([[0], np.cumsum(n)])
         b = np.concatenate([[0], np.cumsum(count)])
