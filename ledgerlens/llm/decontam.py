@@ -113,7 +113,7 @@ def _candidates(docs: DataFrame, prints: np.ndarray, windows: np.ndarray, short:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, h, first in _word_chunks(b.column(1)):
+            for lo, hi, h, first in _word_chunks(b.column(2)):
                 n = np.diff(first)
                 own = np.repeat(np.arange(hi - lo), n)
                 last = first[1:][own] if len(own) else own  # end of each word's document
@@ -168,22 +168,24 @@ def _candidates(docs: DataFrame, prints: np.ndarray, windows: np.ndarray, short:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
+                        b.column(1).slice(lo, hi - lo),
                         pa.array(n, pa.int64()),
                         listed(get(hit_print, U64).view(np.int64), count, pa.int64()),
                         listed(get(hit_start, np.int64), count, pa.int32()),
                         listed(get(hit_hash, U64).view(np.int64), count, pa.int64()),
                         listed(get(hit_len, np.int64), count, pa.int32()),
                     ],
-                    ["doc_id", "n_words", "print", "start", "hash", "len"],
+                    ["doc_id", "tk", "n_words", "print", "start", "hash", "len"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_words bigint, print array<bigint>, start array<int>, hash array<bigint>, len array<int>"
+    return docs.select("doc_id", F.xxhash64("text").alias("tk"), "text").mapInArrow(
+        run, f"doc_id {kind}, tk bigint, n_words bigint, print array<bigint>, start array<int>, hash array<bigint>, len array<int>"
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings) and spans of every row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted strings) and spans of every row of ``docs``; then
+    ``tk``, a hash of its text."""
     spark = docs.sparkSession
     prints, windows = _items(benchmark, window, gram)
     windows = cut(spark, windows, "item-windows")
@@ -212,16 +214,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         lambda acc: acc["n"],
     )
     judged = hits.select("row", covered.alias("n_hit"), "items", "spans")
-    out = rows.select("row", "doc_id", "n_words").join(judged, "row", "left")
+    out = rows.select("row", "doc_id", "tk", "n_words").join(judged, "row", "left")
     return out.select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        "tk",
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window."""
+    hit = contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "tk").distinct()
+    gone = (docs["doc_id"].eqNullSafe(hit["doc_id"])) & (F.xxhash64(docs["text"]) == hit["tk"])
+    return docs.join(hit, gone, "left_anti")
+
+
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of ``contamination``."""
     return contamination(docs, benchmark).select(

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -220,11 +220,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent).select("a", "b")
 
 
+def null_first_id(doc_id: Column) -> Column:
+    """The id as a key that is never null; a null counts as the smallest id."""
+    return F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63)))
+
+
+def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component (that of the smallest id);
+    rows without words all stay."""
+    found = near_duplicates(docs, gram, percent).where("n_shingles > 0").withColumn("id0", null_first_id(F.col("doc_id")))
+    kept = found.groupBy("component").agg(F.min(F.struct("id0", "tk")).alias("x")).select("x.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = [null_first_id(F.col("doc_id")).alias("id0"), F.xxhash64("text").alias("tk"), "*"]
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(has_words).select(*key).toDF("id0", "tk", *names).join(kept, ["id0", "tk"])
+    once = Window.partitionBy("id0", "tk").orderBy("id0")  # a repeated row stays once
+    rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(*names)
+    return rows.unionAll(docs.where(~has_words).toDF(*names)).toDF(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, then ``tk`` (hash of the text)."""
+    """doc_id, n_shingles, component_id of every row; then ``tk`` (hash of the text) and
+    ``component`` (a class of the component, null without shingles)."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    null_first = F.coalesce("doc_id", F.lit(-(2**63)))
+    null_first = null_first_id(F.col("doc_id"))
     profiles = cut(spark, _profiles(keyed, gram), "profiles")
     frequent = _frequent(profiles)
     profiles = profiles.select("doc_id", "tk", "n", "sig", null_first.alias("id0"))
@@ -264,7 +284,7 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
         .select("sig", "low", F.coalesce("label", "first").alias("component"))
     )
     lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_class = member.where("sig IS NOT NULL").join(lowest, "component").select("sig", "component_id")
-    empty = profiles.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "tk")
-    out = profiles.where("n > 0").join(of_class, "sig").select("doc_id", "n", "component_id", "tk").unionByName(empty)
+    of_class = member.where("sig IS NOT NULL").join(lowest, "component").select("sig", "component_id", "component")
+    empty = profiles.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "tk", F.lit(None).cast("bigint").alias("component"))
+    out = profiles.where("n > 0").join(of_class, "sig").select("doc_id", "n", "component_id", "tk", "component").unionByName(empty)
     return out.withColumnRenamed("n", "n_shingles")

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("tk")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("tk", "component")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

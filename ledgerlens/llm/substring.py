@@ -154,7 +154,7 @@ def _removal(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, starts, ends, first in _chunks(b.column(2)):
-                total, gone, digest, kept_text = [], [], [], []
+                total, gone, digest, kept_text = [], [], [], []  # one entry per row
                 for i in range(hi - lo):
                     a, e = int(first[i]), int(first[i + 1])
                     at = _places(b, lo + i)
@@ -165,7 +165,8 @@ def _removal(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
                     total.append(e - a)
                     gone.append(e - a - len(s))
                     digest.append(hashlib.sha256(joined).hexdigest())
-                    kept_text.append(joined.decode() if with_text else None)
+                    if with_text:
+                        kept_text.append(joined.decode() if len(s) < e - a else b.column(2)[lo + i].as_py())
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(5).slice(lo, hi - lo),
@@ -201,8 +202,9 @@ def _key(docs: DataFrame) -> list[Column]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row; with ``with_text`` the kept words
-    joined by one space (``kept_text``) and the columns ``keep``."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row; with ``with_text`` also
+    ``kept_text`` (the kept words joined by one space, or the text as it is where all are kept) and
+    the columns ``keep``."""
     lengths = levels(window)
     base = docs.select(*_key(docs), "text", "doc_id", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     order = Window.partitionBy("h").orderBy("id", "th", "at")

@@ -25,7 +25,8 @@ def brute(rows, window=20):
             if first[tuple(w[i : i + window])] != (k, i):
                 gone[i : i + window] = [True] * window
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        result[row] = (row[0], len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        digest = hashlib.sha256(kept.encode()).hexdigest()
+        result[row] = (row[0], len(w), sum(gone), digest, kept if any(gone) else row[1])
     return sorted((result[r] for r in rows), key=repr)
 
 
