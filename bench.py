@@ -27,9 +27,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from ledgerlens.plans.registry import CORRECTED, REGISTRY, tables_for  # noqa: E402
+from ledgerlens.plans.registry import CORRECTED, REGISTRY  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
-from ledgerlens.sources import TABLE_NAMES, read_parquet_tables  # noqa: E402
+from ledgerlens.sources import TABLE_NAMES, fixture_tables, read_parquet_tables  # noqa: E402
 
 
 def main() -> None:
@@ -59,7 +59,7 @@ def main() -> None:
     stored = {}
     if os.environ.get("BENCH_BUSINESS_TABLES", "1") != "0":
         root = tempfile.mkdtemp(prefix="ledgerlens-bench-")
-        derived = tables_for(spark, sf_dir)
+        derived = fixture_tables(spark, sf_dir)
         for name in TABLE_NAMES:
             getattr(derived, name).write.mode("overwrite").parquet(f"{root}/{name}")
         t = read_parquet_tables(spark, root)

@@ -3,7 +3,6 @@
 from .exact import as_fraction, big, cents, ratio, ratio_scaled, scaled_to_double
 from .fmt import dollars, year_month
 from .timeutil import (
-    DEFAULT_AS_OF,
     add_months,
     elapsed_days,
     minus_days,
@@ -19,7 +18,6 @@ from .timeutil import (
 )
 
 __all__ = [
-    "DEFAULT_AS_OF",
     "add_months",
     "as_fraction",
     "big",

@@ -8,21 +8,20 @@ pushes them into the Parquet scan as ``PushedFilters``.
 from __future__ import annotations
 
 import calendar
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the instant the fixture analyses are evaluated at (replaces NOW()).
-DEFAULT_AS_OF = datetime(2025, 8, 1, 0, 0, 0)
-
 
 def parse_as_of(as_of: datetime | str | None) -> datetime:
+    """The evaluation instant as a wall-clock time in UTC: the time of the call when not
+    given; an instant with an offset is converted."""
     if as_of is None:
-        return DEFAULT_AS_OF
+        as_of = datetime.now(timezone.utc)
     if isinstance(as_of, str):
-        return datetime.fromisoformat(as_of)
-    return as_of
+        as_of = datetime.fromisoformat(as_of)
+    return as_of.astimezone(timezone.utc).replace(tzinfo=None) if as_of.tzinfo else as_of
 
 
 def add_months(ts: datetime, months: int) -> datetime:

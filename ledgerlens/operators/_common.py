@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def whole():
     """A window over the whole (already aggregated) result.
 
-    Only used after a groupBy whose keys come from a small closed domain (plans, years,
-    regions, reasons, features), so the single-partition window sees tens of rows
-    whatever the size of the input tables.
+    Only used after a groupBy whose keys the business fixes (plans, years, regions, features),
+    so the single-partition window sees tens of rows whatever the size of the input tables. Groups
+    by free text take ``total`` instead.
     """
     return Window.partitionBy()
 
@@ -22,6 +21,12 @@ def total_over_groups(c: str | Column) -> Column:
     return F.sum(c).over(whole())
 
 
+def total(groups: DataFrame, c: str) -> Column:
+    """``SUM(c)`` over a grouped result as a scalar subquery: the groups may be many, as no task
+    gets them all. The subquery's aggregate is the one of ``groups``, run once (reused)."""
+    return groups.select(F.sum(c)).scalar()
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """Combine one-row global aggregates with disjoint columns into a single row.
 

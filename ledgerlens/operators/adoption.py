@@ -21,7 +21,7 @@ from ..functions import (
 from ..sources import Tables
 from ._common import whole
 
-# Segment labels of the feature-vs-churn comparison.
+# Default segment labels of the feature-vs-churn comparison.
 FEATURE_SEGMENT = "AI User"
 OTHER_SEGMENT = "Non-AI User"
 
@@ -85,6 +85,7 @@ def feature_usage_vs_churn(
     segment_plan: str = "business",
     statuses: tuple[str, ...] = ("active", "churned"),
     lookback_months: int = 6,
+    segment_labels: tuple[str, str] = (FEATURE_SEGMENT, OTHER_SEGMENT),
 ) -> DataFrame:
     """Churn rate of a plan's users who actively used one feature against the rest, and
     the relative reduction against the worst segment (3.2).
@@ -120,7 +121,7 @@ def feature_usage_vs_churn(
         .distinct()
     )
     j = base.join(users_of_feature, "user_id", "left").join(churners, "user_id", "left")
-    segment = F.when(F.col("uses_feature"), FEATURE_SEGMENT).otherwise(OTHER_SEGMENT)
+    segment = F.when(F.col("uses_feature"), segment_labels[0]).otherwise(segment_labels[1])
     g = j.groupBy(segment.alias("user_segment")).agg(
         F.count("user_id").alias("total_users"),
         F.count(F.when(F.col("churned"), F.col("user_id"))).alias("churned_users"),
@@ -152,25 +153,17 @@ def feature_stickiness(
     As specified, ``retained_users`` sums the retention flag over monthly usage rows while
     ``total_users`` is distinct, so the rate can pass 100%; ``distinct_retained=True``
     (``feature_stickiness_distinct``) counts retained users once. Events are reduced to
-    the last event per user before the join, usage to rows per (user, feature).
+    the last event per user before the join, usage to rows per (user, feature); ``users`` has
+    one row per user (checked when it is read).
     """
     cut = minus_days(parse_as_of(as_of), retention_days)
     last_event = t.events.groupBy("user_id").agg(F.max("created_at").alias("last_at"))
     eligible = t.users.where(
         (F.col("signup_date") <= ts_lit(cut)) & (F.col("plan_type") != free_plan)
     )
-    retention = (
-        eligible.join(last_event, "user_id", "left")
-        .groupBy("user_id", "plan_type", "signup_date")
-        .agg(F.max("last_at").alias("last_at"))
-        .select(
-            "user_id",
-            F.when(
-                F.col("last_at") >= plus_days(F.col("signup_date"), retention_days), 1
-            )
-            .otherwise(0)
-            .alias("retained_90d"),
-        )
+    kept = F.col("last_at") >= plus_days(F.col("signup_date"), retention_days)
+    retention = eligible.join(last_event, "user_id", "left").select(
+        "user_id", F.when(kept, 1).otherwise(0).alias("retained_90d")
     )
     usage = (
         t.feature_usage.where(F.col("is_active_user"))
@@ -178,15 +171,14 @@ def feature_stickiness(
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     weight = F.lit(1) if distinct_retained else F.col("rows")
-    retained = F.max if distinct_retained else F.sum
-    per_user = (
+    # one row per (user, feature) on the one side and per user on the other
+    g = (
         usage.join(retention, "user_id")
-        .groupBy("feature_name", "user_id")
-        .agg(retained(F.col("retained_90d") * weight).alias("retained"))
-    )
-    g = per_user.groupBy("feature_name").agg(
-        F.count("user_id").alias("total_users"),
-        F.sum("retained").cast("bigint").alias("retained_users"),
+        .groupBy("feature_name")
+        .agg(
+            F.count("user_id").alias("total_users"),
+            F.sum(F.col("retained_90d") * weight).cast("bigint").alias("retained_users"),
+        )
     )
     rate = ratio(F.col("retained_users") * 100, F.col("total_users"), 1)
     g = g.withColumn("retention_rate_pct", rate)

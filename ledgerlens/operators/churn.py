@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -25,7 +25,7 @@ from ..functions import (
     year_month,
 )
 from ..sources import Tables
-from ._common import total_over_groups
+from ._common import total
 
 
 def _monthly_churners(t: Tables, since: datetime) -> DataFrame:
@@ -77,15 +77,12 @@ def monthly_churn_rate_active_base(
     """Corrected 2.1: the denominator is the base active at the start of each month.
 
     A subscription counts in month M when it started before M and had not ended before M
-    (``end_date`` NULL or ``>= M``). Each subscription becomes a bitmask of the window
-    months it covers; the masks are OR-ed per (plan, user) by a partial plus final
-    aggregate (a user with many subscriptions collapses map-side), and only then is each
-    (plan, user) expanded to its covered months, at most ``lookback_months + 1`` rows, and
-    counted. Churners as in 2.1; a month with churners but no active base is kept with a
-    NULL rate.
+    (``end_date`` NULL or ``>= M``). Each subscription is an interval of window months; a
+    (plan, user)'s distinct intervals are gathered by a partial plus final aggregate (a user
+    with many subscriptions collapses map-side; there are at most as many intervals as pairs
+    of window months), turned into distinct months, and counted. Churners as in 2.1; a month
+    with churners but no active base is kept with a NULL rate.
     """
-    if lookback_months > 61:
-        raise ValueError("lookback_months must fit a 62-bit month mask")
     first = add_months(month_floor(parse_as_of(as_of)), -lookback_months)
     n_months = lookback_months + 1
     last = add_months(first, lookback_months)
@@ -101,25 +98,25 @@ def monthly_churn_rate_active_base(
     )
     hi_end = months_between_starts(month_start(F.col("end_date")), ts_lit(first))
     hi = F.least(F.coalesce(hi_end, F.lit(n_months - 1)), F.lit(n_months - 1))
-    one = F.lit(1).cast("bigint")
-    shl = lambda n: F.call_function("shiftleft", one, n.cast("int"))
-    mask = F.when(lo <= hi, shl(hi + 1) - shl(lo)).otherwise(F.lit(0).cast("bigint"))
-    per_user = s.groupBy("plan", "user_id").agg(F.bit_or(mask).alias("mask"))
-    months = F.filter(
-        F.sequence(F.lit(0), F.lit(n_months - 1)),
-        lambda k: F.call_function("shiftright", F.col("mask"), k).bitwiseAND(F.lit(1)) == 1,
-    )
-    covered = per_user.where(F.col("user_id").isNotNull()).select(
-        "plan", F.explode(months).alias("k")
+    spans = (
+        s.where(F.col("user_id").isNotNull())
+        .select("plan", "user_id", F.struct(lo.alias("lo"), hi.alias("hi")).alias("span"))
+        .where("span.lo <= span.hi")
     )
+    per_user = spans.groupBy("plan", "user_id").agg(F.collect_set("span").alias("spans"))
+    months = F.flatten(F.transform("spans", lambda x: F.sequence(x["lo"], x["hi"])))
+    covered = per_user.select("plan", F.explode(F.array_distinct(months)).alias("k"))
     base = covered.groupBy("plan", "k").agg(F.count(F.lit(1)).alias("active_base"))
     base = base.select(
-        "plan", plus_months(ts_lit(first), F.col("k")).alias("month"), "active_base"
+        "plan", plus_months(ts_lit(first), F.col("k").cast("int")).alias("month"), "active_base"
     )
     churn = _monthly_churners(t, first).where(F.col("month") < ts_lit(add_months(last, 1)))
     j = base.join(churn, ["plan", "month"], "full")
     churned = F.coalesce(F.col("churned_users"), F.lit(0)).cast("bigint")
-    return j.orderBy(F.asc_nulls_last("plan"), F.asc_nulls_last("month")).select(
+    # a NULL plan matches nothing, so its base and its churners are two rows of one month
+    return j.orderBy(
+        F.asc_nulls_last("plan"), F.asc_nulls_last("month"), F.desc_nulls_last("active_base")
+    ).select(
         "plan",
         year_month(F.col("month")).alias("month"),
         F.coalesce(F.col("active_base"), F.lit(0)).cast("bigint").alias("active_base"),
@@ -149,7 +146,7 @@ def churn_reason_topn(
         g.select(
             "churn_reason",
             "churn_count",
-            ratio(F.col("churn_count") * 100, total_over_groups("churn_count"), 1).alias(
+            ratio(F.col("churn_count") * 100, total(g, "churn_count"), 1).alias(
                 "pct_of_plus_churn"
             ),
         )
@@ -158,22 +155,40 @@ def churn_reason_topn(
     )
 
 
-def _plus_cohorts(t: Tables, plan: str) -> tuple[DataFrame, DataFrame]:
-    """(users of the plan with their signup month, their distinct churn months).
+def _cohort_offsets(t: Tables, plan: str, offset) -> DataFrame:
+    """(cohort_month, k, n): the plan's users of a signup month that churned k months on, by
+    ``offset(churn_month, cohort_month)``; and with k NULL all its users.
 
-    Churn rows are reduced to distinct (user, churn month) before the join: the counts
-    below are distinct users, so duplicates never mattered, and a user with a huge
-    number of churn rows is collapsed map-side instead of skewing the outer join.
+    One pass over users: churn rows are reduced to a user's distinct months before the join (a
+    user with very many churn rows collapses map-side), and each user then is one row per
+    distinct offset and one for itself. ``users`` has one row per user.
     """
-    u = t.users.where(F.col("plan_type") == plan).select(
+    churned = (
+        t.churn_events.where((F.col("plan") == plan) & F.col("user_id").isNotNull() & F.col("churn_date").isNotNull())
+        .groupBy("user_id")
+        .agg(F.collect_set(month_start(F.col("churn_date"))).alias("churn_months"))
+    )
+    users = t.users.where((F.col("plan_type") == plan) & F.col("user_id").isNotNull()).select(
         "user_id", month_start(F.col("signup_date")).alias("cohort_month")
     )
-    ce = (
-        t.churn_events.where(F.col("plan") == plan)
-        .select("user_id", month_start(F.col("churn_date")).alias("churn_month"))
-        .distinct()
+    months = F.coalesce("churn_months", F.array().cast("array<timestamp_ntz>"))
+    offsets = F.transform(months, lambda m: offset(m, F.col("cohort_month")))
+    own = F.array(F.lit(None).cast("bigint"))
+    rows = users.join(churned, "user_id", "left").select(
+        "cohort_month", F.explode(F.concat(own, F.array_distinct(F.filter(offsets, lambda k: k.isNotNull())))).alias("k")
     )
-    return u, ce
+    return rows.groupBy("cohort_month", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _curve(g: DataFrame) -> DataFrame:
+    return g.select(
+        "months_since_signup",
+        "total_churned",
+        "total_cohort",
+        ratio(F.col("total_churned") * 100, F.col("total_cohort"), 2).alias(
+            "churn_rate_at_month"
+        ),
+    ).orderBy("months_since_signup")
 
 
 def churn_cohort_curve(
@@ -185,29 +200,15 @@ def churn_cohort_curve(
     months counts as 1 and 12 never occurs), and a cohort enters an offset's denominator
     only if it has a churner at that offset. ``churn_cohort_curve_true_months`` fixes both.
     """
-    u, ce = _plus_cohorts(t, plan)
-    cohort_size = u.groupBy("cohort_month").agg(
-        F.count_distinct("user_id").alias("cohort_users")
-    )
-    offset = month_component_of_age(F.col("churn_month"), F.col("cohort_month"))
-    churned = (
-        u.join(ce, "user_id")
-        .select("user_id", "cohort_month", offset.alias("months_since_signup"))
-        .where(F.col("months_since_signup").between(0, max_month))
-        .groupBy("cohort_month", "months_since_signup")
-        .agg(F.count_distinct("user_id").alias("churned"))
-    )
-    g = churned.join(cohort_size, "cohort_month").groupBy("months_since_signup").agg(
-        F.sum("churned").alias("total_churned"), F.sum("cohort_users").alias("total_cohort")
+    rows = _cohort_offsets(t, plan, month_component_of_age)
+    of_cohort = Window.partitionBy("cohort_month")
+    sized = rows.withColumn("size", F.max(F.when(F.col("k").isNull(), F.col("n"))).over(of_cohort))
+    g = (
+        sized.where(F.col("k").between(0, max_month))
+        .groupBy(F.col("k").alias("months_since_signup"))
+        .agg(F.sum("n").alias("total_churned"), F.sum("size").alias("total_cohort"))
     )
-    return g.select(
-        "months_since_signup",
-        "total_churned",
-        "total_cohort",
-        ratio(F.col("total_churned") * 100, F.col("total_cohort"), 2).alias(
-            "churn_rate_at_month"
-        ),
-    ).orderBy("months_since_signup")
+    return _curve(g)
 
 
 def churn_cohort_curve_true_months(
@@ -220,49 +221,25 @@ def churn_cohort_curve_true_months(
     denominator of offset k is every cohort old enough to have reached it
     (``cohort_month + k months <= month(as_of)``), whether or not anyone churned.
 
-    The offset spine is expanded per cohort (one row per signup month and offset), which
-    is bounded by the number of signup months times ``max_month + 1``.
+    A cohort's own row is expanded to the offsets it has reached, at most ``max_month + 1``
+    rows per signup month; churn counts of reached offsets are added to them, no join.
     """
     current = month_floor(parse_as_of(as_of))
-    u, ce = _plus_cohorts(t, plan)
-    cohort_size = u.where(F.col("cohort_month").isNotNull()).groupBy("cohort_month").agg(
-        F.count_distinct("user_id").alias("cohort_users")
+    rows = _cohort_offsets(t, plan, months_between_starts).where(F.col("cohort_month").isNotNull())
+    age = months_between_starts(ts_lit(current), F.col("cohort_month"))
+    reached = F.least(age, F.lit(max_month).cast("bigint"))
+    spine = rows.where(F.col("k").isNull() & (age >= 0)).select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), reached)).alias("months_since_signup"),
+        F.lit(0).cast("bigint").alias("churned"),
+        F.col("n").alias("size"),
     )
-    spine = (
-        cohort_size.select(
-            "cohort_month",
-            "cohort_users",
-            F.explode(F.sequence(F.lit(0), F.lit(max_month))).alias("k"),
-        )
-        .where(plus_months(F.col("cohort_month"), F.col("k")) <= ts_lit(current))
-        .select(
-            "cohort_month", "cohort_users", F.col("k").cast("bigint").alias("months_since_signup")
-        )
-    )
-    offset = months_between_starts(F.col("churn_month"), F.col("cohort_month"))
-    churned = (
-        u.join(ce, "user_id")
-        .select("user_id", "cohort_month", offset.alias("months_since_signup"))
-        .where(F.col("months_since_signup").between(0, max_month))
-        .groupBy("cohort_month", "months_since_signup")
-        .agg(F.count_distinct("user_id").alias("churned"))
+    hits = rows.where(F.col("k").between(0, reached)).select(
+        F.col("k").alias("months_since_signup"), F.col("n").alias("churned"), F.lit(0).cast("bigint").alias("size")
     )
-    g = (
-        spine.join(churned, ["cohort_month", "months_since_signup"], "left")
-        .groupBy("months_since_signup")
-        .agg(
-            F.coalesce(F.sum("churned"), F.lit(0)).cast("bigint").alias("total_churned"),
-            F.sum("cohort_users").alias("total_cohort"),
-        )
+    g = spine.unionAll(hits).groupBy("months_since_signup").agg(
+        F.sum("churned").alias("total_churned"), F.sum("size").alias("total_cohort")
     )
-    return g.select(
-        "months_since_signup",
-        "total_churned",
-        "total_cohort",
-        ratio(F.col("total_churned") * 100, F.col("total_cohort"), 2).alias(
-            "churn_rate_at_month"
-        ),
-    ).orderBy("months_since_signup")
+    return _curve(g)
 
 
 def revenue_leakage(

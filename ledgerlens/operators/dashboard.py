@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +65,7 @@ def health_dashboard(
         .agg(F.sum("c").alias("churn_rows"), F.count(F.lit(1)).alias("churn_months"))
     )
     lo, hi = datetime(dashboard_year, 1, 1), datetime(dashboard_year + 1, 1, 1)
-    revenue = t.scan("payments", since=lo, until=hi).where(
+    revenue = t.scan("payments", since=lo, until=hi - timedelta(microseconds=1)).where(
         (F.col("status") == status)
         & (F.col("payment_date") >= ts_lit(lo))
         & (F.col("payment_date") < ts_lit(hi))

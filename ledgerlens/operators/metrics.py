@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ def annual_revenue_growth(
     millions; growth uses the unrounded sums. A missing year is skipped, not zero-filled.
     """
     lo, hi = datetime(year_from, 1, 1), datetime(year_to + 1, 1, 1)
-    p = t.scan("payments", since=lo, until=hi).where(
+    p = t.scan("payments", since=lo, until=hi - timedelta(microseconds=1)).where(
         (F.col("status") == status)
         & (F.col("payment_date") >= ts_lit(lo))
         & (F.col("payment_date") < ts_lit(hi))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import as_fraction, elapsed_days, plus_days, ratio
 from ..sources import Tables
-from ._common import total_over_groups
+from ._common import total
 
 # The event types that count as upgrade triggers.
 TRIGGER_EVENT_TYPES = (
@@ -26,60 +26,38 @@ def upgrade_rate(
     from_plan: str = "plus",
     upgrade_plans: tuple[str, ...] = UPGRADE_PLANS,
     benchmark_pct: float | str = "25.0",
-    salt_buckets: int = 16,
 ) -> DataFrame:
     """Share of users who ever held ``from_plan`` and later started a higher plan, mean
     whole days to that upgrade, and the gap to a benchmark rate (5.1).
 
     The cohort is one row per user (first ``from_plan`` start). The upgrade is the first
-    higher-plan start strictly after it, found by joining the cohort to the higher-plan
-    subscription rows on ``user_id`` with the time order as a residual predicate.
-
-    Skew: the higher-plan side is raw rows, so a user holding a third of them would put a
-    third of the join into one task, and the time condition is unbounded, so the rows
-    cannot be reduced per user beforehand. The join is salted instead: each subscription
-    row gets a deterministic salt from its own columns (a retried task recomputes the same
-    salt), and each cohort row is repeated once per salt, so the join key
-    ``(user_id, salt)`` spreads a hot user over ``salt_buckets`` tasks. The repeated side
-    is the per-user cohort, ``salt_buckets`` rows per user. The per-user minimum is then
-    a partial plus final aggregate, exact whatever the salt.
+    higher-plan start strictly after it. As only that minimum is taken, the higher-plan side
+    is first reduced to distinct (user, start) by a partial aggregate, so a user with very
+    many rows shrinks to their distinct starts; the two sides meet once on ``user_id`` with the
+    time order as a residual predicate, and users without a later start stay in the count.
     """
     subs = t.subscriptions
     cohort = (
-        subs.where(F.col("plan") == from_plan)
+        subs.where((F.col("plan") == from_plan) & F.col("user_id").isNotNull())
         .groupBy("user_id")
         .agg(F.min("start_date").alias("plus_start"))
     )
-    salted_cohort = cohort.select(
-        "user_id",
-        "plus_start",
-        F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))).alias("salt"),
-    )
-    higher = subs.where(F.col("plan").isin(*upgrade_plans)).select(
-        F.col("user_id").alias("h_user"),
-        F.col("start_date").alias("up_start"),
-        F.pmod(F.xxhash64("sub_id", "start_date"), F.lit(salt_buckets)).cast("int").alias(
-            "h_salt"
-        ),
+    higher = (
+        subs.where(F.col("plan").isin(*upgrade_plans))
+        .select(F.col("user_id").alias("h_user"), F.col("start_date").alias("up_start"))
+        .distinct()
     )
-    upgraded = (
-        salted_cohort.join(
-            higher,
-            (F.col("user_id") == F.col("h_user"))
-            & (F.col("salt") == F.col("h_salt"))
-            & (F.col("up_start") > F.col("plus_start")),
-        )
+    after = (F.col("user_id") == F.col("h_user")) & (F.col("up_start") > F.col("plus_start"))
+    m = (
+        cohort.join(higher, after, "left")
         .groupBy("user_id")
+        .agg(elapsed_days(F.min("up_start"), F.min("plus_start")).alias("days_to_upgrade"))
         .agg(
-            elapsed_days(F.min("up_start"), F.min("plus_start")).alias("days_to_upgrade"),
+            F.count("user_id").alias("total_plus_users"),
+            F.count("days_to_upgrade").alias("total_upgraded"),
+            F.sum("days_to_upgrade").alias("days_sum"),
+            F.count("days_to_upgrade").alias("days_n"),
         )
-        .withColumn("upgraded", F.lit(1))
-    )
-    m = cohort.join(upgraded, "user_id", "left").agg(
-        F.count("user_id").alias("total_plus_users"),
-        F.count("upgraded").alias("total_upgraded"),
-        F.sum("days_to_upgrade").alias("days_sum"),
-        F.count("days_to_upgrade").alias("days_n"),
     )
     bench = as_fraction(benchmark_pct)
     total, up = F.col("total_plus_users"), F.col("total_upgraded")
@@ -113,11 +91,12 @@ def upgrade_triggers(
     the sum of the group counts. Ties at the cut are broken by event type, then feature.
 
     The time-range join is made an equi-join on (user, calendar day): each user's first
-    upgrade is expanded to the ``window_days + 1`` days its closed window touches, each
-    event carries its own day, and the exact bounds stay as a residual predicate. An event
-    can only meet the one row of its own day, so nothing is counted twice; the expansion
-    is bounded by the window, and a user with a huge number of events is spread over
-    their days instead of landing in one join task.
+    upgrade is expanded to the ``window_days + 1`` days its closed window touches. Events are
+    first reduced to one row per (user, day, event type, feature) with the first and the last
+    time. The window's first and last day differ, so on its first day the last event decides,
+    on its last day the first event, and in between any: ``last >= start and first <= end`` is
+    exact. A user with very many events on one day is one row per type and feature. (For a
+    window of 0 days, one instant, the reduction is by the exact time.)
     """
     first_upgrade = (
         t.subscriptions.where(F.col("plan").isin(*upgrade_plans))
@@ -132,14 +111,13 @@ def upgrade_triggers(
             F.sequence(F.to_date(window_start), F.to_date(F.col("upgrade_date")))
         ).alias("day"),
     )
-    ev = t.events.where(F.col("event_type").isin(*trigger_types)).select(
-        F.col("user_id").alias("e_user"),
-        "event_type",
-        "feature_name",
-        "created_at",
-        F.to_date("created_at").alias("e_day"),
+    at = [] if window_days else ["created_at"]
+    ev = (
+        t.events.where(F.col("event_type").isin(*trigger_types))
+        .groupBy(F.col("user_id").alias("e_user"), F.to_date("created_at").alias("e_day"), "event_type", "feature_name", *at)
+        .agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
     )
-    in_window = F.col("created_at").between(window_start, F.col("upgrade_date"))
+    in_window = (F.col("last_at") >= window_start) & (F.col("first_at") <= F.col("upgrade_date"))
     j = ev.join(
         days,
         (F.col("e_user") == F.col("user_id")) & (F.col("e_day") == F.col("day")) & in_window,
@@ -152,7 +130,7 @@ def upgrade_triggers(
             F.col("event_type").alias("last_action_before_upgrade"),
             "feature_name",
             "user_count",
-            ratio(F.col("user_count") * 100, total_over_groups("user_count"), 1).alias(
+            ratio(F.col("user_count") * 100, total(g, "user_count"), 1).alias(
                 "pct_of_upgrades"
             ),
         )

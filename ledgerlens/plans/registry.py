@@ -1,24 +1,28 @@
-"""Registry of the analyses: name -> Spark builder, oracle SQL and fixture parameters.
+"""Registry of the analyses: name -> Spark builder, oracle SQL and parameters.
 
-``__spark_entry__`` and ``bench.py`` read this table; nothing else is special about it.
-Every entry runs over the whole business tables derived from the test data directory.
+Two sets of parameters are kept apart. ``variant`` belongs to an entry (it is what makes a
+corrected variant another analysis). ``fixture`` is what the test tables need (a fixed instant,
+their feature name, their base size) and is used by ``run``, ``on_dir`` and ``oracle_sql`` only:
+the driver's queries, the bench and the tests. ``on`` is the product's way in (command line,
+views): the operator's own defaults, overridden by what the caller gives.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import operators as ops
 from .. import oracle
-from ..functions import DEFAULT_AS_OF
 from ..sources import Tables, fixture_tables
 
 # Fixture parameters (FIXTURES.md section 3).
-AS_OF = DEFAULT_AS_OF
+AS_OF = datetime(2025, 8, 1)
 AI_FEATURE = "ai_assistant"
 PLUS_BASE = 1000
 
@@ -27,37 +31,51 @@ PLUS_BASE = 1000
 class Analysis:
     name: str
     build: Callable[..., DataFrame]
-    sql: Callable[..., str] | None
-    params: dict[str, Any] = field(default_factory=dict)
+    sql: Callable[..., str]
+    fixture: dict[str, Any] = field(default_factory=dict)
+    variant: dict[str, Any] = field(default_factory=dict)
+
+    @property
+    def params(self) -> dict[str, Any]:
+        return {**self.fixture, **self.variant}
+
+    def accepts(self, name: str) -> bool:
+        """Whether a caller may set this parameter."""
+        return name not in self.variant and name in list(inspect.signature(self.build).parameters)[1:]
+
+    def on(self, tables: Tables, **overrides: Any) -> DataFrame:
+        """The analysis on real tables; an unknown parameter raises."""
+        unknown = [k for k in overrides if not self.accepts(k)]
+        if unknown:
+            raise TypeError(f"{self.name} has no parameter {', '.join(unknown)}")
+        return self.build(tables, **self.variant, **overrides)
 
     def run(self, tables: Tables) -> DataFrame:
         return self.build(tables, **self.params)
 
-    def oracle_sql(self) -> str | None:
-        return None if self.sql is None else self.sql(**self.params)
+    def oracle_sql(self) -> str:
+        return self.sql(**self.params)
 
     def on_dir(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.run(tables_for(spark, sf_dir))
-
+        # the tables are listed anew for every query: files added since the last one count
+        return self.run(fixture_tables(spark, sf_dir))
 
-_TABLES: dict[tuple[str, str], Tables] = {}
 
+def split_overrides(names: list[str], given: dict[str, Any]) -> dict[str, dict[str, Any]]:
+    """The given parameters for each named analysis that has them; one that none has raises."""
+    out = {n: {k: v for k, v in given.items() if REGISTRY[n].accepts(k)} for n in names}
+    unused = [k for k in given if not any(k in p for p in out.values())]
+    if unused:
+        raise TypeError(f"no parameter of {', '.join(names)}: {', '.join(unused)}")
+    return out
 
-def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    """The business tables over one test-data directory, built once per Spark application.
 
-    Only the logical plans are shared between analyses; every action still reads and
-    computes everything from the files.
-    """
-    app = spark.conf.get("spark.app.id", None) or str(id(spark))  # also under Spark Connect
-    key = (app, sf_dir)
-    if key not in _TABLES:
-        _TABLES[key] = fixture_tables(spark, sf_dir)
-    return _TABLES[key]
+_VARIANT = ("per_user", "distinct_retained", "leader_nulls_first")
 
 
-def _a(name: str, build: Callable[..., DataFrame], sql: Callable[..., str] | None, **params):
-    return Analysis(name, build, sql, params)
+def _a(name: str, build: Callable[..., DataFrame], sql: Callable[..., str], **params):
+    variant = {k: v for k, v in params.items() if k in _VARIANT}
+    return Analysis(name, build, sql, {k: v for k, v in params.items() if k not in _VARIANT}, variant)
 
 
 ANALYSES: list[Analysis] = [

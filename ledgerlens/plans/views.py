@@ -12,23 +12,22 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..sources import TABLE_NAMES, Tables
-from .registry import REGISTRY
+from .registry import REGISTRY, split_overrides
 
 
 def register_views(
     spark: SparkSession, t: Tables, as_of=None, prefix: str = "", **params
 ) -> list[str]:
     """Register ``{prefix}{table}`` for the seven tables and ``{prefix}{analysis}`` for
-    every registered analysis (its fixture parameters, overridden by ``as_of`` and
-    ``params`` where they apply). Returns the view names."""
+    every registered analysis. ``as_of`` and ``params`` go to each analysis that has them; the
+    others keep their own defaults, and a name that no analysis has raises. Returns the view
+    names."""
     names = []
     for name in TABLE_NAMES:
         getattr(t, name).createOrReplaceTempView(prefix + name)
         names.append(prefix + name)
-    given = {"as_of": as_of, **params}
-    for name, a in REGISTRY.items():
-        p = dict(a.params)
-        p.update({k: v for k, v in given.items() if v is not None and k in p})
-        a.build(t, **p).createOrReplaceTempView(prefix + name)
+    given = params if as_of is None else {"as_of": as_of, **params}
+    for name, p in split_overrides(list(REGISTRY), given).items():
+        REGISTRY[name].on(t, **p).createOrReplaceTempView(prefix + name)
         names.append(prefix + name)
     return names

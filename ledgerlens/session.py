@@ -7,7 +7,6 @@ put in it. ``local_session`` is for tests and the benchmark.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -52,6 +51,16 @@ def tuned_conf(shuffle_partitions: int) -> dict[str, str]:
     }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a running session, except those its user has set already.
+    ``spark.sql.shuffle.partitions`` stays the user's."""
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for k, v in tuned_conf(0).items():
+        if k not in given and k != "spark.sql.shuffle.partitions":
+            spark.conf.set(k, v)
+    return spark
+
+
 def local_session(
     cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens"
 ) -> SparkSession:
@@ -65,34 +74,4 @@ def local_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set a scratch one when unset.
-
-    None of the analyses needs to cut lineage (each is a short DAG of scans, joins and
-    aggregates that Spark recomputes from its shuffle files if an executor is lost), but
-    a caller that checkpoints must land in the shared folder the cluster names. A local
-    scratch folder is only acceptable in local mode (tests, benchmark).
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        _set_rdd_checkpoint_dir(spark, current)
-        return current
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
-    path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    _set_rdd_checkpoint_dir(spark, path)
-    return path
-
-
-def _set_rdd_checkpoint_dir(spark: SparkSession, path: str) -> None:
-    # Classic sessions also register it with the SparkContext; a Spark Connect session
-    # has no SparkContext and uses the configuration only.
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # noqa: BLE001 - Spark Connect raises a session-specific error here
-        pass

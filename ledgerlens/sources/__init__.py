@@ -4,7 +4,7 @@ from .fixture import fixture_tables
 from .layout import read_business_tables, write_business_tables
 from .schema import SCHEMAS, check_schema
 from .tables import TABLE_NAMES, Tables, read_parquet_tables
-from .validate import check_unique_keys, duplicate_keys
+from .validate import check_unique_keys, duplicate_keys, require_unique
 
 __all__ = [
     "SCHEMAS",
@@ -16,5 +16,6 @@ __all__ = [
     "fixture_tables",
     "read_business_tables",
     "read_parquet_tables",
+    "require_unique",
     "write_business_tables",
 ]

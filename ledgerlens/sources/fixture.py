@@ -4,15 +4,18 @@ The test data (``customer orders lineitem events nation region``) does not conta
 seven business tables, so each one is a Spark plan over those tables, following the
 mapping written down in FIXTURES.md. Nothing is materialised: an analysis that reads
 ``payments`` plans ``lineitem JOIN orders`` and Catalyst prunes it to the columns the
-analysis uses. The oracle SQL (``ledgerlens.oracle``) inlines the same mapping.
+analysis uses; an analysis' time bounds are moved onto the raw time columns, so they reach the
+Parquet scan. The oracle SQL (``ledgerlens.oracle``) inlines the same mapping.
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import month_start, plus_days, plus_months
+from ..functions.timeutil import add_months, month_floor, month_start, plus_days, plus_months, ts_lit
 from .tables import Tables
 
 # Fixed values of the fixture mapping (FIXTURES.md section 3).
@@ -108,8 +111,18 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             (orders["o_orderkey"] % CHURN_DELAY_MODULUS).cast("int"),
         )
 
-    def subscriptions() -> DataFrame:
-        o = raw("orders")
+    def between(df: DataFrame, c: str, since, until, months: int, before: int = 0, after: int = 0):
+        """Rows whose raw time ``c`` can give a time in [since, until] once it is moved by
+        ``months`` and by between -``before`` and +``after`` days. One day is added on either
+        side for the clamping of month ends; callers keep their exact predicate."""
+        if since is not None:
+            df = df.where(F.col(c) >= ts_lit(add_months(since, -months) - timedelta(days=after + 1)))
+        if until is not None:
+            df = df.where(F.col(c) <= ts_lit(add_months(until, -months) + timedelta(days=before + 1)))
+        return df
+
+    def subscriptions(since=None, until=None) -> DataFrame:
+        o = between(raw("orders"), "o_orderdate", since, until, YEAR_SHIFT * 12)
         status = (
             F.when(o.o_orderstatus == "O", "active")
             .when(o.o_orderstatus == "F", "churned")
@@ -152,8 +165,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             (F.col("c_acctbal") > 0).alias("is_active"),
         )
 
-    def churn_events() -> DataFrame:
+    def churn_events(since=None, until=None) -> DataFrame:
         o = raw("orders").where(F.col("o_orderstatus") == "F")
+        o = between(o, "o_orderdate", since, until, YEAR_SHIFT * 12, after=CHURN_DELAY_MODULUS)
         reason = F.least(o.o_orderkey % CHURN_REASON_MODULUS, F.lit(CHURN_REASON_CAP))
         return o.select(
             o.o_orderkey.alias("churn_id"),
@@ -163,19 +177,14 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             F.concat(F.lit("reason_"), reason.cast("string")).alias("churn_reason"),
         )
 
-    def order_lines() -> DataFrame:
-        # Line items are hash-partitioned on the order key before meeting their order:
-        # the distribution a sort-merge join on that key needs anyway (orders is then
-        # shuffled into the same partitions, nothing is shuffled twice), made explicit so
-        # that a source stored in a few large row groups is still joined and aggregated
-        # by many tasks.
+    def order_lines(since, until) -> DataFrame:
+        # the join takes the exchange (or broadcast) that the sizes call for
         o = raw("orders").select("o_orderkey", "o_custkey")
-        n = spark.conf.get("spark.sql.shuffle.partitions", "200")
-        li = raw("lineitem").repartition(int(n) if n.isdigit() else 200, "l_orderkey")
+        li = between(raw("lineitem"), "l_shipdate", since, until, YEAR_SHIFT * 12)
         return li.join(o, li.l_orderkey == o.o_orderkey)
 
-    def payments() -> DataFrame:
-        j = order_lines()
+    def payments(since=None, until=None) -> DataFrame:
+        j = order_lines(since, until)
         return j.select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("payment_id"),
             F.col("o_custkey").alias("user_id"),
@@ -187,24 +196,31 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             .alias("status"),
         )
 
-    def feature_usage() -> DataFrame:
-        j = order_lines()
+    def feature_usage(since=None, until=None) -> DataFrame:
+        # ``month`` is the group of all its days: whole months on either side
+        first = None if since is None else month_floor(since)
+        last = None if until is None else add_months(month_floor(until), 1)
+        j = order_lines(first, last)
         shipped = _shift_years(F.col("l_shipdate"))
         g = j.groupBy(
             F.col("o_custkey").alias("user_id"),
             _pick(FEATURES, F.col("l_partkey") % len(FEATURES)).alias("feature_name"),
             month_start(shipped).alias("month"),
         ).agg(F.sum("l_quantity").alias("qty"))
-        return g.select(
+        rows = g.select(
             "user_id",
             "feature_name",
             "month",
             F.col("qty").cast("bigint").alias("usage_count"),
             (F.col("qty") >= ACTIVE_USAGE_MIN).alias("is_active_user"),
         )
+        # months that the bound cuts are no whole groups
+        if first is not None:
+            rows = rows.where(F.col("month") >= ts_lit(first))
+        return rows if last is None else rows.where(F.col("month") < ts_lit(last))
 
-    def events() -> DataFrame:
-        e = raw("events")
+    def events(since=None, until=None) -> DataFrame:
+        e = between(raw("events"), "ts", since, until, EVENT_MONTH_SHIFT)
         k = F.get_json_object(e.props, "$.k").cast("bigint")
         from_events = e.select(
             e.event_id,
@@ -214,7 +230,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             plus_months(e.ts, EVENT_MONTH_SHIFT).alias("created_at"),
             _pick(PLATFORMS, k % len(PLATFORMS)).alias("platform"),
         )
-        o = raw("orders")
+        o = between(
+            raw("orders"), "o_orderdate", since, until, YEAR_SHIFT * 12, before=ORDER_EVENT_BACKDATE_MODULUS
+        )
         key = o.o_orderkey
         from_orders = o.select(
             (F.lit(ORDER_EVENT_ID_BASE).cast("bigint") + key).alias("event_id"),
@@ -240,17 +258,15 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                 c.c_custkey.alias("user_id"),
                 n.n_name.alias("country"),
                 r.r_name.alias("region"),
+                F.lit(None).cast("string").alias("city"),
             )
         )
 
-    return Tables(
-        {
-            "users": users,
-            "subscriptions": subscriptions,
-            "events": events,
-            "feature_usage": feature_usage,
-            "payments": payments,
-            "churn_events": churn_events,
-            "geo_data": geo_data,
-        }
-    )
+    bounded = {
+        "subscriptions": subscriptions,
+        "events": events,
+        "feature_usage": feature_usage,
+        "payments": payments,
+        "churn_events": churn_events,
+    }
+    return Tables({"users": users, "geo_data": geo_data, **bounded}, bounded=bounded)

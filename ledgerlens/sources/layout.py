@@ -8,7 +8,7 @@ a user holding a third of a fact table would put a third of it into one bucket,
 single task reads. Stored as plain Parquet they are scanned in byte-sized splits, and the
 analyses collapse each user with a map-side partial aggregate before any shuffle. They
 are partitioned by the month of their time column (the analyses' ``as_of`` windows then
-prune whole partitions, see ``Tables.scan``) and written in time order within each file.
+prune whole partitions, see ``Tables.scan``) and written in time order.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from ..functions.timeutil import month_start
 from .schema import check_schema
 from .tables import TABLE_NAMES, Tables
+from .validate import require_unique
 
 BUCKETED_BY_USER = ("users", "geo_data")
-# Fact tables are written sorted by their time column within each task (no shuffle), so
-# each row group covers a narrow time range and the analyses' pushed time bounds skip
-# row groups by their min/max statistics.
+# Fact tables are dealt by range of (month, time) and written in that order, so each file
+# covers a narrow time range and the analyses' pushed time bounds skip files and row groups by
+# their min/max statistics. Files number about the range partitions plus the months: adaptive
+# execution sizes the partitions by bytes, and a month that ends inside one adds one more file.
 TIME_COLUMN = {
     "subscriptions": "start_date",
     "events": "created_at",
@@ -56,10 +58,14 @@ def write_business_tables(
     for name in TABLE_NAMES:
         df = getattr(t, name)
         if name in TIME_COLUMN:
+            order = [TIME_COLUMN[name]]
             if month_partitions:
-                month = F.to_date(month_start(F.col(TIME_COLUMN[name])))
-                df = df.withColumn(MONTH_PARTITION, month)
-            df = df.sortWithinPartitions(TIME_COLUMN[name])
+                df = df.withColumn(MONTH_PARTITION, F.to_date(month_start(F.col(TIME_COLUMN[name]))))
+                order.insert(0, MONTH_PARTITION)
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        if name in BUCKETED_BY_USER:
+            # one task per bucket, so one file per bucket
+            df = df.repartition(buckets, "user_id")
         w = df.write.mode("overwrite").format("parquet")
         w = w.option("path", f"{root}/{name}")
         if name in BUCKETED_BY_USER:
@@ -69,14 +75,17 @@ def write_business_tables(
         w.saveAsTable(f"{database}.{name}")
 
 
-def read_business_tables(spark: SparkSession, database: str) -> Tables:
-    """The stored tables, read through the catalog (which carries the bucketing)."""
+def read_business_tables(
+    spark: SparkSession, database: str, duplicates: str = "raise"
+) -> Tables:
+    """The stored tables, read through the catalog (which carries the bucketing), checked as
+    by ``read_parquet_tables``."""
 
     def reader(name: str):
         def read():
             df = spark.table(f"{database}.{name}")
             check_schema(name, df.schema)
-            return df
+            return require_unique(name, df) if duplicates == "raise" else df
 
         return read
 

@@ -75,6 +75,7 @@ GEO_DATA = _s(
     ("user_id", LongType()),
     ("country", StringType()),
     ("region", StringType()),
+    ("city", StringType()),
 )
 
 SCHEMAS: dict[str, StructType] = {

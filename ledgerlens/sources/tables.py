@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timeutil import month_floor
 from .schema import SCHEMAS, check_schema
+from .validate import require_unique
 
 TABLE_NAMES = tuple(SCHEMAS)
 
@@ -28,10 +29,13 @@ class Tables:
     # table -> name of a DATE partition column holding the first day of the month of the
     # table's time column, for tables stored partitioned that way
     month_partitions: dict[str, str] = field(default_factory=dict)
+    # table -> factory that takes (since, until) and may leave out rows of other times, for
+    # tables whose time column is derived: the bound is put on the columns it is derived from
+    bounded: dict[str, Callable[[datetime | None, datetime | None], DataFrame]] = field(default_factory=dict)
     _built: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("factories", "month_partitions"):
+        if name.startswith("_") or name in ("factories", "month_partitions", "bounded"):
             raise AttributeError(name)
         if name not in self.factories:
             raise AttributeError(f"no business table {name!r}")
@@ -42,13 +46,16 @@ class Tables:
     def scan(
         self, name: str, since: datetime | None = None, until: datetime | None = None
     ) -> DataFrame:
-        """The table, restricted to the months that can hold times in [since, until].
+        """The table, restricted to the months that can hold times in [since, until], or
+        to what its bounded factory leaves.
 
         Callers still apply their exact time predicate; this only adds, for a table
         stored partitioned by month, the matching range on the partition column, so the
         scan skips whole partitions (directories never listed or opened). The month range
         is inclusive at both ends, a superset of any bound on the time column.
         """
+        if name in self.bounded and (since is not None or until is not None):
+            return self.bounded[name](since, until)
         df = getattr(self, name)
         part = self.month_partitions.get(name)
         if part is None:
@@ -66,12 +73,15 @@ class Tables:
         return cls({name: (lambda df=df: df) for name, df in frames.items()})
 
 
-def read_parquet_tables(spark: SparkSession, root: str, validate: bool = False) -> Tables:
+def read_parquet_tables(
+    spark: SparkSession, root: str, validate: bool = True, duplicates: str = "raise"
+) -> Tables:
     """Business tables stored as ``{root}/{table}`` Parquet datasets (production layout).
 
-    Reading with the explicit schema skips footer-based inference over thousands of
-    files. With ``validate=True`` the files' own schema is inferred once per table and
-    checked first, so a missing or retyped column fails here instead of reading as NULLs.
+    Each table is read with the explicit schema. Before its first use the files' own schema
+    (one footer) is checked against it, so a missing or retyped column fails here instead of
+    reading as NULLs, and the key of ``users`` and ``geo_data`` is checked to be unique
+    (``duplicates="ignore"`` skips that; ``validate=False`` skips both).
     The analyses put literal bounds on the time columns, which reach the scan as pushed
     filters, so row groups outside a window are skipped by their min/max statistics.
     """
@@ -82,7 +92,8 @@ def read_parquet_tables(spark: SparkSession, root: str, validate: bool = False)
         def read() -> DataFrame:
             if validate:
                 check_schema(name, spark.read.parquet(path).schema)
-            return spark.read.schema(SCHEMAS[name]).parquet(path)
+            df = spark.read.schema(SCHEMAS[name]).parquet(path)
+            return require_unique(name, df) if validate and duplicates == "raise" else df
 
         return read
 

@@ -13,7 +13,7 @@ sys.path.insert(0, str(ROOT / "tests"))
 def spark():
     from pyspark.sql import SparkSession
 
-    from ledgerlens.session import ensure_checkpoint_dir, tuned_conf
+    from ledgerlens.session import tuned_conf
 
     b = SparkSession.builder.master("local[*]").appName("ledgerlens-tests")
     b = b.config("spark.ui.enabled", "false")
@@ -23,5 +23,4 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
     yield s

@@ -66,15 +66,15 @@ PAYMENTS = [
 ]
 
 GEO_DATA = [
-    (1, "A", "North"),
-    (2, "B", "South"),
-    (3, "A", "North"),
-    (3, "A", "North"),  # duplicate geography row
-    (5, "C", "East"),
-    (7, "D", "West"),
-    (8, "E", "Nowhere"),  # the only user there has no payment
-    (4, None, None),
-    (9, "Y", "North"),
+    (1, "A", "North", "a"),
+    (2, "B", "South", "b"),
+    (3, "A", "North", "a"),
+    (3, "A", "North", "a"),  # duplicate geography row
+    (5, "C", "East", None),
+    (7, "D", "West", "d"),
+    (8, "E", "Nowhere", "e"),  # the only user there has no payment
+    (4, None, None, None),
+    (9, "Y", "North", "y"),
 ]
 
 EVENTS = [
@@ -143,7 +143,7 @@ def hot_user_rows(n: int = 6000) -> dict[str, list[tuple]]:
     for u in range(100, 100 + n // 3):
         t = base + timedelta(days=u % 500)
         rows["users"].append((u, t, "Z", ["plus", "free", "business"][u % 3], True))
-        rows["geo_data"].append((u, f"C{u % 7}", f"R{u % 3}"))
+        rows["geo_data"].append((u, f"C{u % 7}", f"R{u % 3}", None))
         for j in range(2):
             rows["events"].append((60_000 + 2 * u + j, u, types[u % 4], features[j], t, "mobile"))
             rows["payments"].append((70_000 + 2 * u + j, u, D("5.00"), "USD", t, "completed"))

@@ -67,7 +67,8 @@ SPARK_TO_DUCK = {
 
 def compare(spark_df, con, sql: str) -> list[str]:
     """Differences between the two results (empty list when they match): column names,
-    column types, row count and the multiset of rows."""
+    column types, row count, the multiset of rows, and the order of rows (both sides sort,
+    with the placement of NULLs stated)."""
     s_cols, s_rows = rows_of_spark(spark_df)
     d_cols, d_rows = rows_of_duck(con, sql)
     problems = []
@@ -92,6 +93,12 @@ def compare(spark_df, con, sql: str) -> list[str]:
         only_s = list((s_set - d_set).elements())[:5]
         only_d = list((d_set - s_set).elements())[:5]
         problems.append(f"values differ; columns {order}\n  spark only: {only_s}\n  oracle only: {only_d}")
+    elif not problems:
+        s_list = [tuple(r[i] for i in si) for r in s_rows]
+        d_list = [tuple(r[i] for i in di) for r in d_rows]
+        at = next((i for i, (x, y) in enumerate(zip(s_list, d_list)) if x != y), None)
+        if at is not None:
+            problems.append(f"order differs at row {at}: spark {s_list[at]} vs oracle {d_list[at]}")
     return problems
 
 

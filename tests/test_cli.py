@@ -43,5 +43,54 @@ def test_cli_reads_catalog_layout(spark):
     root = tempfile.mkdtemp(prefix="ledgerlens-cli-db-")
     write_business_tables(spark, handmade.spark_tables(spark), "ll_cli_db", root, buckets=8)
     out = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
-    main(["--database", "ll_cli_db", "--only", "platform_mix_by_region", "--out", out])
+    main(["--database", "ll_cli_db", "--only", "platform_mix_by_region", "--as-of", "2025-08-01", "--duplicates", "ignore", "--out", out])
     assert spark.read.parquet(f"{out}/platform_mix_by_region").count() > 0
+
+
+def test_cli_prints_every_row(capsys):
+    main(["--fixture", "/root/testdata/sf0.01", "--as-of", "2025-08-01", "--only", "monthly_churn_rate"])
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0] == "== monthly_churn_rate" and lines[1].startswith("plan,month,")
+    assert len(lines) == 2 + 48
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    from ledgerlens.sources import TABLE_NAMES, fixture_tables
+
+    root = tempfile.mkdtemp(prefix="ledgerlens-cli-tables-")
+    t = fixture_tables(spark, SF)
+    for name in TABLE_NAMES:
+        getattr(t, name).write.parquet(f"{root}/{name}")
+    return root
+
+
+def test_cli_uses_the_analyses_own_defaults(spark, stored):
+    from ledgerlens import operators as ops
+    from ledgerlens.sources import read_parquet_tables
+
+    out = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
+    main(["--tables", stored, "--only", "health_dashboard", "--as-of", "2025-08-01", "--out", out])
+    want = ops.health_dashboard(read_parquet_tables(spark, stored), as_of="2025-08-01").collect()
+    assert spark.read.parquet(f"{out}/health_dashboard").collect() == want
+    changed = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
+    main(["--tables", stored, "--only", "health_dashboard", "--as-of", "2025-08-01", "--plus-base", "1000", "--out", changed])
+    assert spark.read.parquet(f"{changed}/health_dashboard").collect() != want
+
+
+def test_unknown_parameters_raise(spark, stored):
+    import handmade
+    from ledgerlens.plans.registry import REGISTRY
+    from ledgerlens.plans.views import register_views
+
+    t = handmade.spark_tables(spark)
+    with pytest.raises(TypeError, match="nonsense"):
+        main(["--tables", stored, "--only", "mrr_by_plan", "--set", "nonsense=1"])
+    with pytest.raises(TypeError, match="as_of"):
+        main(["--tables", stored, "--only", "mrr_by_plan", "--as-of", "2025-08-01"])
+    with pytest.raises(TypeError, match="nonsense"):
+        register_views(spark, t, nonsense=1)
+    with pytest.raises(TypeError, match="per_user"):
+        REGISTRY["feature_adoption_per_user"].on(t, per_user=False)
+    register_views(spark, t, as_of="2025-08-01", prefix="o_", plan="business", top_n=2)
+    assert spark.table("o_churn_reason_topn").count() <= 2

@@ -25,7 +25,7 @@ def empty_tables(spark):
 
 
 def _check(analysis, t, con, **override):
-    params = {**analysis.params, **{k: v for k, v in override.items() if k in analysis.params}}
+    params = {**analysis.params, **override}
     df = analysis.build(t, **params)
     with oracle.business_tables_given():
         sql = analysis.sql(**params)
@@ -63,7 +63,7 @@ def test_cohort_curve_month_component_wraps(tables):
 
 
 def test_cohort_curve_true_months(tables):
-    got = {r[0]: r[1:] for r in _rows(ops.churn_cohort_curve_true_months(tables))}
+    got = {r[0]: r[1:] for r in _rows(ops.churn_cohort_curve_true_months(tables, as_of="2025-08-01"))}
     # offset 12 now exists (user 7: Jul 2024 -> Jul 2025); -12 months is dropped
     assert got[12][0] == 1
     assert got[2][0] == 1 and got[1][0] == 0
@@ -95,13 +95,13 @@ def test_missing_year_lags_to_previous_present_year(tables):
 
 
 def test_fan_out_weights_average_usage(tables):
-    by = {r.feature_name: r for r in ops.feature_adoption(tables).collect()}
+    by = {r.feature_name: r for r in ops.feature_adoption(tables, as_of="2025-08-01").collect()}
     # July 2025 usage of paid users: user 1 (one paid sub besides plus -> 2 rows: plus +
     # business) 30, user 3 (two active business subs) 12, user 2 (NULL usage)
     ai = by["ai_assistant"]
     assert (ai.active_users, ai.total_paid_users) == (2, 2)
     assert ai.avg_monthly_uses == round((30 * 2 + 12 * 2) / 4, 1)
-    per_user = {r.feature_name: r for r in ops.feature_adoption(tables, per_user=True).collect()}
+    per_user = {r.feature_name: r for r in ops.feature_adoption(tables, as_of="2025-08-01", per_user=True).collect()}
     assert per_user["ai_assistant"].avg_monthly_uses == 21.0
 
 
@@ -113,7 +113,7 @@ def test_trigger_window_is_closed_at_both_ends(tables):
 
 
 def test_dashboard_zero_paid_users_gives_null(empty_tables):
-    row = ops.health_dashboard(empty_tables).collect()[0]
+    row = ops.health_dashboard(empty_tables, as_of="2025-08-01").collect()[0]
     assert row.total_users == 0 and row.paid_users == 0
     assert row.ai_adoption_pct_paid_users is None
     assert row.plus_monthly_churn_pct is None
@@ -133,4 +133,8 @@ def test_unique_key_check_finds_duplicate_geography(tables):
     from ledgerlens.sources import check_unique_keys
 
     found = check_unique_keys(tables)
-    assert found == {"users": [], "geo_data": [(3, 2)]}
+    assert {k: [tuple(r) for r in df.collect()] for k, df in found.items()} == {"users": [], "geo_data": [(3, 2)]}
+
+
+def test_active_base_window_of_any_length(tables):
+    _check(REGISTRY["monthly_churn_rate_active_base"], tables, handmade.duck_tables(), lookback_months=72)

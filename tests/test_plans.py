@@ -20,7 +20,7 @@ def parquet_tables(spark):
     root = tempfile.mkdtemp(prefix="ledgerlens-layout-")
     t = handmade.spark_tables(spark)
     for name in handmade.ROWS:
-        getattr(t, name).write.parquet(f"{root}/{name}")
+        getattr(t, name).dropDuplicates().write.parquet(f"{root}/{name}")
     return read_parquet_tables(spark, root)
 
 
@@ -106,3 +106,37 @@ def test_report_helpers(parquet_tables):
     s = summarize(REGISTRY["churn_reason_topn"].run(parquet_tables))
     assert s["top_k"] and not s["python"] and not s["pairs"]
     assert any("churn_date" in p for p in s["pushed"])
+
+
+BOUND_COLUMN = {
+    "annual_revenue_growth": "l_shipdate",
+    "monthly_churn_rate": "o_orderdate",
+    "monthly_churn_rate_active_base": "o_orderdate",
+    "churn_reason_topn": "o_orderdate",
+    "feature_adoption": "l_shipdate",
+    "feature_usage_vs_churn": "l_shipdate",
+    "platform_mix_by_region": "ts",
+    "health_dashboard": "l_shipdate",
+}
+
+
+@pytest.mark.parametrize("name", list(BOUND_COLUMN))
+def test_registered_queries_push_their_time_bounds(name, spark):
+    """On the driver's own tables the bound reaches the raw time column in the Parquet scan."""
+    plan = explain(REGISTRY[name].on_dir(spark, "/root/testdata/sf0.001"), "formatted")
+    pushed = _pushed(plan)
+    assert any(f"{op}({BOUND_COLUMN[name]}," in pushed for op in ("GreaterThanOrEqual", "LessThanOrEqual")), pushed
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_no_exchange_by_number_in_registered_plans(name, spark):
+    assert "REPARTITION_BY_NUM" not in explain(REGISTRY[name].on_dir(spark, "/root/testdata/sf0.001"), "simple")
+
+
+@pytest.mark.parametrize("name", ["churn_reason_topn", "upgrade_triggers"])
+def test_no_single_task_window_over_free_text(name, plans):
+    assert "Window [" not in plans[name]
+
+
+def test_upgrade_rate_scans_subscriptions_twice(plans):
+    assert plans["upgrade_rate"].count("Scan parquet") <= 4  # formatted plans name a scan twice

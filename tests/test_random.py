@@ -74,7 +74,7 @@ def random_rows(seed: int) -> dict[str, list[tuple]]:
             for i in range(90)
         ],
         "geo_data": [
-            (u, _pick(rng, ["A", "B", "C", "D", "E", "F"]), _pick(rng, ["North", "South", "East"]))
+            (u, _pick(rng, ["A", "B", "C", "D", "E", "F"]), _pick(rng, ["North", "South", "East"]), None)
             for u in users
             for _ in range(rng.choice([0, 1, 1, 1, 2]))
         ],

@@ -90,3 +90,15 @@ def test_literal_bounds_match_sql_interval_arithmetic():
         assert add_months(ts, months) == want_m, (ts, months)
         assert minus_days(ts, days) == want_d, (ts, days)
         assert add_months(month_floor(ts), -abs(months)) == want_trunc, (ts, months)
+
+
+def test_as_of_with_an_offset_is_converted_and_missing_means_now():
+    from datetime import timedelta, timezone
+
+    from ledgerlens.functions import parse_as_of
+
+    assert parse_as_of("2025-08-01T00:00:00+05:00") == datetime(2025, 7, 31, 19)
+    assert parse_as_of(datetime(2025, 8, 1, tzinfo=timezone(timedelta(hours=-3)))) == datetime(2025, 8, 1, 3)
+    assert parse_as_of("2025-08-01") == datetime(2025, 8, 1)
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    assert abs(parse_as_of(None) - now) < timedelta(minutes=1)
