@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bits import bit_table, in_table
 from .storage import cut
 from .text import ALNUM, LOWER, U64, hash_words, mix, ragged, string_chunks, window_hashes, words
 
 WINDOW = 10
 GRAM = 4
-BITS = 1 << 24  # bits of each broadcast table: 2 MB, whatever the benchmark's size
 
 
 def _word_chunks(column: pa.Array):
@@ -87,21 +87,6 @@ def _items(benchmark: DataFrame, window: int, gram: int) -> tuple[DataFrame, Dat
     )
 
 
-def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """``BITS`` bits, set at the place of each hash; at most one row per 32 bits is collected."""
-    place = hashes.select(F.shiftrightunsigned("h", 64 - (BITS.bit_length() - 1)).alias("p"))
-    groups = place.select(F.shiftright("p", 5).alias("word"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("bit"))
-    found = groups.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITS // 32, np.uint32)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = h >> U64(64 - (BITS.bit_length() - 1))
-    return (table[(p >> U64(5)).astype(np.int64)] >> (p & U64(31)).astype(np.uint32)) & 1 != 0
-
-
 def _candidates(docs: DataFrame, prints: np.ndarray, windows: np.ndarray, short: list[int], window: int, gram: int) -> DataFrame:
     """One row per document: its words, fingerprints that may be an item's, and for each of
     them the windows around it (start and hash) that may be an item's; likewise short windows."""
@@ -128,7 +113,7 @@ def _candidates(docs: DataFrame, prints: np.ndarray, windows: np.ndarray, short:
                 at = inside(np.flatnonzero(ok), gram)
                 hit_print, hit_from, hit_start, hit_hash, hit_len = [], [], [], [], []
                 hot = np.zeros(len(h), bool)
-                hot[at] = _in_table(prints, grams[at])
+                hot[at] = in_table(prints, grams[at])
                 if hot.any():
                     for i in np.unique(own[hot]).tolist():
                         a, e = int(first[i]), int(first[i + 1])
@@ -145,7 +130,7 @@ def _candidates(docs: DataFrame, prints: np.ndarray, windows: np.ndarray, short:
                             continue
                         base = int(start.min())
                         full = _sized(window_hashes(h[base : base + size], window), window)[start - base]
-                        keep = _in_table(windows, full)
+                        keep = in_table(windows, full)
                         hit_print.append(grams[np.repeat(p, count)][keep])
                         hit_from.append(np.full(int(keep.sum()), i))
                         hit_start.append((start - a)[keep])
@@ -155,7 +140,7 @@ def _candidates(docs: DataFrame, prints: np.ndarray, windows: np.ndarray, short:
                 for size in short:
                     full = window_hashes(h, size)
                     s = inside(np.arange(len(full)), size)
-                    s = s[_in_table(windows, _sized(full[s], size))] if len(s) else s
+                    s = s[in_table(windows, _sized(full[s], size))] if len(s) else s
                     hit_print.append(np.zeros(len(s), U64))
                     hit_from.append(own[s])
                     hit_start.append(s - first[own[s]])
@@ -190,8 +175,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     prints, windows = _items(benchmark, window, gram)
     windows = cut(spark, windows, "item-windows")
     prints = cut(spark, prints, "item-prints")
-    print_bits = _bit_table(prints.select(F.col("print").alias("h")))
-    window_bits = _bit_table(windows.select(F.col("hash").alias("h")))
+    print_bits = bit_table(prints, "print")
+    window_bits = bit_table(windows, "hash")
     short = [r.len for r in windows.where(F.col("len") < window).select("len").distinct().collect()]  # under `window` rows
     rows = _candidates(docs, print_bits, window_bits, sorted(short), window, gram)
     rows = cut(spark, rows.withColumn("row", F.monotonically_increasing_id()), "document-candidates")

@@ -6,17 +6,17 @@ whole corpus) last by their count, all others before them by their hash. Two set
 similarity ``percent`` / 100 share a shingle in their first n - ceil(percent * n / 100) + 1
 places, so classes are joined on those prefix shingles.
 
-A list of classes that share a prefix shingle is joined in two steps, as only connection
-counts. First each member is paired with the list's first member. What is verified as a link
-is contracted to components; lists whose members all are in one component are done. In the
-lists that remain, all pairs of members from different components are joined, thinned by the
+A list of classes that share a prefix shingle is joined in steps, as only connection counts.
+First each member is paired with one member of its list. What is verified as a link
+is contracted to components; lists whose members all are in one component are done. After
+``ROUNDS`` such steps, in the lists that remain, all pairs of members from different components are joined, thinned by the
 length filter, the positional filter, and the suffix filter: the parities of the shingles'
 hash cells differ in no more cells than the sets differ in shingles. Each pair is verified once,
 by intersecting the full sets. So no pair between different components is left out, and
 a large group of near copies costs rows in proportion to its size.
 
-A task sends one row per prefix shingle it meets in a group of texts, however many of them have
-it; the others are paired there. So a shingle that a third of all rows share has as many rows
+For a prefix shingle that many of a group of texts have, the task sends one row; the members
+are listed beside the shuffle. So a shingle that a third of all rows share has as many rows in it
 as there are such groups, not as there are texts.
 
 Defined results: null, empty and wordless texts have no shingles, link with nothing and are
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bits import bit_table, in_table
 from .components import components
 from .storage import cut
 from .text import LOWER, NON_SPACE, U64, hash_words, mix, string_chunks, window_hashes, words
@@ -41,7 +42,12 @@ from .text import LOWER, NON_SPACE, U64, hash_words, mix, string_chunks, window_
 GRAM = 5
 PERCENT = 80
 FREQUENT = 1 << 17  # entries of the table of frequent shingles: 1 MB, whatever the corpus
-CELLS = 256  # parity bits of the suffix filter
+COUNTED = 3_000_000  # shingles of a group of texts that are counted together in a task
+CROWD = 3  # members from which a group of texts sends one row for a shingle
+ROUNDS = 2  # of pairing each list with one of its members, before pairing what is still apart
+CELLS = 512  # parity bits of the suffix filter
+PARITY = [f"p{k}" for k in range(CELLS // 64)]
+CROWD_LEAD = 1 << 31  # bit of ``np`` of a row that stands for a crowd
 _TOP = U64(1 << 63)
 
 
@@ -70,29 +76,43 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _profiles(docs: DataFrame, gram: int) -> DataFrame:
-    """doc_id, text key, set size and class of every row; and, on the first row of each group
-    of texts, the shingles that more than one class of the group has, with their counts."""
+    """doc_id, text key, set size, class and parity words of every row; and rows without these,
+    with the shingles that more than one class of a group of texts has, and their counts."""
+    names = ["doc_id", "tk", "n", "sig", *PARITY, "hot", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        total = 0
+
+        def counted() -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate([*held.values()]), return_counts=True)
+            often = times > 1
+            lists = pa.list_(pa.int64())
+            none = [pa.nulls(1, pa.int64())] * (4 + len(PARITY))
+            return pa.RecordBatch.from_arrays([*none, pa.array([found[often].view(np.int64)], lists), pa.array([times[often]], lists)], names)
+
         for b in batches:
             for lo, hi, sets, sig in shingle_sets(b.column(2), gram):
-                _, one = np.unique(sig, return_index=True)
-                found, times = np.unique(np.concatenate([sets[i] for i in one]), return_counts=True)
-                often = times > 1
-                pad = [None] * (hi - lo - 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(lo, hi - lo),
-                        b.column(1).slice(lo, hi - lo),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        _signed(sig),
-                        pa.array([found[often].view(np.int64), *pad], pa.list_(pa.int64())),
-                        pa.array([times[often], *pad], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "tk", "n", "sig", "hot", "times"],
-                )
-
-    return docs.mapInArrow(run, "doc_id bigint, tk bigint, n bigint, sig bigint, hot array<bigint>, times array<bigint>")
+                sizes = np.array([len(s) for s in sets], np.int64)
+                cell = (np.concatenate(sets) >> U64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
+                own = np.repeat(np.arange(hi - lo), sizes)
+                odd = np.bincount(own * CELLS + cell, minlength=(hi - lo) * CELLS).reshape(hi - lo, CELLS) & 1
+                parity = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                known = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes), _signed(sig)]
+                none = [pa.nulls(hi - lo, pa.list_(pa.int64()))] * 2
+                yield pa.RecordBatch.from_arrays([*known, *[pa.array(parity[:, k]) for k in range(len(PARITY))], *none], names)
+                for s, c in zip(sets, sig.tolist(), strict=True):
+                    if c not in held:
+                        held[c] = s
+                        total += len(s)
+                if total > COUNTED:
+                    yield counted()
+                    held, total = {}, 0
+        if held:
+            yield counted()
+
+    kinds = [f"{n} bigint" for n in names[:-2]] + ["hot array<bigint>", "times array<bigint>"]
+    return docs.mapInArrow(run, ", ".join(kinds))
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -104,9 +124,9 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
 
 
 def _prefix_rows(docs: DataFrame, frequent: np.ndarray, gram: int, percent: int) -> DataFrame:
-    """One row per prefix shingle of a group of texts: key (the shingle), sig, np (set size and
-    place in the prefix). Where several classes of the group have the shingle, the row is that
-    of the smallest, and all of them are also in ``more``, with the smallest as their head."""
+    """Rows of prefix shingles: key (the shingle), sig, np (set size and place in the prefix).
+    Where ``CROWD`` or more classes of a group of texts have a shingle, one of them has a row
+    and all of them are listed in ``more`` (one further row per group of texts)."""
     order = np.argsort(frequent)
     known, rank = frequent[order], order.astype(U64) + _TOP
 
@@ -132,92 +152,137 @@ def _prefix_rows(docs: DataFrame, frequent: np.ndarray, gram: int, percent: int)
                     continue
                 n = np.array([len(p) for p in parts], np.int64)
                 token, place, own = np.concatenate(parts), np.concatenate(places), np.repeat(one, n)
-                by = np.argsort(token, kind="stable")  # texts are in (size, class) order
-                token, place, own = token[by], place[by], own[by]
-                head = np.concatenate([[True], token[1:] != token[:-1]])
-                start = np.flatnonzero(head)
-                group = np.cumsum(head) - 1
-                shared = np.diff(np.concatenate([start, [len(token)]]))[group] > 1
                 np_ = (size[own] << 32) | place
-                kept = int(head.sum())
-                more = pa.StructArray.from_arrays(
-                    [_signed(token[shared]), _signed(sig[own[shared]]), pa.array(np_[shared]), _signed(sig[own[start[group[shared]]]])],
-                    ["tok", "sig", "np", "head"],
-                )
-                ends = pa.array(np.concatenate([np.zeros(kept + 1, np.int32), [len(more)]]).astype(np.int32))
-                # the last row carries `more`, under a key of its own
-                extra = mix(token[:1] ^ sig[own[:1]])
+                by = np.argsort(token, kind="stable")
+                start = np.flatnonzero(np.concatenate([[True], token[by][1:] != token[by][:-1]]))
+                count = np.diff(np.concatenate([start, [len(token)]]))
+                many = np.repeat(count >= CROWD, count)
+                lead = np.zeros(len(token), bool)
+                lead[by[start]] = True
+                crowd = np.zeros(len(token), bool)
+                crowd[by[many]] = True
+                flag = np.where(lead & crowd, CROWD_LEAD, 0)
+                row = np.flatnonzero(lead | ~crowd)  # in document order: a document's rows lie together
+                inside = by[many]
+                more = pa.StructArray.from_arrays([_signed(token[inside]), _signed(sig[own[inside]]), pa.array(np_[inside])], ["tok", "sig", "np"])
+                extra = min(1, len(inside))  # one more row carries `more`, under a key of its own
+                ends = pa.array(np.concatenate([np.zeros(len(row) + 1, np.int32), [len(more)] * extra]).astype(np.int32))
+                plain = pa.array(np.arange(len(row) + extra) < len(row))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _signed(np.concatenate([token[head], extra])),
-                        _signed(np.concatenate([sig[own[head]], sig[own[:1]]])),
-                        pa.array(np.concatenate([np_[head], [0]])),
-                        pa.ListArray.from_arrays(ends, more),
+                        _signed(np.concatenate([token[row], mix(token[:extra] ^ sig[own[:extra]])])),
+                        _signed(np.concatenate([sig[own[row]], sig[own[:extra]]])),
+                        pa.array(np.concatenate([(np_ | flag)[row], np.zeros(extra, np.int64)])),
+                        pa.ListArray.from_arrays(ends, more, mask=plain),
                     ],
                     ["key", "sig", "np", "more"],
                 )
 
-    one = "array<struct<tok:bigint,sig:bigint,np:bigint,head:bigint>>"
+    one = "array<struct<tok:bigint,sig:bigint,np:bigint>>"
     return docs.select("text").mapInArrow(run, f"key bigint, sig bigint, np bigint, more {one}")
 
 
-def _shared_prefixes(rows: DataFrame) -> DataFrame:
-    """(tok, sig, np, head) of all classes in lists of more than one class."""
-    w = Window.partitionBy("key").orderBy("np_n", "sig")
-    seen = rows.withColumn("np_n", F.shiftright("np", 32)).select(
-        "key", "sig", "np", "more", F.rank().over(w).alias("r"), F.lead("sig").over(w).alias("next"), F.first("sig").over(w).alias("head")
+def _shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(tok, sig, np) of all classes in lists of more than one class. A list of two stays only
+    if its one pair passes the length and positional filters (and neither stands for a crowd)."""
+    w = Window.partitionBy("key").orderBy("np", "sig")
+    near = {f"{f}{k}": getattr(F, f)(F.struct("sig", "np"), k).over(w) for f in ("lag", "lead") for k in (1, 2)}
+    seen = rows.select("key", "sig", "np", "more", *[c.alias(n) for n, c in near.items()])
+    seen = seen.withColumns({f"{n}_np": F.col(f"{n}.np") for n in ("lag1", "lead1")})
+    def may(other: str) -> Column:
+        crowd = F.col("np").bitwiseOR(F.col(other)).bitwiseAND(CROWD_LEAD) != 0
+        return crowd | _placed("np", other, percent)
+
+    one_other = F.when(F.col("lag1").isNull() & F.col("lead2").isNull(), may("lead1_np")).when(
+        F.col("lead1").isNull() & F.col("lag2").isNull(), may("lag1_np")
     )
-    listed = seen.where((F.size("more") == 0) & ((F.col("r") > 1) | (F.col("next") != F.col("sig"))))
-    inside = rows.where(F.size("more") > 0).select(F.explode("more").alias("x")).select("x.*")
-    return listed.select(F.col("key").alias("tok"), "sig", "np", "head").unionByName(inside).distinct()
+    apart = F.coalesce(F.col("lag1.sig") != F.col("sig"), F.lit(False)) | F.coalesce(F.col("lead1.sig") != F.col("sig"), F.lit(False))
+    listed = seen.where(F.col("more").isNull() & apart & F.coalesce(one_other, F.lit(True)))
+    inside = rows.where(F.col("more").isNotNull()).select(F.explode("more").alias("x")).select("x.*")
+    plain = F.col("np").bitwiseAND(~CROWD_LEAD).alias("np")
+    return listed.select(F.col("key").alias("tok"), "sig", plain).unionByName(inside).dropDuplicates(["tok", "sig"])
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Length filter and suffix filter on two aliased rows of (n, parity words)."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY), F.lit(0))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+
+
+def _size(np_: str) -> Column:
+    return F.shiftright(np_, 32)
+
+
+def _place(np_: str) -> Column:
+    return F.col(np_).bitwiseAND(CROWD_LEAD - 1)
+
+
+def _placed(x: str, y: str, percent: int) -> Column:
+    """Length filter and positional filter on two ``np`` columns: a pair's first common shingle
+    leaves at most the shorter rest in common."""
+    nx, ny = _size(x), _size(y)
+    rest = F.least(nx - _place(x), ny - _place(y))
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
+
 
+def _thinned(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the length and suffix filters leave."""
+    x, y = light.alias("x"), light.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.sig")).join(y, (F.col("b") == F.col("y.sig")) & _may_link("x", "y", percent))
+    return both.select("a", "b")
 
-def _set_table(docs: DataFrame, profiles: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
-    """(sig, n, shingles, parity words) of the wanted classes, from one row of each."""
-    first = profiles.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("id0", "tk")).alias("x")).select("x.*")
+
+def _sets(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, gram: int) -> DataFrame:
+    """(sig, shingles) of all classes in ``pairs``: ``known`` ones, the others made again from the
+    texts. A bit table keeps other classes out of the shuffle."""
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    if known is not None:
+        wanted = wanted.join(known, "sig", "left_anti").select("sig")
+    wanted = cut(spark, wanted, "wanted")
+    if known is not None and wanted.isEmpty():
+        return known
+    table = bit_table(wanted, "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, sets, sig in shingle_sets(b.column(0), gram):
-                bits = np.zeros((len(sets), CELLS), np.uint8)
-                for i, s in enumerate(sets):
-                    bits[i] = np.bincount((s >> U64(56)).astype(np.int64), minlength=CELLS) & 1
-                parity = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(sig),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                        *[pa.array(parity[:, k]) for k in range(4)],
-                    ],
-                    ["sig", "n", "shingles", "p0", "p1", "p2", "p3"],
-                )
+                _, one = np.unique(sig, return_index=True)
+                one = one[in_table(table, sig[one])]
+                rows = pa.array([sets[i].view(np.int64) for i in one], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([_signed(sig[one]), rows], ["sig", "shingles"])
 
-    rows = docs.join(first, ["id0", "tk"], "left_semi").select("text")
-    kind = "sig bigint, n bigint, shingles array<bigint>, p0 bigint, p1 bigint, p2 bigint, p3 bigint"
-    return rows.mapInArrow(run, kind).dropDuplicates(["sig"])
+    made = docs.select("text").mapInArrow(run, "sig bigint, shingles array<bigint>").join(wanted, "sig", "left_semi")
+    made = cut(spark, made.dropDuplicates(["sig"]), "sets")
+    return made if known is None else known.unionByName(made)
 
 
-def _may_link(x: str, y: str, percent: int):
-    """Length filter and suffix filter on two aliased rows of (n, p0..p3)."""
-    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(4)), F.lit(0))
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (differ * (100 + percent) <= (nx + ny) * (100 - percent))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    x, y = sets.alias("x"), sets.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.sig")).join(y, F.col("b") == F.col("y.sig"))
+    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
+    total = F.size("x.shingles") + F.size("y.shingles")
+    return both.where(common * (100 + percent) >= total * percent).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    light = sets.select("sig", "n", "p0", "p1", "p2", "p3")
-    near = (
-        pairs.join(light.alias("x"), F.col("a") == F.col("x.sig"))
-        .join(light.alias("y"), F.col("b") == F.col("y.sig"))
-        .where(_may_link("x", "y", percent))
-        .select("a", "b")
+def _contracted(links: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """(node, label) after more links: components of the links between the groups so far."""
+    spark = links.sparkSession
+    if groups is None:
+        return cut(spark, components(links), "groups")
+    of = groups.select("node", "label")
+    bridges = (
+        links.join(of.alias("p"), F.col("a") == F.col("p.node"), "left")
+        .join(of.alias("q"), F.col("b") == F.col("q.node"), "left")
+        .select(F.coalesce("p.label", "a").alias("a"), F.coalesce("q.label", "b").alias("b"))
     )
-    full = sets.select("sig", "n", "shingles")
-    both = near.join(full.alias("x"), F.col("a") == F.col("x.sig")).join(full.alias("y"), F.col("b") == F.col("y.sig"))
-    common = F.size(F.array_intersect("x.shingles", "y.shingles"))
-    return both.where(common * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent).select("a", "b")
+    merged = components(bridges).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    moved = of.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    # nodes that were alone until now
+    fresh = merged.join(of, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return cut(spark, moved.unionByName(fresh), "groups")
 
 
 def null_first_id(doc_id: Column) -> Column:
@@ -244,44 +309,46 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     ``component`` (a class of the component, null without shingles)."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    null_first = null_first_id(F.col("doc_id"))
-    profiles = cut(spark, _profiles(keyed, gram), "profiles")
-    frequent = _frequent(profiles)
-    profiles = profiles.select("doc_id", "tk", "n", "sig", null_first.alias("id0"))
-    shared = cut(spark, _shared_prefixes(_prefix_rows(keyed, frequent, gram, percent)), "prefixes")
-    with_id = keyed.select(null_first.alias("id0"), "tk", "text")
-    sets = cut(spark, _set_table(with_id, profiles, shared.select("sig").distinct(), gram), "sets")
-
-    def pair(x: str, y: str) -> list:
+    stored = cut(spark, _profiles(keyed, gram), "profiles")
+    frequent = _frequent(stored)
+    profiles = stored.where("n IS NOT NULL")
+    light = profiles.where("n > 0").select("sig", "n", *PARITY).dropDuplicates(["sig"])
+    shared = cut(spark, _shared_prefixes(_prefix_rows(keyed, frequent, gram, percent), percent), "prefixes")
+
+    def pair(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    stars = cut(spark, shared.where("head != sig").select(*pair("head", "sig")).distinct(), "pairs")
-    groups = cut(spark, components(_verified(stars, sets, percent)), "components")
-
-    labelled = shared.join(groups, shared["sig"] == groups["node"], "left").select("tok", "sig", "np", F.coalesce("label", "sig").alias("label"))
-    open_lists = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tok")
-    light = sets.select("sig", "n", "p0", "p1", "p2", "p3")
-    left = cut(spark, labelled.join(open_lists, "tok", "left_semi").join(light, "sig").withColumn("place", F.col("np").bitwiseAND(0xFFFFFFFF)), "open")
-    x, y = left.alias("x"), left.alias("y")
-    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
-    placed = rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    crossing = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") < F.col("y.label")) & _may_link("x", "y", percent) & placed)
-    pairs = crossing.select(*pair("x.sig", "y.sig")).distinct().join(stars, ["a", "b"], "left_anti")
-    late = _verified(pairs, sets, percent)
-    of = groups.select(F.col("node"), F.col("label"))
-    bridges = (
-        late.join(of.alias("p"), F.col("a") == F.col("p.node"), "left")
-        .join(of.alias("q"), F.col("b") == F.col("q.node"), "left")
-        .select(F.coalesce("p.label", "a").alias("a"), F.coalesce("q.label", "b").alias("b"))
-    )
-    merged = components(bridges)
+    lists, groups, sets, done = shared.withColumn("label", F.col("sig")), None, None, None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            # each member with one of its list, chosen by a hash that differs between shingles
+            choice = F.min_by(F.struct("sig", "np", "label"), F.xxhash64("sig", F.col("tok").bitwiseAND(3), F.lit(turn)))
+            heads = lists.groupBy("tok").agg(choice.alias("h")).select("tok", "h.*").toDF("tok", "h_sig", "h_np", "h_label")
+            met = lists.join(heads, "tok").where((F.col("label") != F.col("h_label")) & _placed("np", "h_np", percent))
+            pairs = met.select(*pair("sig", "h_sig")).distinct()
+            pairs = _thinned(pairs, light, percent)
+        else:
+            # everything that is still apart
+            left = cut(spark, lists.join(light, "sig"), "open")
+            x, y = left.alias("x"), left.alias("y")
+            apart = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") < F.col("y.label"))
+            met = x.join(y, apart & _may_link("x", "y", percent) & _placed("x.np", "y.np", percent))
+            pairs = met.select(*pair("x.sig", "y.sig")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = cut(spark, pairs, "pairs")
+        sets = _sets(keyed, pairs, sets, gram)
+        groups = _contracted(_verified(pairs, sets, percent), groups)
+        if turn < ROUNDS:
+            done = pairs if done is None else done.unionByName(pairs)
+            labelled = shared.join(groups, shared["sig"] == groups["node"], "left")
+            labelled = labelled.select("tok", "sig", "np", F.coalesce("label", "sig").alias("label"))
+            mixed = labelled.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+            lists = cut(spark, labelled.join(mixed.select("tok"), "tok", "left_semi"), "lists")
 
     classes = profiles.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    member = (
-        classes.join(groups, classes["sig"] == groups["node"], "left")
-        .select("sig", "low", F.coalesce("label", "sig").alias("first"))
-        .join(merged, F.col("first") == merged["node"], "left")
-        .select("sig", "low", F.coalesce("label", "first").alias("component"))
+    member = classes.join(groups, classes["sig"] == groups["node"], "left").select(
+        "sig", "low", F.coalesce("label", "sig").alias("component")
     )
     lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = member.where("sig IS NOT NULL").join(lowest, "component").select("sig", "component_id", "component")
