@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import U64, mix, string_chunks
+from .worker import worker_state
 
 DIM = 1024
 WORDS = DIM // 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19  # bytes of text handled together
 PART = 64  # dimensions in one row of a partial prototype
 UNKNOWN = "und"
 _TOP = 0x110000
@@ -44,28 +45,22 @@ class _Letters:
         self.rank = np.zeros(_TOP, np.int32)
 
 
-_LETTERS: list[_Letters] = []
-
-
-def _letters() -> _Letters:
-    if not _LETTERS:
-        _LETTERS.append(_Letters())
-    return _LETTERS[0]
-
-
 def _letter_bits(code_points: np.ndarray) -> np.ndarray:
     """The random sign vector of each letter, as 64-bit words (0 stands for the boundary)."""
     return mix(code_points.astype(U64)[:, None] * U64(WORDS) + np.arange(1, WORDS + 1, dtype=U64)[None, :])
 
 
 def _signs(bits: np.ndarray) -> np.ndarray:
-    return np.float32(1) - np.float32(2) * np.unpackbits(bits.view(np.uint8), axis=1)
+    out = np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32)
+    out *= -2
+    out += 1
+    return out
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct trigrams of a group of texts as sign vectors; and, for every trigram in the
     texts, its number among them and the text it is in."""
-    table = _letters()
+    table = worker_state("letters", _Letters)
     low = [t.lower() for t in texts]
     lens = np.array([len(t) for t in low], np.int64) + 1
     points = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -87,7 +82,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table.rank[letters] = np.arange(len(letters))
     rank, k = table.rank[code].astype(np.int64), len(letters)
     key = (rank[mid - 1] * k + rank[mid]) * k + rank[mid + 1]
-    if k**3 <= 4 * CHUNK:
+    if k**3 <= 2 * CHUNK:
         found = np.flatnonzero(np.bincount(key, minlength=k**3))
         place = np.zeros(k**3, np.int64)
         place[found] = np.arange(len(found))

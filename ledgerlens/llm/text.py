@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK = 1 << 20  # bytes (or words) handled by one vectorised step; bounds temporary arrays
+BLOCK = 1 << 18  # bytes (or words) handled by one vectorised step; bounds temporary arrays
 CHUNK = 4 << 20  # bytes of text handled together; a longer document makes its own chunk
 
 _P = 0x9E3779B97F4A7C55  # odd multipliers: invertible modulo 2**64
