@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, neardup, sharding, substring, token_store, topk, url_filter, warc
+from . import bpe, decontam, lang_id, neardup, oracles, sharding, substring, token_store, topk, url_filter, warc
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +71,12 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
 }
 
-# The others are tested against brute force (tests/llm): a trained model, vocabulary files, or
-# too slow in SQL over whole tables.
+# The others use trained models or vocabulary files: tested against brute force (tests/llm).
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": oracles.NGRAM_JOIN,
+    "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op4_sharding": sharding.oracle(),
+    "op5_warc": oracles.WARC,
+    "op6_decontamination": oracles.DECONTAMINATION,
     "op9_topk": topk.ORACLE_SQL,
 }
