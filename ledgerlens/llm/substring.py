@@ -35,7 +35,7 @@ from .text import NON_SPACE, U64, hash_words, mix, string_chunks, window_hashes,
 
 WINDOW = 20
 FIRST = 10  # least length of the first level: shorter runs repeat by chance too often
-_ROW = "h bigint, id bigint, th int, at int, more binary"
+_ROW = "h bigint, id bigint, pos bigint, more binary"  # pos: text hash, then place
 
 
 def levels(window: int) -> list[int]:
@@ -89,11 +89,10 @@ def _looked_up(h: np.ndarray, own: np.ndarray, at: np.ndarray, ids: np.ndarray,
         [
             pa.array(key.view(np.int64)),
             pa.array(np.concatenate([ids[own[kept]], ids[texts]])),
-            pa.array(np.concatenate([th[own[kept]], th[texts]]).astype(np.int32)),
-            pa.array(np.concatenate([at[kept], np.full(extra, -1)]).astype(np.int32)),
+            pa.array(np.concatenate([th[own[kept]], th[texts]]).astype(np.int64) << 32 | np.concatenate([at[kept], np.zeros(extra, np.int64)])),
             pa.array([None] * len(kept) + [x.tobytes() for x in lists], pa.binary()),
         ],
-        ["h", "id", "th", "at", "more"],
+        ["h", "id", "pos", "more"],
     )
 
 
@@ -198,7 +197,11 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def _key(docs: DataFrame) -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id"), F.hash("text").alias("th")]
+    """(id, th): the document. The text's hash tells rows of one id apart; where every id is
+    there once (one look at the ids), it is 0 and costs no bytes in the shuffles."""
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    twice = docs.groupBy(key.alias("id")).count().where("count > 1")
+    return [key.alias("id"), (F.lit(0) if twice.isEmpty() else F.hash("text")).alias("th")]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -207,16 +210,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     the columns ``keep``."""
     lengths = levels(window)
     base = docs.select(*_key(docs), "text", "doc_id", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    order = Window.partitionBy("h").orderBy("id", "th", "at")
+    order = Window.partitionBy("h").orderBy("id", "pos")
     looked = _look_up(base.select("id", "th", "text"), window, lengths, 0)
     for level in range(len(lengths)):
         # every join below plans the same exchange of the texts, which runs once
-        seen = looked.select("id", "th", "at", "more", F.rank().over(order).alias("r"), F.lead("id").over(order).alias("next"))
+        seen = looked.select("id", "pos", "more", F.rank().over(order).alias("r"), F.lead("id").over(order).alias("next"))
         repeats = F.col("more").isNotNull() | (F.col("r") > 1)
         last = level == len(lengths) - 1
         if not last:  # an occurrence that sorts first repeats as well
             repeats |= F.col("next").isNotNull()
-        found = _by_document(seen.where(repeats).select("id", "th", "at", "more"), "spots")
+        th, at = F.shiftright("pos", 32).cast("int"), F.col("pos").bitwiseAND(0xFFFFFFFF).cast("int")
+        found = _by_document(seen.where(repeats).select("id", th.alias("th"), at.alias("at"), "more"), "spots")
         rows = base.join(found, ["id", "th"], "left" if last else "inner")
         rows = rows.select("id", "th", "text", "spots", "packed", "doc_id", *[f"k{i}" for i in range(len(keep))])
         if not last:
