@@ -222,21 +222,21 @@ def churn_cohort_curve_true_months(
     (``cohort_month + k months <= month(as_of)``), whether or not anyone churned.
 
     A cohort's own row is expanded to the offsets it has reached, at most ``max_month + 1``
-    rows per signup month; churn counts of reached offsets are added to them, no join.
+    rows per signup month; churn counts of reached offsets are added to them: one pass, no join.
     """
     current = month_floor(parse_as_of(as_of))
     rows = _cohort_offsets(t, plan, months_between_starts).where(F.col("cohort_month").isNotNull())
     age = months_between_starts(ts_lit(current), F.col("cohort_month"))
     reached = F.least(age, F.lit(max_month).cast("bigint"))
-    spine = rows.where(F.col("k").isNull() & (age >= 0)).select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), reached)).alias("months_since_signup"),
-        F.lit(0).cast("bigint").alias("churned"),
-        F.col("n").alias("size"),
-    )
-    hits = rows.where(F.col("k").between(0, reached)).select(
-        F.col("k").alias("months_since_signup"), F.col("n").alias("churned"), F.lit(0).cast("bigint").alias("size")
-    )
-    g = spine.unionAll(hits).groupBy("months_since_signup").agg(
+    zero = F.lit(0).cast("bigint")
+
+    def entry(k, churned, size):
+        return F.struct(k.alias("months_since_signup"), churned.alias("churned"), size.alias("size"))
+
+    own = F.transform(F.sequence(zero, reached), lambda k: entry(k, zero, F.col("n")))
+    hit = F.array(entry(F.col("k"), F.col("n"), zero))
+    entries = F.when(F.col("k").isNull() & (age >= 0), own).when(F.col("k").between(0, reached), hit)
+    g = rows.select(F.explode(entries).alias("e")).select("e.*").groupBy("months_since_signup").agg(
         F.sum("churned").alias("total_churned"), F.sum("size").alias("total_cohort")
     )
     return _curve(g)
