@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import PieceCache, per_text
 from .text import ragged, string_chunks
+from .worker import worker_state
 
 # The pre-tokenisation pattern of byte-level BPE vocabularies.
 _SPACE = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+"
 
-CACHE = 700_000  # pieces remembered by one worker; only speed depends on it
+CACHE = 500_000  # pieces remembered by one worker; only speed depends on it
+PAIRS = 400_000  # compatible and other pairs remembered
 SHORT = 24  # bytes up to which a plain scan merges faster than a heap
 
 
@@ -122,7 +127,7 @@ class Bpe:
         ok = np.empty(len(found), bool)
         for k, key in enumerate(found.tolist()):
             if (v := self.fits.get(key)) is None:
-                if len(self.fits) > 2 * CACHE:
+                if len(self.fits) > PAIRS:
                     self.fits.clear()
                 a, b = divmod(key, self.size)
                 v = self.fits[key] = self.merged(self.token[a] + self.token[b]) == [a, b]
@@ -138,7 +143,7 @@ class Bpe:
         """Ids of each word, and how many words needed exact merging."""
         out = [self.greedy(w) for w in found]
         n = np.array([len(x) for x in out], np.int64)
-        flat = np.fromiter((t for x in out for t in x), np.int64, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(out), np.int64, int(n.sum()))
         bad = np.zeros(len(out), bool)
         own = np.repeat(np.arange(len(out)), n)
         if len(flat) > 1:
@@ -158,15 +163,28 @@ class Bpe:
 
 
 _PIECE = regex.compile(rf"{_SPACE}*\P{{White_Space}}+|{_SPACE}+")
-_ODD_SPACE = regex.compile(rf"{_SPACE} ")  # white space before a space: cut by rule instead
+# white space before a space or line end, or at the end: pieces are found one by one instead
+_ODD_SPACE = regex.compile(rf"{_SPACE}[ \n]|{_SPACE}\Z")
+_SIGNS = re.compile(r"[\W_][,.][ \n]")  # stops that may make one token with what is before them
+_MARK = "\x01"
 
 
 def pieces(text: str) -> list[str]:
-    """Cut a text before every run of white space, where every pre-token ends as well."""
-    if _ODD_SPACE.search(text) or text[-1:] == " ":
+    """Cut a text where pre-tokens end: before every run of white space, and (where that is
+    sure) before a comma or stop at the end of a word."""
+    if _ODD_SPACE.search(text):
         return _PIECE.findall(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+    mark = _MARK if _MARK not in text and not _SIGNS.search(text) else None
+    if mark:
+        for stop in (", ", ". ", ",\n", ".\n"):
+            text = text.replace(stop, f" {_MARK}{stop}")
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        first, *rest = line.split(" ")
+        if first or k:
+            out.append("\n" + first if k else first)
+        out += [x[1:] if x[:1] == mark else " " + x for x in rest]
+    return out
 
 
 class Encoder:
@@ -176,26 +194,19 @@ class Encoder:
         self.bpe = Bpe(path)
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.bpe.special)) + ")") if self.bpe.special else None
-        self.clear()
+        self.cache = PieceCache(self._learn, CACHE)
 
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        parts = [[w.encode() for w in self.words.findall(p)] for p in new]
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        special = self.bpe.special
+        parts = [[] if p in special else [w.encode() for w in self.words.findall(p)] for p in new]
         known = list(dict.fromkeys(w for ws in parts for w in ws))
         got = dict(zip(known, self.bpe.encode_words(known)[0], strict=True))
-        ids = [[t for w in ws for t in got[w]] for ws in parts]
+        ids = [[special[p]] if p in special else [t for w in ws for t in got[w]] for p, ws in zip(new, parts, strict=True)]
         n = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((t for x in ids for t in x), np.uint32, int(n.sum()))
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])
-        self.n, self.flat = np.concatenate([self.n, n]), np.concatenate([self.flat, flat])
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
-        if len(self.index) > CACHE:
-            self.clear()
         flat: list[str] = []
         count = []
         for t in texts:
@@ -206,33 +217,13 @@ class Encoder:
             else:
                 flat += pieces(t)
             count.append(len(flat) - before)
-        index = self.index
-        new = [p for p in dict.fromkeys(flat) if p not in index and p not in self.bpe.special]
-        if new:
-            base = len(self.at)
-            self._learn(new)
-            index.update(zip(new, range(base, base + len(new)), strict=True))
-        for s, i in self.bpe.special.items():
-            if s not in index:
-                index[s] = len(self.at)
-                self.at = np.append(self.at, len(self.flat))
-                self.n, self.flat = np.append(self.n, 1), np.append(self.flat, np.uint32(i))
-        where = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        n = self.n[where]
-        ids = self.flat[ragged(self.at[where], n)]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        b = np.concatenate([[0], np.cumsum(np.array(count, np.int64))])
-        return ids, ends[b[1:]] - ends[b[:-1]]
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        ids, n = self.cache.ids(flat)
+        return ids, per_text(n, count)
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_state(("byte bpe", path), lambda: Encoder(path))
 
 
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
