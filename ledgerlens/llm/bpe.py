@@ -34,8 +34,8 @@ from .worker import worker_state
 _SPACE = r"\p{White_Space}"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|{_SPACE}+(?!\P{{White_Space}})|{_SPACE}+"
 
-CACHE = 500_000  # pieces remembered by one worker; only speed depends on it
-PAIRS = 400_000  # compatible and other pairs remembered
+CACHE = 350_000  # pieces remembered by one worker; only speed depends on it
+PAIRS = 250_000  # compatible and other pairs remembered
 SHORT = 24  # bytes up to which a plain scan merges faster than a heap
 
 

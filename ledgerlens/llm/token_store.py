@@ -16,7 +16,6 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pieces import PieceCache, per_text
 from .storage import commit_file, new_folder
 from .text import CHUNK, ragged, string_chunks
+from .worker import worker_state
 
 # Fixed values of the format.
 MAGIC = b"LLPF0001"
@@ -34,7 +35,7 @@ HEADER = struct.Struct("<8sIIQQQ")  # magic, block size, end id, ids, documents,
 CUT = "<| |>"  # parts pieces for the library; holds a space, so no piece contains it
 PERCENTILE = 0.9
 FILE_IDS = 2_000_000  # ids after which a task starts another file
-CACHE = 1_200_000  # pieces remembered by one worker; only speed depends on it
+CACHE = 900_000  # pieces remembered by one worker; only speed depends on it
 
 
 class WordEncoder:
@@ -57,8 +58,7 @@ class WordEncoder:
                 raise ValueError("this vocabulary keeps white space or case; its texts cannot be cut at spaces")
         self.tokenizer.add_special_tokens([CUT])
         self.cut = self.tokenizer.token_to_id(CUT)
-        self.index: dict[str, int] = {}
-        self.flat, self.at, self.n, self.hits = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
+        self.cache = PieceCache(self._learn, CACHE)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -69,59 +69,29 @@ class WordEncoder:
         folding is another (sigma) or would touch a special token."""
         return text if "Σ" in text or "<|" in text else text.lower().replace("\n", " ")
 
-    def _learn(self, new: list[str]) -> None:
-        flat, sizes = [self.flat], [self.n]
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = [], []
         for i in range(0, len(new), 500):
-            part = new[i : i + 500]
-            ids = np.array(self._ids(CUT.join(part) + CUT), np.uint32)
+            ids = np.array(self._ids(CUT.join(new[i : i + 500]) + CUT), np.uint32)
             ends = np.flatnonzero(ids == self.cut)
             flat.append(np.delete(ids, ends))
             sizes.append(np.diff(np.concatenate([[-1], ends])) - 1)
-        self.index.update(zip(new, range(len(self.n), len(self.n) + len(new)), strict=True))
-        self.flat, self.n = np.concatenate(flat), np.concatenate(sizes)
-        self.at = np.cumsum(self.n) - self.n
-        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
-
-    def _forget(self) -> None:
-        """Drop the pieces met once only (all of them, if those met again are too many)."""
-        live = np.flatnonzero(self.hits > 1)
-        live = live if len(live) < CACHE // 2 else live[:0]
-        names = list(self.index)
-        self.index = {names[i]: k for k, i in enumerate(live.tolist())}
-        self.flat = self.flat[ragged(self.at[live], self.n[live])]
-        self.n = self.n[live]
-        self.at = np.cumsum(self.n) - self.n
-        self.hits = np.ones(len(live), np.int64)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
-        if len(self.index) > CACHE:
-            self._forget()
         flat: list[str] = []
-        count = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
+        count = []
+        for t in texts:
             p = self._plain(t).split(" ")
             flat += p
-            count[i] = len(p)
-        where = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(where < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys([flat[i] for i in missing.tolist()])))
-            where[missing] = [self.index[flat[i]] for i in missing.tolist()]
-        self.hits += np.bincount(where, minlength=len(self.hits))
-        n = self.n[where]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        b = np.concatenate([[0], np.cumsum(count)])
-        return self.flat[ragged(self.at[where], n)], ends[b[1:]] - ends[b[:-1]]
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
+            count.append(len(p))
+        ids, n = self.cache.ids(flat)
+        return ids, per_text(n, count)
 
 
 def word_encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return worker_state(("word bpe", path), lambda: WordEncoder(path))
 
 
 # --- blocks -------------------------------------------------------------------------------
