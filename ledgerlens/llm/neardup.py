@@ -7,13 +7,14 @@ similarity ``percent`` / 100 share a shingle in their first n - ceil(percent * n
 places, so classes are joined on those prefix shingles.
 
 A list of classes that share a prefix shingle is joined in steps, as only connection counts.
-First each member is paired with one member of its list. What is verified as a link
-is contracted to components; lists whose members all are in one component are done. After
-``ROUNDS`` such steps, in the lists that remain, all pairs of members from different components are joined, thinned by the
-length filter, the positional filter, and the suffix filter: the parities of the shingles'
-hash cells differ in no more cells than the sets differ in shingles. Each pair is verified once,
-by intersecting the full sets. So no pair between different components is left out, and
-a large group of near copies costs rows in proportion to its size.
+First each member of a list of three or more is paired with one member. What is verified as a link is
+contracted to components; lists whose members all are in one component are done. After
+``HEADS`` such steps, all pairs of members from different components are joined in the lists
+that remain, thinned by the length filter, the positional filter (which asks for up to
+``SHARED`` common shingles in the right places) and the suffix filter: the parities of the
+shingles' hash cells differ in no more cells than the sets differ in shingles. Each pair is
+verified once, by intersecting the full sets. So no pair between different components is left
+out, and a large group of near copies costs rows in proportion to its size.
 
 For a prefix shingle that many of a group of texts have, the task sends one row; the members
 are listed beside the shuffle. So a shingle that a third of all rows share has as many rows in it
@@ -43,8 +44,9 @@ GRAM = 5
 PERCENT = 80
 FREQUENT = 1 << 17  # entries of the table of frequent shingles: 1 MB, whatever the corpus
 COUNTED = 3_000_000  # shingles of a group of texts that are counted together in a task
-CROWD = 3  # members from which a group of texts sends one row for a shingle
-ROUNDS = 2  # of pairing each list with one of its members, before pairing what is still apart
+CROWD = 3  # members from which a group of texts sends one row for a shingle, and a list has rounds
+HEADS = (1, 3)  # rounds of pairing each list with one member, by one of 2, then of 4 hashes
+SHARED = 3  # shingles that the prefixes of a pair must share, where they are long enough
 CELLS = 512  # parity bits of the suffix filter
 PARITY = [f"p{k}" for k in range(CELLS // 64)]
 CROWD_LEAD = 1 << 31  # bit of ``np`` of a row that stands for a crowd
@@ -218,12 +220,32 @@ def _place(np_: str) -> Column:
     return F.col(np_).bitwiseAND(CROWD_LEAD - 1)
 
 
+def _overlap(nx: Column, ny: Column, percent: int) -> Column:
+    """The least overlap of two sets that are similar enough."""
+    return F.ceil((nx + ny) * percent / (100 + percent))
+
+
+def _common(nx: Column, ny: Column, percent: int) -> Column:
+    """Shingles that a pair must share in its prefixes: up to ``SHARED``, as long as both
+    prefixes are that long. (Prefixes of n - overlap + k places share k shingles at least.)"""
+    reach = [_overlap(nx, ny, percent) - F.ceil(n * percent / 100) + 1 for n in (nx, ny)]
+    return F.least(F.lit(SHARED).cast("bigint"), *reach)
+
+
 def _placed(x: str, y: str, percent: int) -> Column:
-    """Length filter and positional filter on two ``np`` columns: a pair's first common shingle
-    leaves at most the shorter rest in common."""
+    """Length filter and positional filter on two ``np`` columns: whether a common shingle lies
+    in the parts of both prefixes where ``_common`` of them must be."""
     nx, ny = _size(x), _size(y)
     rest = F.least(nx - _place(x), ny - _place(y))
-    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
+    near = F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent
+    return near & (rest > _overlap(nx, ny, percent) - _common(nx, ny, percent))
+
+
+def _counted(met: DataFrame, x: Column, y: Column, x_np: str, y_np: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows of ``met`` with as many rows as they must share shingles."""
+    need = _common(_size(x_np), _size(y_np), percent)
+    rows = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), need.alias("need"))
+    return rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
 
 
 def _thinned(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -233,16 +255,14 @@ def _thinned(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, gram: int) -> DataFrame:
-    """(sig, shingles) of all classes in ``pairs``: ``known`` ones, the others made again from the
-    texts. A bit table keeps other classes out of the shuffle."""
+def _verified(docs: DataFrame, pairs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. The sets of the classes in ``pairs``
+    are made again from the texts; a bit table keeps the others out of the shuffle, which both
+    joins below share."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    if known is not None:
-        wanted = wanted.join(known, "sig", "left_anti").select("sig")
-    wanted = cut(spark, wanted, "wanted")
-    if known is not None and wanted.isEmpty():
-        return known
+    wanted = cut(spark, pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct(), "wanted")
+    if wanted.isEmpty():
+        return pairs
     table = bit_table(wanted, "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +274,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, known: DataFrame | None, gram: int)
                 yield pa.RecordBatch.from_arrays([_signed(sig[one]), rows], ["sig", "shingles"])
 
     made = docs.select("text").mapInArrow(run, "sig bigint, shingles array<bigint>").join(wanted, "sig", "left_semi")
-    made = cut(spark, made.dropDuplicates(["sig"]), "sets")
-    return made if known is None else known.unionByName(made)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    sets = made.dropDuplicates(["sig"])
     x, y = sets.alias("x"), sets.alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.sig")).join(y, F.col("b") == F.col("y.sig"))
     common = F.size(F.array_intersect("x.shingles", "y.shingles"))
@@ -315,17 +330,16 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     light = profiles.where("n > 0").select("sig", "n", *PARITY).dropDuplicates(["sig"])
     shared = cut(spark, _shared_prefixes(_prefix_rows(keyed, frequent, gram, percent), percent), "prefixes")
 
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    lists, groups, sets, done = shared.withColumn("label", F.col("sig")), None, None, None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            # each member with one of its list, chosen by a hash that differs between shingles
-            choice = F.min_by(F.struct("sig", "np", "label"), F.xxhash64("sig", F.col("tok").bitwiseAND(3), F.lit(turn)))
-            heads = lists.groupBy("tok").agg(choice.alias("h")).select("tok", "h.*").toDF("tok", "h_sig", "h_np", "h_label")
+    lists, groups, done = shared.withColumn("label", F.col("sig")), None, None
+    for turn in range(len(HEADS) + 1):
+        if turn < len(HEADS):
+            # each member with one of its list; the lists of a family choose among few
+            choice = F.min_by(F.struct("sig", "np", "label"), F.xxhash64("sig", F.col("tok").bitwiseAND(HEADS[turn]), F.lit(turn)))
+            size = F.count("*").alias("members")
+            heads = lists.groupBy("tok").agg(choice.alias("h"), size).where(F.col("members") >= CROWD)
+            heads = heads.select("tok", "h.*").toDF("tok", "h_sig", "h_np", "h_label")
             met = lists.join(heads, "tok").where((F.col("label") != F.col("h_label")) & _placed("np", "h_np", percent))
-            pairs = met.select(*pair("sig", "h_sig")).distinct()
+            pairs = met.select(F.least("sig", "h_sig").alias("a"), F.greatest("sig", "h_sig").alias("b")).distinct()
             pairs = _thinned(pairs, light, percent)
         else:
             # everything that is still apart
@@ -333,13 +347,12 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
             x, y = left.alias("x"), left.alias("y")
             apart = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.label") < F.col("y.label"))
             met = x.join(y, apart & _may_link("x", "y", percent) & _placed("x.np", "y.np", percent))
-            pairs = met.select(*pair("x.sig", "y.sig")).distinct()
+            pairs = _counted(met, F.col("x.sig"), F.col("y.sig"), "x.np", "y.np", percent)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(spark, pairs, "pairs")
-        sets = _sets(keyed, pairs, sets, gram)
-        groups = _contracted(_verified(pairs, sets, percent), groups)
-        if turn < ROUNDS:
+        groups = _contracted(_verified(keyed, pairs, gram, percent), groups)
+        if turn < len(HEADS):
             done = pairs if done is None else done.unionByName(pairs)
             labelled = shared.join(groups, shared["sig"] == groups["node"], "left")
             labelled = labelled.select("tok", "sig", "np", F.coalesce("label", "sig").alias("label"))
