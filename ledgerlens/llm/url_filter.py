@@ -2,10 +2,13 @@
 
 Hosts are cut at dots, hyphens and digits; each piece is split into words by unigram Viterbi: the
 split with the largest product of word probabilities, where unknown words lose a factor of ten per
-letter. Word counts come from the hosts of the whole table. A multinomial naive Bayes model then
+letter. Word counts come from the hosts of the whole table, in two rounds: that a piece occurs does
+not make it a word, so the second round counts the words that the pieces consist of. There a piece
+that is made of other words, of ``MEAN`` letters or more on average, is counted as these and is no
+word itself; seed words always are words. A multinomial naive Bayes model then
 scores the words of host and path; it is trained on a bounded sample of hosts that a seed word
-labels by hand (see ``SEEDS``): a host with a seed among its hyphen-separated pieces is blocked,
-the others of the sample are allowed. A url is blocked where the log odds are over zero.
+labels by hand (see ``SEEDS``): a host with a seed among its words (of hyphenated or split names) is
+blocked, the others of the sample are allowed. A url is blocked where the log odds are over zero.
 
 Rules go before the model. A rule is a host and a path; it fits its host and all subdomains if
 the url's path starts with the rule's path; of the rules that fit the longest wins.
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 # The rules (host, path, verdict) and the seed words of the labelled sample.
@@ -45,6 +48,7 @@ LEXICON = 50_000  # words of the unigram model, by number of hosts
 SAMPLE = 20_000  # hosts that the classifier is trained on, by hash of the host
 SMOOTHING = 0.1  # added to every word count of a class
 LONGEST = 24  # letters of the longest word a split may use
+MEAN = 3  # least mean length of the words that replace a piece: shorter ones (codes, letters) fit by chance
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LABELS = re.compile(r"[a-z]+|[^\x00-\x7f]+")
@@ -105,6 +109,28 @@ class Words:
         got = self.known[name] = tuple(reversed(out))
         return got
 
+    def parts(self, name: str) -> tuple[str, ...]:
+        """The words ``name`` is made of, where its own occurrences are no evidence that it is a word."""
+        if name in SEEDS:
+            return (name,)
+        best: list[tuple[float, int] | None] = [(0.0, 0)]
+        for j in range(1, len(name) + 1):
+            found = [
+                (best[i][0] + self.log_p[name[i:j]], -i)
+                for i in range(max(0, j - LONGEST), j)
+                if best[i] and j - i < len(name) and name[i:j] in self.log_p
+            ]
+            best.append(max(found, default=None))
+        out, j = [], len(name)
+        while j and best[-1]:
+            i = -best[j][1]
+            out.append(name[i:j])
+            j = i
+        if out and len(name) >= MEAN * len(out):
+            return tuple(w for part in reversed(out) for w in self.parts(part))
+        split = (name,) if name in self.log_p else self.split(name)
+        return split if split == (name,) else tuple(w for part in split for w in self.parts(part))
+
     def url_words(self, host: str, path: str) -> list[str]:
         """Words of the host's labels without the last two (the registered suffix), and of the path."""
         labels = host.split(".")
@@ -128,11 +154,32 @@ class Model:
         return bool(host) and self.score(host, path) > 0
 
 
-def _labelled_block(host: str) -> bool:
-    pieces = [p for label in host.split(".")[:-1] for p in label.split("-")]
+def _labelled_block(host: str, words: Words) -> bool:
+    pieces = [w for label in host.split(".")[:-1] for p in label.split("-") for w in (words.split(p) if _LABELS.fullmatch(p) else (p,))]
     return any(p in STRONG for p in pieces) or sum(p in SEEDS for p in pieces) > 1
 
 
+def _with_seeds(counts: list[Row]) -> dict[str, int]:
+    """Counts by word. Seed words are words whatever the hosts: they count as often as the most
+    frequent tenth. ``counts``: most frequent first."""
+    common = counts[len(counts) // 10]["count"] if counts else 1
+    seen = Counter({r.word: r["count"] for r in counts if len(r.word) <= LONGEST})
+    for w in sorted(SEEDS):
+        seen[w] = max(seen[w], common)
+    return dict(seen)
+
+
+def _recounted(counts: DataFrame, words: Words) -> DataFrame:
+    """(word, count) of the words that all pieces are made of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(w, n) for name, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in words.parts(name)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], ["word", "n"])
+
+    return counts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("count"))
+
+
 def train(urls: DataFrame) -> Model:
     """Fit both models on (host, path) rows.
 
@@ -140,18 +187,15 @@ def train(urls: DataFrame) -> Model:
     """
     hosts = urls.where("host <> ''").groupBy("host").agg(F.min("path").alias("path"))
     piece = F.explode(F.regexp_extract_all(F.regexp_replace("host", r"\.[^.]*$", ""), F.lit("([a-z]+)"))).alias("word")
-    counts = hosts.select(piece).groupBy("word").count().orderBy(F.desc("count"), "word").limit(LEXICON).collect()
-    # seed words are words whatever the hosts: they count as often as the most frequent tenth
-    common = counts[len(counts) // 10]["count"] if counts else 1
-    seen = Counter({r.word: r["count"] for r in counts if len(r.word) <= LONGEST})
-    for w in sorted(SEEDS):
-        seen[w] = max(seen[w], common)
-    words = Words.of(dict(seen))
+    counts = hosts.select(piece).groupBy("word").count()
+    top = [F.desc("count"), "word"]
+    words = Words.of(_with_seeds(counts.orderBy(*top).limit(LEXICON).collect()))
+    words = Words.of(_with_seeds(_recounted(counts, words).orderBy(*top).limit(LEXICON).collect()))
     sample = hosts.orderBy(F.xxhash64("host"), "host").limit(SAMPLE).collect()
     tokens = {True: Counter(), False: Counter()}
     size = Counter()
     for r in sample:
-        label = _labelled_block(r.host)
+        label = _labelled_block(r.host, words)
         size[label] += 1
         tokens[label].update(words.url_words(r.host, r.path))
     # the seeds are the labelling rule itself: one example each, which leaves the prior as it is

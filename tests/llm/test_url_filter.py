@@ -87,6 +87,25 @@ def test_concatenated_names_are_split_and_blocked(spark):
     assert not model.block("www.tionsh.example.org", "/en/7") and not model.block("unheard.example.org", "/")
 
 
+@pytest.mark.parametrize("hosts", [1, 3, 12])
+def test_concatenated_names_of_the_table_itself_are_split_and_blocked(spark, hosts):
+    names = {"spamfarm": ("spam", "farm"), "cheappills": ("cheap", "pills"), "casinowin": ("casino", "win"), "freebets": ("free", "bets")}
+    given = [url for _, url in fetch("pages", "page_id, url", "/root/testdata/sf0.01")]
+    urls = given + [f"http://{sub}{name}.example.org/en/{i}" for name in names for i in range(hosts) for sub in (f"s{i}.", f"my-{i}.", f"my{i}x")]
+    table = pages(spark, urls).repartition(5)
+    model = uf.train(table.select(uf.host_of(uf.F.col("url")).alias("host"), uf.path_of(uf.F.col("url")).alias("path")))
+    assert {name: model.words.split(name) for name in names} == names
+    got = {r.host: r.verdict for r in uf.judge(table).where("rule IS NULL").collect()}
+    assert {got[f"s{i}.{name}.example.org"] for name in names for i in range(hosts)} == {"block"}
+
+
+def test_names_that_are_no_chain_of_words_stay_whole(spark):
+    clean = ["winter", "roads", "essex", "freedom", "example"]
+    urls = [f"http://{w}.example.org/en/{i}" for i, w in enumerate([*clean, "win-ads", "es", "ro", "free-sex"] * 3)]
+    model = uf.train(pages(spark, urls).select(uf.host_of(uf.F.col("url")).alias("host"), uf.path_of(uf.F.col("url")).alias("path")))
+    assert [model.words.split(w) for w in clean] == [(w,) for w in clean]
+
+
 @pytest.mark.parametrize("name", ["", "a", "spamfarm", "thecasinowin", "freexfree", "zzzz"])
 def test_viterbi_finds_the_best_of_all_splits(name):
     words = uf.Words.of({"spam": 5, "farm": 3, "the": 9, "casino": 2, "win": 4, "free": 3, "f": 1, "ca": 2})
