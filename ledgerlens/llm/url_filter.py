@@ -1,8 +1,8 @@
 """URL filters: rules first, then a classifier over segmented host and path words.
 
 Hosts are cut at dots, hyphens and digits; each piece is split into words by unigram Viterbi: the
-split with the largest product of word probabilities, where unknown words lose a factor of ten per
-letter. Word counts come from the hosts of the whole table, in two rounds: that a piece occurs does
+split with the largest product of word probabilities, where unknown words have ``SHARE``, less a
+factor of ten per letter. Word counts come from the hosts of the whole table, in two rounds: that a piece occurs does
 not make it a word, so the second round counts the words that the pieces consist of. There a piece
 that is made of other words, of ``MEAN`` letters or more on average, is counted as these and is no
 word itself; seed words always are words. A multinomial naive Bayes model then
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The rules (host, path, verdict) and the seed words of the labelled sample.
@@ -44,7 +44,7 @@ SEEDS = frozenset(
 )
 STRONG = frozenset("adult ads bets casino gambling pills poker porn spam viagra warez xxx".split())
 
-LEXICON = 50_000  # words of the unigram model, by number of hosts
+SHARE = 1e-6  # least share in all word counts of a word of the unigram model, whatever the size of the table
 SAMPLE = 20_000  # hosts that the classifier is trained on, by hash of the host
 SMOOTHING = 0.1  # added to every word count of a class
 LONGEST = 24  # letters of the longest word a split may use
@@ -79,17 +79,17 @@ class Words:
     """Unigram word model: log probabilities, and the split of a name that they like best."""
 
     log_p: dict[str, float]
-    total: float
     known: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False)
 
     @staticmethod
-    def of(counts: dict[str, int]) -> Words:
-        total = float(sum(counts.values()) or 1)
-        return Words({w: math.log(c / total) for w, c in counts.items()}, total)
+    def of(counts: dict[str, int], rest: int = 0) -> Words:
+        """``rest``: the counts of all words that are not in ``counts``."""
+        total = float(sum(counts.values()) + rest or 1)
+        return Words({w: math.log(c / total) for w, c in counts.items()})
 
     def word(self, w: str) -> float:
         got = self.log_p.get(w)
-        return got if got is not None else math.log(1 / self.total) - len(w) * math.log(10)
+        return got if got is not None else math.log(SHARE) - len(w) * math.log(10)
 
     def split(self, name: str) -> tuple[str, ...]:
         """Viterbi over the letters of ``name``."""
@@ -159,14 +159,19 @@ def _labelled_block(host: str, words: Words) -> bool:
     return any(p in STRONG for p in pieces) or sum(p in SEEDS for p in pieces) > 1
 
 
-def _with_seeds(counts: list[Row]) -> dict[str, int]:
-    """Counts by word. Seed words are words whatever the hosts: they count as often as the most
-    frequent tenth. ``counts``: most frequent first."""
-    common = counts[len(counts) // 10]["count"] if counts else 1
-    seen = Counter({r.word: r["count"] for r in counts if len(r.word) <= LONGEST})
+def _model(counts: DataFrame) -> Words:
+    """Every word with a share of ``SHARE`` or more in all of ``counts``: at most 1 / ``SHARE`` rows
+    reach the driver, and which ones depends neither on the size of the table nor on spelling."""
+    total = counts.agg(F.sum("count").alias("total"))
+    rows = counts.crossJoin(F.broadcast(total)).where(F.col("count") >= F.col("total") * SHARE).collect()
+    order = sorted((r["count"] for r in rows), reverse=True)
+    # seed words are words whatever the hosts: they count as often as the most frequent tenth
+    common = order[len(order) // 10] if order else 1
+    seen = Counter({r.word: r["count"] for r in rows if len(r.word) <= LONGEST})
+    rest = (rows[0].total if rows else 0) - sum(seen.values())
     for w in sorted(SEEDS):
         seen[w] = max(seen[w], common)
-    return dict(seen)
+    return Words.of(dict(seen), rest)
 
 
 def _recounted(counts: DataFrame, words: Words) -> DataFrame:
@@ -183,14 +188,12 @@ def _recounted(counts: DataFrame, words: Words) -> DataFrame:
 def train(urls: DataFrame) -> Model:
     """Fit both models on (host, path) rows.
 
-    The driver receives the ``LEXICON`` most frequent words and ``SAMPLE`` hosts, no more.
+    The driver receives the words with a share of ``SHARE`` and ``SAMPLE`` hosts, no more.
     """
     hosts = urls.where("host <> ''").groupBy("host").agg(F.min("path").alias("path"))
     piece = F.explode(F.regexp_extract_all(F.regexp_replace("host", r"\.[^.]*$", ""), F.lit("([a-z]+)"))).alias("word")
     counts = hosts.select(piece).groupBy("word").count()
-    top = [F.desc("count"), "word"]
-    words = Words.of(_with_seeds(counts.orderBy(*top).limit(LEXICON).collect()))
-    words = Words.of(_with_seeds(_recounted(counts, words).orderBy(*top).limit(LEXICON).collect()))
+    words = _model(_recounted(counts, _model(counts)))
     sample = hosts.orderBy(F.xxhash64("host"), "host").limit(SAMPLE).collect()
     tokens = {True: Counter(), False: Counter()}
     size = Counter()

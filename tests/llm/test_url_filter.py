@@ -3,6 +3,7 @@ import re
 
 import pytest
 from llm_cases import fetch, rows_of
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import url_filter as uf
 from ledgerlens.llm.queries import op2_url_filter
@@ -106,6 +107,21 @@ def test_names_that_are_no_chain_of_words_stay_whole(spark):
     assert [model.words.split(w) for w in clean] == [(w,) for w in clean]
 
 
+def test_the_model_does_not_depend_on_table_size_or_spelling(spark):
+    """More distinct words than any fixed number kept: equal counts are all kept, and ten times the table is the same model."""
+    n = 60_000
+    letters = [F.substring(F.lit("bcdfghjklm"), (F.col("id") / 10**k).cast("bigint").cast("int") % 10 + 1, 1) for k in range(5)]
+    counts = spark.range(n).select(F.concat(F.lit("q"), *letters).alias("word"), F.lit(1).cast("bigint").alias("count"))
+    small, large = uf._model(counts), uf._model(counts.withColumn("count", F.col("count") * 10))
+    assert len(small.log_p) == n + len(uf.SEEDS)
+    assert set(small.log_p) == set(large.log_p) and all(math.isclose(p, large.log_p[w]) for w, p in small.log_p.items())
+    assert small.word("unheardof") == large.word("unheardof")
+    common = spark.createDataFrame([("spam", 5_000_000), ("rare", 4), ("word", 6)], "word string, count bigint")
+    model = uf._model(common)
+    assert "word" in model.log_p and "rare" not in model.log_p
+    assert math.isclose(math.exp(model.log_p["word"]) * (5_000_010 + 5_000_000 * (len(uf.SEEDS) - 1)), 6)
+
+
 @pytest.mark.parametrize("name", ["", "a", "spamfarm", "thecasinowin", "freexfree", "zzzz"])
 def test_viterbi_finds_the_best_of_all_splits(name):
     words = uf.Words.of({"spam": 5, "farm": 3, "the": 9, "casino": 2, "win": 4, "free": 3, "f": 1, "ca": 2})
