@@ -35,7 +35,7 @@ from .text import NON_SPACE, U64, hash_words, mix, string_chunks, window_hashes,
 
 WINDOW = 20
 FIRST = 10  # least length of the first level: shorter runs repeat by chance too often
-_ROW = "h bigint, id bigint, pos bigint, more binary"  # pos: text hash, then place
+_ROW = "h bigint, id bigint, at int, more binary"  # and th bigint (text hash) where ids are not unique
 
 
 def levels(window: int) -> list[int]:
@@ -62,7 +62,7 @@ def _anchors(h: np.ndarray, group: int) -> np.ndarray:
     return out + np.arange(len(view))
 
 
-def _looked_up(h: np.ndarray, own: np.ndarray, at: np.ndarray, ids: np.ndarray, th: np.ndarray, first_too: bool) -> pa.RecordBatch:
+def _looked_up(h: np.ndarray, own: np.ndarray, at: np.ndarray, ids: np.ndarray, th: np.ndarray, first_too: bool, unique: bool) -> pa.RecordBatch:
     """Rows to look up: the first occurrence of each hash in this group of texts; and one row
     per text with the places whose hash is known to repeat (``first_too``: firsts as well)."""
     order = np.lexsort((at, th[own], ids[own], h))
@@ -84,15 +84,16 @@ def _looked_up(h: np.ndarray, own: np.ndarray, at: np.ndarray, ids: np.ndarray,
     lists = np.split(places.astype("<i4"), begin[1:]) if len(texts) else []
     kept = start
     extra = len(texts)
-    key = np.concatenate([h[kept], mix(ids[texts].astype(U64) ^ (th[texts].astype(U64) << U64(32)) ^ U64(0x5DEECE66D))])
+    key = np.concatenate([h[kept], mix(ids[texts].astype(U64) ^ mix(th[texts].astype(U64)) ^ U64(0x5DEECE66D))])
     return pa.RecordBatch.from_arrays(
         [
             pa.array(key.view(np.int64)),
             pa.array(np.concatenate([ids[own[kept]], ids[texts]])),
-            pa.array(np.concatenate([th[own[kept]], th[texts]]).astype(np.int64) << 32 | np.concatenate([at[kept], np.zeros(extra, np.int64)])),
+            pa.array(np.concatenate([at[kept], np.zeros(extra, np.int64)]).astype(np.int32)),
             pa.array([None] * len(kept) + [x.tobytes() for x in lists], pa.binary()),
+            *([] if unique else [pa.array(np.concatenate([th[own[kept]], th[texts]]))]),
         ],
-        ["h", "id", "pos", "more"],
+        ["h", "id", "at", "more"] + ([] if unique else ["th"]),
     )
 
 
@@ -103,7 +104,7 @@ def _spots(h: np.ndarray, window: int, first: int, length: int) -> np.ndarray:
     return np.minimum(_anchors(h, window - first + 1), full + window - length)
 
 
-def _look_up(docs: DataFrame, window: int, lengths: list[int], level: int) -> DataFrame:
+def _look_up(docs: DataFrame, window: int, lengths: list[int], level: int, unique: bool) -> DataFrame:
     """Windows of a level's length to be looked up, of documents (and, after the first level,
     of the full windows whose window of the previous length repeats)."""
 
@@ -127,9 +128,9 @@ def _look_up(docs: DataFrame, window: int, lengths: list[int], level: int) -> Da
                 at, own = np.concatenate(parts), np.concatenate(owns)
                 if len(at):
                     ids, th = (b.column(k).slice(lo, hi - lo).to_numpy() for k in (0, 1))
-                    yield _looked_up(now[first[own] + at], own, at, ids, th, level < len(lengths) - 1)
+                    yield _looked_up(now[first[own] + at], own, at, ids, th, level < len(lengths) - 1, unique)
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(run, _ROW if unique else _ROW + ", th bigint")
 
 
 def _by_document(rows: DataFrame, places: str) -> DataFrame:
@@ -196,12 +197,13 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return out[:-1].tobytes()
 
 
-def _key(docs: DataFrame) -> list[Column]:
-    """(id, th): the document. The text's hash tells rows of one id apart; where every id is
-    there once (one look at the ids), it is 0 and costs no bytes in the shuffles."""
+def _key(docs: DataFrame) -> tuple[list[Column], bool]:
+    """(id, th), the document, and whether every id is there once (one look at the ids). The text's
+    64-bit hash tells rows of one id apart; with unique ids it is 0 and not in the looked-up rows."""
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     twice = docs.groupBy(key.alias("id")).count().where("count > 1")
-    return [key.alias("id"), (F.lit(0) if twice.isEmpty() else F.hash("text")).alias("th")]
+    unique = twice.isEmpty()
+    return [key.alias("id"), (F.lit(0).cast("bigint") if unique else F.xxhash64("text")).alias("th")], unique
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -209,21 +211,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     ``kept_text`` (the kept words joined by one space, or the text as it is where all are kept) and
     the columns ``keep``."""
     lengths = levels(window)
-    base = docs.select(*_key(docs), "text", "doc_id", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    order = Window.partitionBy("h").orderBy("id", "pos")
-    looked = _look_up(base.select("id", "th", "text"), window, lengths, 0)
+    key, unique = _key(docs)
+    base = docs.select(*key, "text", "doc_id", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    th = F.lit(0).cast("bigint") if unique else F.col("th")
+    order = Window.partitionBy("h").orderBy(*["id", "at"] if unique else ["id", "th", "at"])
+    looked = _look_up(base.select("id", "th", "text"), window, lengths, 0, unique)
     for level in range(len(lengths)):
         # every join below plans the same exchange of the texts, which runs once
-        seen = looked.select("id", "pos", "more", F.rank().over(order).alias("r"), F.lead("id").over(order).alias("next"))
+        seen = looked.select("id", th.alias("th"), "at", "more", F.rank().over(order).alias("r"), F.lead("id").over(order).alias("next"))
         repeats = F.col("more").isNotNull() | (F.col("r") > 1)
         last = level == len(lengths) - 1
         if not last:  # an occurrence that sorts first repeats as well
             repeats |= F.col("next").isNotNull()
-        th, at = F.shiftright("pos", 32).cast("int"), F.col("pos").bitwiseAND(0xFFFFFFFF).cast("int")
-        found = _by_document(seen.where(repeats).select("id", th.alias("th"), at.alias("at"), "more"), "spots")
+        found = _by_document(seen.where(repeats).select("id", "th", "at", "more"), "spots")
         rows = base.join(found, ["id", "th"], "left" if last else "inner")
         rows = rows.select("id", "th", "text", "spots", "packed", "doc_id", *[f"k{i}" for i in range(len(keep))])
         if not last:
-            looked = _look_up(rows, window, lengths, level + 1)
+            looked = _look_up(rows, window, lengths, level + 1, unique)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + (["kept_text", *keep] if with_text else [])
     return _removal(rows, window, with_text).toDF(*names)

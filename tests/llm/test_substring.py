@@ -3,6 +3,7 @@ import re
 
 import pytest
 from llm_cases import EDGE, documents, fetch, rows_of, sentence
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import substring
 from ledgerlens.llm.queries import op3_substring_dedup
@@ -67,6 +68,17 @@ def test_windows_are_judged_on_the_input(spark):
     assert rows_of(substring.remove_repeats(documents(spark, rows))) == digests(brute(rows))
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_id_with_the_same_32_bit_hash(spark, doc_id):
+    shared = sentence(30, 30)
+    numbered = spark.range(400_000).select(F.col("id").alias("n"), F.concat(F.col("id").cast("string"), F.lit(" " + shared)).alias("text"))
+    pair = numbered.groupBy(F.hash("text")).agg(F.collect_list("text").alias("two")).where(F.size("two") > 1).first().two[:2]
+    total = len(pair[0].split())
+    got = rows_of(substring.remove_repeats(documents(spark, [(doc_id, t) for t in pair])))
+    assert [r[:2] for r in got] == [(doc_id, total)] * 2
+    assert sorted(r[2] for r in got) == [0, total - 1]  # one of the two starts later and loses the passage
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert substring.remove_repeats(documents(spark, [])).collect() == []
     docs = documents(spark, EDGE[:10]).withColumnsRenamed({"lang": "id", "source": "th", "n_chars": "spots"})
