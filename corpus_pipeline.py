@@ -23,11 +23,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; null texts and texts without a letter go."""
+    """Null texts and texts without a letter go, all others stay, also where no language was learned."""
     ship(spark)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    found = lang_id.identify(docs, lang_id.train(docs)).toDF(*names, "lang_pred", "score")
-    return found.where(F.col("lang_pred") != lang_id.UNKNOWN).select(*names).toDF(*docs.columns)
+    found = lang_id.identify(docs, lang_id.train(docs), letters=True).toDF(*names, "lang_pred", "score", "has_letter")
+    return found.where("has_letter").select(*names).toDF(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,8 +173,9 @@ def train(docs: DataFrame) -> Model:
     return Model(languages, np.array([vectors[x] for x in languages]).reshape(len(languages), DIM))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows of ``docs`` with ``lang_pred`` and ``score`` as two more columns at the end.
+def identify(docs: DataFrame, model: Model, letters: bool = False) -> DataFrame:
+    """All rows of ``docs`` with ``lang_pred`` and ``score`` as two more columns at the end; with
+    ``letters`` also ``has_letter``, which looks at the text alone, whatever was learned.
 
     The columns of ``docs`` go through untouched, also when two have the same name or one is
     called like a result.
@@ -186,13 +187,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for lo, hi, data, off in string_chunks(b.column(at), CHUNK):
                 raw = data.tobytes()
-                best, score = model.score([raw[x:y].decode() for x, y in zip(off[:-1], off[1:], strict=True)])
-                cols = [c.slice(lo, hi - lo) for c in b.columns]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(best), pa.array(score)], [*names, "pred", "score"])
+                texts = [raw[x:y].decode() for x, y in zip(off[:-1], off[1:], strict=True)]
+                best, score = model.score(texts)
+                found = [*(c.slice(lo, hi - lo) for c in b.columns), pa.array(best), pa.array(score)]
+                if letters:
+                    found.append(pa.array([any(map(str.isalpha, t)) for t in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(found, [*names, "pred", "score", "letter"][: len(found)])
 
     plain = docs.toDF(*names)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{kinds}, pred string, score double").toDF(*docs.columns, "lang_pred", "score")
+    more = ["lang_pred", "score"] + ["has_letter"] * letters
+    return plain.mapInArrow(run, f"{kinds}, pred string, score double" + ", letter boolean" * letters).toDF(*docs.columns, *more)
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,17 @@ def test_stages_keep_the_columns_and_act(spark):
             assert after.count() < before.count()
 
 
+def test_language_id_keeps_texts_with_letters_whatever_was_learned(spark):
+    texts = ["a clean text", "日本語", "Ünï 1", "12 34 -- 5", "", None]
+    for rows in (
+        [(i, t, None) for i, t in enumerate(texts)],  # no labels
+        [(None, t, "en") for t in texts],  # nothing to learn from without an id
+        [(i, t, "und") for i, t in enumerate(texts)],  # a label that reads like the unknown one
+    ):
+        got = corpus_pipeline.language_id(spark, documents(spark, rows), SF)
+        assert sorted(r.text for r in got.collect()) == sorted(texts[:3])
+
+
 def test_planted_cases(spark):
     (item,) = fetch("benchmark", "text")[0]
     base = fetch("documents", "doc_id, text, lang")[:40]
