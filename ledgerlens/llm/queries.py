@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, neardup, oracles, sharding, substring, token_store, topk, url_filter, warc
+from . import bpe, decontam, lang_id, merkle, neardup, oracles, sharding, substring, token_store, topk, url_filter, warc
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filter": op2_url_filter,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_topk": op9_topk,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 # The others use trained models or vocabulary files: tested against brute force (tests/llm).
@@ -79,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": oracles.WARC,
     "op6_decontamination": oracles.DECONTAMINATION,
     "op9_topk": topk.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }

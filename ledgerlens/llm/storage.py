@@ -9,16 +9,22 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
+_SCRATCH: dict[str, str] = {}  # application -> its scratch folder, where the setting is unset
+
+
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a scratch folder only where it is unset in local mode."""
+    """``spark.checkpoint.dir``; a scratch folder of the application only where it is unset in
+    local mode (Spark refuses to change the setting of a running session)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    context = spark.sparkContext
+    master = context.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
-    root = tempfile.mkdtemp(prefix="ledgerlens-shared-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _SCRATCH:
+        _SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="ledgerlens-shared-")
+    return _SCRATCH[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
