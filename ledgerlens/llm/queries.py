@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, merkle, neardup, oracles, sharding, substring, token_store, topk, url_filter, warc
+from . import bpe, collocations, decontam, lang_id, merkle, neardup, oracles, pq, sharding, substring, token_store, topk, url_filter, warc
 from .shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_filter": op2_url_filter,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op9_topk": op9_topk,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_collocations": op12_collocations,
+    "op13_embedding_neardup": op13_embedding_neardup,
 }
 
 # The others use trained models or vocabulary files: tested against brute force (tests/llm).
@@ -85,4 +95,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": oracles.DECONTAMINATION,
     "op9_topk": topk.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
+    "op13_embedding_neardup": pq.ORACLE_SQL,
 }
