@@ -11,8 +11,9 @@ inside every query). The corrected variants are reported under ``variants``.
 
 ``on_business_tables`` times the same sixteen analyses over the seven business tables
 written once as Parquet and read back with explicit schemas, the layout a production
-deployment reads; it isolates the analyses from the test-data mapping. Set
-``BENCH_BUSINESS_TABLES=0`` to skip it.
+deployment reads; it isolates the analyses from the test-data mapping. ``on_states`` times them over
+the states of those tables, and the refresh that makes the states. Set ``BENCH_BUSINESS_TABLES=0`` to
+skip both. ``bitmaps`` times the analyses that have a second form over bitmaps.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from ledgerlens.plans.registry import CORRECTED, REGISTRY  # noqa: E402
+from ledgerlens.plans.registry import BITMAP, CORRECTED, REGISTRY  # noqa: E402
 from ledgerlens.session import local_session  # noqa: E402
-from ledgerlens.sources import TABLE_NAMES, fixture_tables, read_parquet_tables  # noqa: E402
+from ledgerlens.sources import TABLE_NAMES, fixture_tables, read_parquet_tables, read_states, refresh_states  # noqa: E402
 
 
 def main() -> None:
@@ -53,10 +54,11 @@ def main() -> None:
 
     for a in REGISTRY.values():  # suite warm-up
         on_dir(a)().collect()
-    main_q = {n: timed(on_dir(a)) for n, a in REGISTRY.items() if n not in CORRECTED}
+    main_q = {n: timed(on_dir(a)) for n, a in REGISTRY.items() if n not in CORRECTED | BITMAP}
     variants = {n: timed(on_dir(a)) for n, a in REGISTRY.items() if n in CORRECTED}
+    bitmaps = {n: timed(on_dir(a)) for n, a in REGISTRY.items() if n in BITMAP}
 
-    stored = {}
+    stored, states = {}, {}
     if os.environ.get("BENCH_BUSINESS_TABLES", "1") != "0":
         root = tempfile.mkdtemp(prefix="ledgerlens-bench-")
         derived = fixture_tables(spark, sf_dir)
@@ -64,8 +66,15 @@ def main() -> None:
             getattr(derived, name).write.mode("overwrite").parquet(f"{root}/{name}")
         t = read_parquet_tables(spark, root)
         stored = {
-            n: timed(lambda a=a: a.run(t)) for n, a in REGISTRY.items() if n not in CORRECTED
+            n: timed(lambda a=a: a.run(t)) for n, a in REGISTRY.items() if n not in CORRECTED | BITMAP
         }
+        t0 = time.perf_counter()
+        refresh_states(spark, t, f"{root}/states")
+        refresh = round(time.perf_counter() - t0, 4)
+        reduced = read_states(spark, f"{root}/states", t)
+        for a in REGISTRY.values():
+            a.run(reduced).collect()
+        states = {n: timed(lambda a=a: a.run(reduced)) for n, a in REGISTRY.items() if n not in CORRECTED}
 
     sf = Path(sf_dir).name.removeprefix("sf")
     print(
@@ -80,6 +89,12 @@ def main() -> None:
                     "value": round(sum(stored.values()), 4),
                     "queries": stored,
                 },
+                "bitmaps": bitmaps,
+                "on_states": {
+                    "refresh": refresh if states else None,
+                    "value": round(sum(v for n, v in states.items() if n not in BITMAP), 4),
+                    "queries": states,
+                },
                 "sf": sf,
                 "cpus": cpus,
                 "shuffle_partitions": partitions,

@@ -2,6 +2,8 @@
 
 from .exact import as_fraction, big, cents, ratio, ratio_scaled, scaled_to_double
 from .fmt import dollars, year_month
+from .prefilter import id_filter
+from .ranking import rank_descending
 from .timeutil import (
     add_months,
     elapsed_days,
@@ -24,6 +26,7 @@ __all__ = [
     "cents",
     "dollars",
     "elapsed_days",
+    "id_filter",
     "minus_days",
     "month_component_of_age",
     "month_floor",
@@ -32,6 +35,7 @@ __all__ = [
     "parse_as_of",
     "plus_days",
     "plus_months",
+    "rank_descending",
     "ratio",
     "ratio_scaled",
     "scaled_to_double",

@@ -9,7 +9,8 @@ Before routing, what can't reach ``min_count`` is left out by global counts: wor
 leading pairs. The tables that tell it to the scans have a fixed size and no false negatives (see
 ``bits.py``), so they only spare work: the counts come from the sorted parts.
 
-A route holds all pointers of its leading pairs, so its counts are whole. A pair heavier than an
+Pointers and counts of a scan are added up and shipped in blocks, one row per scan buffer and route
+(``blocks.py``). A route holds all pointers of its leading pairs, so its counts are whole. A pair heavier than an
 even share of the routes is split: its pointers are cut off after two, three and four words, each
 kind is routed by all its words, added up in the scan (a pair, and mostly a triple, is then one row
 a task) and counts at its own depth alone. There are as many routes as the pointers ask for, and a
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bit_table, in_table
+from .blocks import block_sql, bucket_width, by_bucket, pack, unpack
 from .storage import cut
 from .text import LOWER, U64, hash_words, mix, ragged, string_chunks, window_hashes, words
 
@@ -46,6 +48,8 @@ COVER = (80, 100)  # a longer phrase that occurs so many times of so many covers
 ROUTE = 1_000_000  # pointers a route should hold
 ROUTES_A_PARTITION = 4
 BUFFER = 1_000_000  # pointers of a scan that are added up together
+PAIRS = 2_000_000  # pairs of a scan that are counted together, and of a bucket
+SPREAD = 64  # parts of a lang that are cut to the top on their own first
 
 _SPLIT = np.zeros(256, bool)  # ends a piece
 _SPLIT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -111,15 +115,40 @@ def _count_words(docs: DataFrame, min_count: int) -> DataFrame:
     return found.where((F.col("f") >= min_count) | F.col("word").isNull())
 
 
-def _count_pairs(docs: DataFrame, frequent: np.ndarray, min_count: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PAIR_KINDS = ("<u8", "<i4")
+
+
+def _count_pairs(docs: DataFrame, frequent: np.ndarray, min_count: int, buckets: int) -> DataFrame:
+    """pair, f of the frequent pairs: blocks of counts are dealt by the hash and added up."""
+    width = bucket_width(buckets)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def ship() -> pa.RecordBatch:
+            pair, f = np.unique(np.concatenate(held), return_counts=True)
+            return pack(pair // width, [pair, f], PAIR_KINDS)
+
         for w, _, _ in _batches(batches):
             h, ok = w.pairs(frequent)
-            pair, f = np.unique(h[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(pair), pa.array(f.astype(np.int64))], ["pair", "f"])
+            held.append(h[ok])
+            n += len(held[-1])
+            if n >= PAIRS:
+                yield ship()
+                held, n = [], 0
+        if n:
+            yield ship()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, f in unpack(batches, PAIR_KINDS):
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            total = np.add.reduceat(f[order].astype(np.int64), first)
+            keep = total >= min_count
+            yield pa.RecordBatch.from_arrays([_signed(pair[first][keep]), pa.array(total[keep])], ["pair", "f"])
 
-    found = docs.mapInArrow(run, "pair bigint, f bigint").groupBy("pair").agg(F.sum("f").alias("f"))
-    return found.where(F.col("f") >= min_count)
+    return by_bucket(docs.mapInArrow(scan, block_sql(PAIR_KINDS))).mapInArrow(add_up, "pair bigint, f bigint")
 
 
 def _chain(columns: np.ndarray) -> np.ndarray:
@@ -131,25 +160,28 @@ def _chain(columns: np.ndarray) -> np.ndarray:
 
 
 def _added_up(columns: np.ndarray, least: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Equal pointers as one with their weight; and the hash they were sorted by."""
+    """Equal pointers as one with their weight, in the order of the hash that routes them: that of
+    the leading pair, or of all words for those that count at one depth alone."""
     h = _chain(columns) + least.astype(U64)
-    order = np.argsort(h, kind="stable")
-    columns, least, weight, h = columns[:, order], least[order], weight[order], h[order]
-    new = np.ones(len(h), bool)
+    by = np.where(least == 0, _chain(columns[:2]), h)
+    order = np.lexsort((h, by))
+    columns, least, weight, by = columns[:, order], least[order], weight[order], by[order]
+    new = np.ones(len(by), bool)
     new[1:] = (columns[:, 1:] != columns[:, :-1]).any(axis=0) | (least[1:] != least[:-1])
     at = np.flatnonzero(new)
-    return columns[:, at], least[at], np.add.reduceat(weight, at) if len(at) else weight, h[at]
+    return columns[:, at], least[at], np.add.reduceat(weight, at) if len(at) else weight, by[at]
+
+
+def _kinds(depth: int) -> tuple[str, ...]:
+    return ("<u8",) * depth + ("i1", "<i4")
 
 
 def _pointers(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, heavy: np.ndarray, depth: int, routes: int) -> DataFrame:
-    names = [f"w{i + 1}" for i in range(depth)]
+    width = bucket_width(routes)
 
     def ship(columns: np.ndarray, least: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-        columns, least, weight, h = _added_up(columns, least, weight)
-        by_pair = _chain(columns[:2])
-        route = np.where(least == 0, by_pair, h) % U64(routes)
-        cells = [pa.array(route.astype(np.int64)), *(_signed(np.ascontiguousarray(c)) for c in columns), pa.array(least), pa.array(weight)]
-        return pa.RecordBatch.from_arrays(cells, ["route", *names, "least", "weight"])
+        columns, least, weight, by = _added_up(columns, least, weight)
+        return pack(by // width, [*columns, least, weight], _kinds(depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -184,8 +216,7 @@ def _pointers(docs: DataFrame, frequent: np.ndarray, pairs: np.ndarray, heavy: n
         if n:
             yield ship(*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)))
 
-    ids = ", ".join(f"{x} bigint" for x in names)
-    return docs.mapInArrow(run, f"route bigint, {ids}, least tinyint, weight bigint")
+    return docs.mapInArrow(run, block_sql(_kinds(depth)))
 
 
 def quicksort(columns: np.ndarray, least: np.ndarray, weight: np.ndarray, min_count: int) -> tuple[list[np.ndarray], list[int]]:
@@ -224,31 +255,14 @@ def _sorted_routes(pointers: DataFrame, depth: int, min_count: int) -> DataFrame
     """w1, w2, ..., f of every phrase that occurs ``min_count`` times."""
     names = [f"w{i + 1}" for i in range(depth)]
 
-    def counted(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        columns = np.stack([t[c].to_numpy().view(U64) for c in names])
-        phrases, counts = quicksort(columns, t["least"].to_numpy(), t["weight"].to_numpy(), min_count)
-        found = np.array(phrases, U64).reshape(len(phrases), depth).T
-        cells = [*(_signed(np.ascontiguousarray(c)) for c in found), pa.array(counts, pa.int64())]
-        return pa.RecordBatch.from_arrays(cells, [*names, "f"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for b in batches:
-            at = b.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi > lo and at[lo] != now:
-                    if parts:
-                        yield counted(parts)
-                    now, parts = at[lo], []
-                if hi > lo:
-                    parts.append(b.slice(lo, hi - lo))
-        if parts:
-            yield counted(parts)
-
-    dealt = pointers.repartition("route").sortWithinPartitions("route")
-    return dealt.mapInArrow(run, ", ".join(f"{x} bigint" for x in names) + ", f bigint")
+        for *columns, least, weight in unpack(batches, _kinds(depth)):
+            phrases, counts = quicksort(np.stack(columns), least, weight.astype(np.int64), min_count)
+            found = np.array(phrases, U64).reshape(len(phrases), depth).T
+            cells = [*(_signed(np.ascontiguousarray(c)) for c in found), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, [*names, "f"])
+
+    return by_bucket(pointers).mapInArrow(run, ", ".join(f"{x} bigint" for x in names) + ", f bigint")
 
 
 def _named(phrases: DataFrame, known: DataFrame, depth: int) -> DataFrame:
@@ -299,9 +313,11 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, top: i
     vocabulary = cut(spark, _count_words(texts, min_count), "words")
     known = vocabulary.where("word IS NOT NULL")
     frequent = bit_table(known, "id")
-    pairs = cut(spark, _count_pairs(texts, frequent, min_count), "pairs")
+    least = max(1, ROUTES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    all_words = vocabulary.where("word IS NULL").agg(F.sum("f")).first()[0] or 0
+    pairs = cut(spark, _count_pairs(texts, frequent, min_count, max(least, -(-all_words // PAIRS))), "pairs")
     total = pairs.agg(F.sum("f")).first()[0] or 0
-    routes = max(ROUTES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROUTE))
+    routes = max(least, -(-total // ROUTE))
     heavy = bit_table(pairs.where(F.col("f") > max(min_count, total // routes)), "pair")
     pointers = _pointers(texts, frequent, bit_table(pairs, "pair"), heavy, depth, routes)
     found = cut(spark, _sorted_routes(pointers, depth, min_count), "phrases")
@@ -309,8 +325,11 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, depth: int = DEPTH, top: i
     counts = known.select("lang", "word", "f").unionAll(phrases.select("lang", "phrase", "a"))
     held = _scored(phrases, counts).join(_covered(phrases), ["lang", "phrase"], "left")
     covered = F.coalesce(_wide(cover[1]) * _wide("most") >= _wide(cover[0]) * _wide("a"), F.lit(False))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = held.where(~covered).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    spread = F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)).alias("spread")
+    parts = Window.partitionBy("lang", "spread").orderBy(*order)
+    best = held.where(~covered).select("*", spread).withColumn("nth", F.row_number().over(parts)).where(F.col("nth") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = vocabulary.where("word IS NULL").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

@@ -21,10 +21,11 @@ def total_over_groups(c: str | Column) -> Column:
     return F.sum(c).over(whole())
 
 
-def total(groups: DataFrame, c: str) -> Column:
-    """``SUM(c)`` over a grouped result as a scalar subquery: the groups may be many, as no task
-    gets them all. The subquery's aggregate is the one of ``groups``, run once (reused)."""
-    return groups.select(F.sum(c)).scalar()
+def with_total(groups: DataFrame, c: str) -> DataFrame:
+    """A grouped result with ``total``, ``SUM(c)`` over all groups, as a column bound once: a
+    scalar subquery, so the groups may be many and no task gets them all. Its aggregate is the one
+    of ``groups``, run once (reused)."""
+    return groups.withColumn("total", groups.select(F.sum(c)).scalar())
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -13,6 +13,7 @@ from ..functions import (
     month_floor,
     parse_as_of,
     plus_days,
+    rank_descending,
     ratio,
     ratio_scaled,
     scaled_to_double,
@@ -44,29 +45,42 @@ def feature_adoption(
     join moves one row per user and feature instead of the fan-out.
     """
     month = month_floor(add_months(parse_as_of(as_of), -lookback_months))
+    g = (
+        adoption_weights(t, month, free_plan, status, per_user)
+        .groupBy("feature_name")
+        .agg(
+            F.count("active").alias("active_users"),
+            F.count("user_id").alias("total_paid_users"),
+            F.sum("w_sum").alias("w_sum"),
+            F.sum("w_rows").alias("w_rows"),
+        )
+    )
+    return adoption_rates(g)
+
+
+def adoption_weights(t: Tables, month: datetime, free_plan: str, status: str, per_user: bool = False) -> DataFrame:
+    """A row per feature and active paid subscriber that has a usage row in the month, with its
+    uses and usage rows, weighted by the user's subscriptions."""
     usage = (
-        t.scan("feature_usage", since=month, until=month)
+        t.facts("feature_usage", since=month, before=add_months(month, 1))
         .where(F.col("month") == ts_lit(month))
         .groupBy("user_id", "feature_name")
         .agg(
             F.max(F.when(F.col("is_active_user"), F.lit(1))).alias("active"),
-            F.sum("usage_count").alias("usage_sum"),
-            F.count("usage_count").alias("usage_rows"),
+            F.sum("usage_sum").alias("usage_sum"),
+            F.sum("usage_rows").alias("usage_rows"),
         )
     )
-    paid = t.subscriptions.where((F.col("plan") != free_plan) & (F.col("status") == status))
-    weight = F.max(F.lit(1).cast("bigint")) if per_user else F.count(F.lit(1))
+    paid = t.facts("subscriptions").where((F.col("plan") != free_plan) & (F.col("status") == status))
+    weight = F.max(F.lit(1).cast("bigint")) if per_user else F.sum("rows")
     subscribers = paid.groupBy("user_id").agg(weight.alias("k"))
-    g = (
-        usage.join(subscribers, "user_id")
-        .groupBy("feature_name")
-        .agg(
-            F.count("active").alias("active_users"),
-            F.count("user_id").alias("total_paid_users"),
-            F.sum(F.col("usage_sum") * F.col("k")).alias("w_sum"),
-            F.sum(F.col("usage_rows") * F.col("k")).alias("w_rows"),
-        )
+    return usage.join(subscribers, "user_id").select(
+        "feature_name", "user_id", "active", (F.col("usage_sum") * F.col("k")).alias("w_sum"), (F.col("usage_rows") * F.col("k")).alias("w_rows")
     )
+
+
+def adoption_rates(g: DataFrame) -> DataFrame:
+    """The report of 3.1 from the counts and weighted sums of each feature."""
     return g.select(
         "feature_name",
         "active_users",
@@ -96,27 +110,21 @@ def feature_usage_vs_churn(
     """
     since = add_months(parse_as_of(as_of), -lookback_months)
     users_of_feature = (
-        t.scan("feature_usage", since=since)
-        .where(
-            (F.col("feature_name") == feature)
-            & F.col("is_active_user")
-            & (F.col("month") >= ts_lit(since))
-        )
+        t.facts("feature_usage", since=since)
+        .where((F.col("feature_name") == feature) & F.col("is_active_user"))
         .select("user_id")
         .distinct()
         .withColumn("uses_feature", F.lit(True))
     )
     churners = (
-        t.scan("churn_events", since=since)
-        .where(F.col("churn_date") >= ts_lit(since))
+        t.facts("churn_events", since=since)
         .select("user_id")
         .distinct()
         .withColumn("churned", F.lit(True))
     )
     base = (
-        t.subscriptions.where(
-            (F.col("plan") == segment_plan) & F.col("status").isin(*statuses)
-        )
+        t.facts("subscriptions")
+        .where((F.col("plan") == segment_plan) & F.col("status").isin(*statuses))
         .select("user_id")
         .distinct()
     )
@@ -157,7 +165,7 @@ def feature_stickiness(
     one row per user (checked when it is read).
     """
     cut = minus_days(parse_as_of(as_of), retention_days)
-    last_event = t.events.groupBy("user_id").agg(F.max("created_at").alias("last_at"))
+    last_event = t.facts("events").groupBy("user_id").agg(F.max("last_at").alias("last_at"))
     eligible = t.users.where(
         (F.col("signup_date") <= ts_lit(cut)) & (F.col("plan_type") != free_plan)
     )
@@ -166,9 +174,10 @@ def feature_stickiness(
         "user_id", F.when(kept, 1).otherwise(0).alias("retained_90d")
     )
     usage = (
-        t.feature_usage.where(F.col("is_active_user"))
+        t.facts("feature_usage")
+        .where(F.col("is_active_user"))
         .groupBy("user_id", "feature_name")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("rows").alias("rows"))
     )
     weight = F.lit(1) if distinct_retained else F.col("rows")
     # one row per (user, feature) on the one side and per user on the other
@@ -180,13 +189,12 @@ def feature_stickiness(
             F.sum(F.col("retained_90d") * weight).cast("bigint").alias("retained_users"),
         )
     )
-    rate = ratio(F.col("retained_users") * 100, F.col("total_users"), 1)
-    g = g.withColumn("retention_rate_pct", rate)
-    rank = F.rank().over(Window.orderBy(F.desc_nulls_first("retention_rate_pct")))
-    return g.select(
+    rate = ratio_scaled(F.col("retained_users") * 100, F.col("total_users"), 1)
+    ranked = rank_descending(g.withColumn("rate_scaled", rate), "rate_scaled", "stickiness_rank")
+    return ranked.select(
         "feature_name",
         "total_users",
         "retained_users",
-        "retention_rate_pct",
-        rank.cast("bigint").alias("stickiness_rank"),
+        scaled_to_double(F.col("rate_scaled"), 1).alias("retention_rate_pct"),
+        "stickiness_rank",
     ).orderBy("stickiness_rank", F.asc_nulls_last("feature_name"))

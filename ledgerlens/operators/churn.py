@@ -11,7 +11,6 @@ from ..functions import (
     add_months,
     as_fraction,
     big,
-    cents,
     dollars,
     month_component_of_age,
     month_floor,
@@ -25,12 +24,12 @@ from ..functions import (
     year_month,
 )
 from ..sources import Tables
-from ._common import total
+from ._common import with_total
 
 
 def _monthly_churners(t: Tables, since: datetime) -> DataFrame:
     """Distinct churning users per (plan, churn month), churn months from ``since`` on."""
-    c = t.scan("churn_events", since=since).where(F.col("churn_date") >= ts_lit(since))
+    c = t.facts("churn_events", since=since)
     return c.groupBy("plan", month_start(F.col("churn_date")).alias("month")).agg(
         F.count_distinct("user_id").alias("churned_users")
     )
@@ -51,13 +50,16 @@ def monthly_churn_rate(
     scans; churn months before the bound could never join.
     """
     since = add_months(month_floor(parse_as_of(as_of)), -lookback_months)
-    s = t.scan("subscriptions", since=since).where(
-        F.col("status").isin(*statuses) & (F.col("start_date") >= ts_lit(since))
-    )
+    s = t.facts("subscriptions", since=since).where(F.col("status").isin(*statuses))
     starts = s.groupBy("plan", month_start(F.col("start_date")).alias("month")).agg(
         F.count_distinct("user_id").alias("active_users_start")
     )
-    j = starts.join(_monthly_churners(t, since), ["plan", "month"], "left")
+    return monthly_rates(starts, _monthly_churners(t, since))
+
+
+def monthly_rates(starts: DataFrame, churners: DataFrame) -> DataFrame:
+    """The report of 2.1 from users per (plan, month): starting ones and churning ones."""
+    j = starts.join(churners, ["plan", "month"], "left")
     churned = F.coalesce(F.col("churned_users"), F.lit(0)).cast("bigint")
     return j.orderBy(F.asc_nulls_last("plan"), F.asc_nulls_last("month")).select(
         "plan",
@@ -86,9 +88,8 @@ def monthly_churn_rate_active_base(
     first = add_months(month_floor(parse_as_of(as_of)), -lookback_months)
     n_months = lookback_months + 1
     last = add_months(first, lookback_months)
-    s = t.scan("subscriptions", until=last).where(
-        F.col("status").isin(*statuses) & (F.col("start_date") < ts_lit(last))
-    ).where(F.col("end_date").isNull() | (F.col("end_date") >= ts_lit(first)))
+    s = t.facts("subscriptions", before=last).where(F.col("status").isin(*statuses)).where(
+        F.col("end_date").isNull() | (F.col("end_date") >= ts_lit(first)))
     # Window months M_k = first + k months with start_date < M_k <= end_date (or no end).
     # For a month start M: start_date < M  <=>  M >= month(start_date) + 1 month, and
     # M <= end_date  <=>  M <= month(end_date).
@@ -138,17 +139,14 @@ def churn_reason_topn(
     by reason so the result is deterministic.
     """
     since = add_months(parse_as_of(as_of), -lookback_months)
-    c = t.scan("churn_events", since=since).where(
-        (F.col("plan") == plan) & (F.col("churn_date") >= ts_lit(since))
-    )
-    g = c.groupBy("churn_reason").agg(F.count(F.lit(1)).alias("churn_count"))
+    c = t.facts("churn_events", since=since).where(F.col("plan") == plan)
+    g = c.groupBy("churn_reason").agg(F.sum("rows").alias("churn_count"))
     return (
-        g.select(
+        with_total(g, "churn_count")
+        .select(
             "churn_reason",
             "churn_count",
-            ratio(F.col("churn_count") * 100, total(g, "churn_count"), 1).alias(
-                "pct_of_plus_churn"
-            ),
+            ratio(F.col("churn_count") * 100, F.col("total"), 1).alias("pct_of_plus_churn"),
         )
         .orderBy(F.desc_nulls_first("churn_count"), F.asc_nulls_last("churn_reason"))
         .limit(top_n)
@@ -164,7 +162,7 @@ def _cohort_offsets(t: Tables, plan: str, offset) -> DataFrame:
     distinct offset and one for itself. ``users`` has one row per user.
     """
     churned = (
-        t.churn_events.where((F.col("plan") == plan) & F.col("user_id").isNotNull() & F.col("churn_date").isNotNull())
+        t.facts("churn_events").where((F.col("plan") == plan) & F.col("user_id").isNotNull() & F.col("churn_date").isNotNull())
         .groupBy("user_id")
         .agg(F.collect_set(month_start(F.col("churn_date"))).alias("churn_months"))
     )
@@ -256,11 +254,11 @@ def revenue_leakage(
     Every product is one exact integer ratio rounded once, as each is rounded from
     unrounded inputs in the specification.
     """
-    s = t.subscriptions.where((F.col("plan") == plan) & (F.col("status") == status))
+    s = t.facts("subscriptions").where((F.col("plan") == plan) & (F.col("status") == status))
     m = s.agg(
         F.count_distinct("user_id").alias("n"),
-        F.sum(cents(F.col("mrr"))).alias("mrr_cents"),
-        F.count("mrr").alias("mrr_rows"),
+        F.sum("mrr_cents").alias("mrr_cents"),
+        F.sum("mrr_rows").alias("mrr_rows"),
     )
     rate = as_fraction(monthly_churn_rate)
     step = as_fraction(improvement)

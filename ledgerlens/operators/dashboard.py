@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,6 @@ from ..functions import (
     add_months,
     as_fraction,
     big,
-    cents,
     month_floor,
     month_start,
     parse_as_of,
@@ -59,19 +58,17 @@ def health_dashboard(
         F.count(F.when(F.col("plan_type") != free_plan, F.lit(1))).alias("paid_users"),
     )
     churn = (
-        t.churn_events.where(F.col("plan") == plan)
+        t.facts("churn_events")
+        .where(F.col("plan") == plan)
         .groupBy(month_start(F.col("churn_date")).alias("m"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.sum("rows").alias("c"))
         .agg(F.sum("c").alias("churn_rows"), F.count(F.lit(1)).alias("churn_months"))
     )
     lo, hi = datetime(dashboard_year, 1, 1), datetime(dashboard_year + 1, 1, 1)
-    revenue = t.scan("payments", since=lo, until=hi - timedelta(microseconds=1)).where(
-        (F.col("status") == status)
-        & (F.col("payment_date") >= ts_lit(lo))
-        & (F.col("payment_date") < ts_lit(hi))
-    ).agg(F.sum(cents(F.col("amount"))).alias("rev_cents"))
+    paid = t.facts("payments", since=lo, before=hi).where(F.col("status") == status)
+    revenue = paid.agg(F.sum("rev_cents").alias("rev_cents"))
     month = month_floor(add_months(as_of, -lookback_months))
-    feature_users = t.scan("feature_usage", since=month, until=month).where(
+    feature_users = t.facts("feature_usage", since=month, before=add_months(month, 1)).where(
         (F.col("feature_name") == ai_feature)
         & F.col("is_active_user")
         & (F.col("month") == ts_lit(month))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import big, cents, minus_days, parse_as_of, ratio, ts_lit
+from ..functions import big, minus_days, parse_as_of, ratio
 from ..sources import Tables
 from ._common import total_over_groups
 
@@ -18,12 +18,10 @@ def _revenue_per_user(t: Tables, status: str) -> DataFrame:
     user instead of one per payment, and a user with a huge number of payments is
     collapsed by the map-side partial aggregate."""
     return (
-        t.payments.where(F.col("status") == status)
+        t.facts("payments")
+        .where(F.col("status") == status)
         .groupBy("user_id")
-        .agg(
-            F.sum(cents(F.col("amount"))).alias("rev_cents"),
-            F.count("amount").alias("pay_rows"),
-        )
+        .agg(F.sum("rev_cents").alias("rev_cents"), F.sum("pay_rows").alias("pay_rows"))
     )
 
 
@@ -131,8 +129,7 @@ def platform_mix_by_region(
     since = minus_days(parse_as_of(as_of), lookback_days)
     mobile, desktop = platforms
     flags = (
-        t.scan("events", since=since)
-        .where(F.col("created_at") >= ts_lit(since))
+        t.facts("events", since=since)
         .groupBy("user_id")
         .agg(
             F.max(F.when(F.col("platform") == mobile, F.lit(1))).alias("m"),
@@ -149,6 +146,11 @@ def platform_mix_by_region(
         F.count("d").alias("desktop_users"),
         F.count("user_id").alias("total_users"),
     )
+    return platform_shares(g)
+
+
+def platform_shares(g: DataFrame) -> DataFrame:
+    """The report of 4.3 from the three counts of each region."""
     return g.select(
         "region",
         "mobile_users",

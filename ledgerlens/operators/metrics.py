@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cents, ratio, ts_lit
+from ..functions import ratio
 from ..sources import Tables
 from ._common import total_over_groups
 
@@ -33,11 +33,11 @@ def mrr_by_plan(t: Tables, free_plan: str = "free", status: str = "active") -> D
     ``paying_users`` counts distinct users while ``avg_mrr_per_user`` averages
     subscription rows, as specified.
     """
-    s = t.subscriptions.where((F.col("status") == status) & (F.col("plan") != free_plan))
+    s = t.facts("subscriptions").where((F.col("status") == status) & (F.col("plan") != free_plan))
     g = s.groupBy("plan").agg(
         F.count_distinct("user_id").alias("paying_users"),
-        F.sum(cents(F.col("mrr"))).alias("mrr_cents"),
-        F.count("mrr").alias("mrr_rows"),
+        F.sum("mrr_cents").alias("mrr_cents"),
+        F.sum("mrr_rows").alias("mrr_rows"),
     )
     return g.select(
         "plan",
@@ -60,13 +60,9 @@ def annual_revenue_growth(
     millions; growth uses the unrounded sums. A missing year is skipped, not zero-filled.
     """
     lo, hi = datetime(year_from, 1, 1), datetime(year_to + 1, 1, 1)
-    p = t.scan("payments", since=lo, until=hi - timedelta(microseconds=1)).where(
-        (F.col("status") == status)
-        & (F.col("payment_date") >= ts_lit(lo))
-        & (F.col("payment_date") < ts_lit(hi))
-    )
-    g = p.groupBy(F.year("payment_date").cast("bigint").alias("revenue_year")).agg(
-        F.sum(cents(F.col("amount"))).alias("rev_cents")
+    p = t.facts("payments", since=lo, before=hi).where(F.col("status") == status)
+    g = p.groupBy(F.year("paid_at").cast("bigint").alias("revenue_year")).agg(
+        F.sum("rev_cents").alias("rev_cents")
     )
     by_year = Window.orderBy("revenue_year")
     millions = ratio(F.col("rev_cents"), 100 * 1_000_000, 1)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_fraction, elapsed_days, plus_days, ratio
+from ..functions import as_fraction, elapsed_days, id_filter, plus_days, ratio
 from ..sources import Tables
-from ._common import total
+from ._common import with_total
 
 # The event types that count as upgrade triggers.
 TRIGGER_EVENT_TYPES = (
@@ -36,7 +36,7 @@ def upgrade_rate(
     many rows shrinks to their distinct starts; the two sides meet once on ``user_id`` with the
     time order as a residual predicate, and users without a later start stay in the count.
     """
-    subs = t.subscriptions
+    subs = t.facts("subscriptions")
     cohort = (
         subs.where((F.col("plan") == from_plan) & F.col("user_id").isNotNull())
         .groupBy("user_id")
@@ -83,6 +83,7 @@ def upgrade_triggers(
     trigger_types: tuple[str, ...] = TRIGGER_EVENT_TYPES,
     window_days: int = 7,
     top_n: int = 8,
+    prefilter: bool = True,
 ) -> DataFrame:
     """Trigger events in the closed ``window_days`` before each user's first higher-plan
     start, counted as distinct users per (event type, feature) with their share (5.2).
@@ -90,49 +91,52 @@ def upgrade_triggers(
     Every matching event counts (not only the last one), and the share's denominator is
     the sum of the group counts. Ties at the cut are broken by event type, then feature.
 
-    The time-range join is made an equi-join on (user, calendar day): each user's first
-    upgrade is expanded to the ``window_days + 1`` days its closed window touches. Events are
-    first reduced to one row per (user, day, event type, feature) with the first and the last
-    time. The window's first and last day differ, so on its first day the last event decides,
-    on its last day the first event, and in between any: ``last >= start and first <= end`` is
-    exact. A user with very many events on one day is one row per type and feature. (For a
-    window of 0 days, one instant, the reduction is by the exact time.)
+    The time-range join is an equi-join on (user, bin) for any window: the days are cut into
+    bins of ``window_days`` days, so a closed window touches exactly two of them, and each user's
+    first upgrade becomes two rows. Events are first reduced to one row per (user, bin, event type,
+    feature) with the first and the last time. In the earlier bin the last event decides (all are
+    before the window's end), in the later one the first (all are after its start), so ``last >=
+    start and first <= end`` is exact. (A window of 0 days is one instant: the reduction is by the
+    exact time.)
+
+    ``prefilter`` puts a run-time filter in front of that reduction: events of users without an
+    upgrade leave in the scan's stage, by a bit table of fixed size.
     """
-    first_upgrade = (
-        t.subscriptions.where(F.col("plan").isin(*upgrade_plans))
-        .groupBy("user_id")
-        .agg(F.min("start_date").alias("upgrade_date"))
-    )
+    if window_days < 0:
+        raise ValueError("window_days must not be negative")
+    higher = t.facts("subscriptions").where(F.col("plan").isin(*upgrade_plans))
+    first_upgrade = higher.groupBy("user_id").agg(F.min("start_date").alias("upgrade_date"))
     window_start = plus_days(F.col("upgrade_date"), -window_days)
-    days = first_upgrade.select(
-        "user_id",
-        "upgrade_date",
-        F.explode(
-            F.sequence(F.to_date(window_start), F.to_date(F.col("upgrade_date")))
-        ).alias("day"),
+
+    def bin_of(c):
+        return F.floor(F.unix_date(F.to_date(c)) / F.lit(window_days)) if window_days else c
+
+    end = bin_of(F.col("upgrade_date"))
+    windows = first_upgrade.select(
+        "user_id", "upgrade_date", F.explode(F.array(end - 1, end) if window_days else F.array(end)).alias("bin")
     )
-    at = [] if window_days else ["created_at"]
-    ev = (
-        t.events.where(F.col("event_type").isin(*trigger_types))
-        .groupBy(F.col("user_id").alias("e_user"), F.to_date("created_at").alias("e_day"), "event_type", "feature_name", *at)
-        .agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
+    # an instant needs the events' own times, which states by day don't have
+    events = t.facts("events", exact=not window_days).where(F.col("event_type").isin(*trigger_types))
+    if prefilter:
+        events = events.where(id_filter(higher, "user_id", F.col("user_id")))
+    ev = events.groupBy(F.col("user_id").alias("e_user"), bin_of(F.col("last_at")).alias("e_bin"), "event_type", "feature_name").agg(
+        F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")
     )
     in_window = (F.col("last_at") >= window_start) & (F.col("first_at") <= F.col("upgrade_date"))
     j = ev.join(
-        days,
-        (F.col("e_user") == F.col("user_id")) & (F.col("e_day") == F.col("day")) & in_window,
+        windows,
+        (F.col("e_user") == F.col("user_id")) & (F.col("e_bin") == F.col("bin")) & in_window,
     )
     g = j.groupBy("event_type", "feature_name").agg(
         F.count_distinct("e_user").alias("user_count")
     )
     return (
-        g.select(
+        with_total(g, "user_count")
+        .select(
             F.col("event_type").alias("last_action_before_upgrade"),
             "feature_name",
             "user_count",
-            ratio(F.col("user_count") * 100, total(g, "user_count"), 1).alias(
-                "pct_of_upgrades"
-            ),
+            ratio(F.col("user_count") * 100, F.col("total"), 1).alias("pct_of_upgrades"),
         )
         .orderBy(
             F.desc_nulls_first("user_count"),

@@ -151,6 +151,13 @@ ANALYSES += [
     ),
 ]
 
+# The same analyses with their counts of distinct users taken from bitmaps.
+ANALYSES += [
+    _a("monthly_churn_rate_bitmap", ops.monthly_churn_rate_bitmap, oracle.monthly_churn_rate, as_of=AS_OF),
+    _a("feature_adoption_bitmap", ops.feature_adoption_bitmap, oracle.feature_adoption, as_of=AS_OF),
+    _a("platform_mix_by_region_bitmap", ops.platform_mix_by_region_bitmap, oracle.platform_mix_by_region, as_of=AS_OF),
+]
+
 REGISTRY: dict[str, Analysis] = {a.name: a for a in ANALYSES}
 
 # Names of the corrected variants (everything else is one of the sixteen specified analyses).
@@ -163,3 +170,5 @@ CORRECTED = frozenset(
         "region_revenue_arpu_nulls_last",
     }
 )
+
+BITMAP = frozenset({"monthly_churn_rate_bitmap", "feature_adoption_bitmap", "platform_mix_by_region_bitmap"})

@@ -89,9 +89,11 @@ def read_business_tables(
 
         return read
 
-    partitions = {}
+    partitions, folders = {}, {}
     for name in TABLE_NAMES:
         cols = spark.catalog.listColumns(f"{database}.{name}")
         if any(c.name == MONTH_PARTITION and c.isPartition for c in cols):
             partitions[name] = MONTH_PARTITION
-    return Tables({name: reader(name) for name in TABLE_NAMES}, month_partitions=partitions)
+        about = spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{name}").where("col_name = 'Location'")
+        folders[name] = about.first()["data_type"]
+    return Tables({name: reader(name) for name in TABLE_NAMES}, month_partitions=partitions, folders=folders)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import month_floor
+from ..functions.timeutil import month_floor, ts_lit
+from .facts import BOUND_BY, FACTS, SET_TIME, USER_SETS
 from .schema import SCHEMAS, check_schema
 from .validate import require_unique
 
@@ -32,10 +33,17 @@ class Tables:
     # table -> factory that takes (since, until) and may leave out rows of other times, for
     # tables whose time column is derived: the bound is put on the columns it is derived from
     bounded: dict[str, Callable[[datetime | None, datetime | None], DataFrame]] = field(default_factory=dict)
+    # fact or user set -> factory that takes (since, before) and reads its stored state of the
+    # months that can hold times in between
+    states: dict[str, Callable[[datetime | None, datetime | None], DataFrame]] = field(default_factory=dict)
+    # table -> folder of its files, where it has one
+    folders: dict[str, str] = field(default_factory=dict)
+    # takes a fact table's name and the rows read from it, e.g. to count them (``quality.py``)
+    watcher: Callable[[str, DataFrame], DataFrame] | None = None
     _built: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name in ("factories", "month_partitions", "bounded"):
+        if name.startswith("_") or name in ("factories", "month_partitions", "bounded", "states", "folders", "watcher"):
             raise AttributeError(name)
         if name not in self.factories:
             raise AttributeError(f"no business table {name!r}")
@@ -66,6 +74,37 @@ class Tables:
             df = df.where(F.col(part) <= F.lit(month_floor(until).date()))
         return df
 
+    def facts(
+        self, name: str, since: datetime | None = None, before: datetime | None = None, exact: bool = False
+    ) -> DataFrame:
+        """Weighted rows (``facts.py``) of a fact table with times in [since, before): of its
+        state where one is stored, else (and if ``exact``) one per base row.
+
+        Bounds of payments are month starts, and events have no upper bound, so that they decide
+        over a state's rows as over base rows.
+        """
+        stored = name in self.states and not exact
+        if stored:
+            rows, column = self.states[name](since, before), BOUND_BY[name]
+        else:
+            rows, column = self.scan(name, since, None if before is None else before - timedelta(microseconds=1)), FACTS[name].time
+        if since is not None:
+            rows = rows.where(F.col(column) >= ts_lit(since))
+        if before is not None:
+            rows = rows.where(F.col(column) < ts_lit(before))
+        if stored:
+            return rows
+        return FACTS[name].view(rows if self.watcher is None else self.watcher(name, rows))
+
+    def user_sets(self, name: str, since: datetime | None = None, before: datetime | None = None) -> DataFrame:
+        """Bitmaps of users (``facts.USER_SETS``) whose month or day lies in [since, before): stored
+        ones where there are any, else built from the fact."""
+        made, time = USER_SETS[name], SET_TIME[name]
+        rows = self.states[name](since, before) if name in self.states else made.bitmaps(self.facts(made.fact, since))
+        if since is not None:
+            rows = rows.where(F.col(time) >= ts_lit(since))
+        return rows if before is None else rows.where(F.col(time) < ts_lit(before))
+
     @classmethod
     def from_frames(cls, **frames: DataFrame) -> Tables:
         for name, df in frames.items():
@@ -97,4 +136,4 @@ def read_parquet_tables(
 
         return read
 
-    return Tables({name: reader(name) for name in TABLE_NAMES})
+    return Tables({name: reader(name) for name in TABLE_NAMES}, folders={name: f"{root}/{name}" for name in TABLE_NAMES})

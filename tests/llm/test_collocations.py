@@ -78,6 +78,7 @@ def test_dense_phrases(spark, min_count, depth):
 
 def test_small_buffers_and_routes(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BUFFER", 97)
+    monkeypatch.setattr(collocations, "PAIRS", 41)
     rows = [(i, prose(i, 400, 60)) for i in range(8)] + [(100 + i, "a hot passage of six words " * 40) for i in range(8)]
     docs = documents(spark, rows).repartition(4)
     want = brute(collected(docs))

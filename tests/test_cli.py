@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from ledgerlens.__main__ import main
+from ledgerlens.sources import read_reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,10 +17,11 @@ SF = "/root/testdata/sf0.001"
 def test_cli_writes_reports(spark):
     out = tempfile.mkdtemp(prefix="ledgerlens-cli-")
     main(["--fixture", SF, "--only", "plan_user_distribution,health_dashboard", "--out", out])
-    got = spark.read.parquet(f"{out}/plan_user_distribution")
+    reports = read_reports(spark, out)
+    got = reports["plan_user_distribution"]
     assert got.columns == ["plan_type", "total_users", "pct_of_total"]
     assert got.count() > 0
-    assert spark.read.parquet(f"{out}/health_dashboard").count() == 1
+    assert reports["health_dashboard"].count() == 1
 
 
 def test_sql_views(spark):
@@ -44,7 +46,25 @@ def test_cli_reads_catalog_layout(spark):
     write_business_tables(spark, handmade.spark_tables(spark), "ll_cli_db", root, buckets=8)
     out = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
     main(["--database", "ll_cli_db", "--only", "platform_mix_by_region", "--as-of", "2025-08-01", "--duplicates", "ignore", "--out", out])
-    assert spark.read.parquet(f"{out}/platform_mix_by_region").count() > 0
+    assert read_reports(spark, out)["platform_mix_by_region"].count() > 0
+
+
+def test_cli_refreshes_and_uses_states(spark, capsys):
+    import handmade
+    from ledgerlens.sources import write_business_tables
+
+    root, out, states = (tempfile.mkdtemp(prefix=f"ledgerlens-cli-{x}-") for x in ("db", "out", "states"))
+    write_business_tables(spark, handmade.spark_tables(spark), "ll_cli_states", root, buckets=8)
+    given = ["--database", "ll_cli_states", "--as-of", "2025-08-01", "--duplicates", "ignore", "--states", states, "--out", out, "--quality"]
+    main([*given, "--only", "top_countries,upgrade_triggers,monthly_churn_rate_bitmap"])
+    first = capsys.readouterr().err
+    assert "states of payments: 7 months read" in first
+    assert "quality of payments: null_amount 1" in first and "quality of geo_data: repeated_key_rows 2" in first
+    want = {n: df.collect() for n, df in read_reports(spark, out).items()}
+    assert set(want) == {"top_countries", "upgrade_triggers", "monthly_churn_rate_bitmap"} and all(want.values())
+    main([*given, "--only", "top_countries,upgrade_triggers"])
+    assert "states of payments: 0 months read" in capsys.readouterr().err
+    assert {n: df.collect() for n, df in read_reports(spark, out).items()} == want
 
 
 def test_cli_prints_every_row(capsys):
@@ -72,10 +92,10 @@ def test_cli_uses_the_analyses_own_defaults(spark, stored):
     out = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
     main(["--tables", stored, "--only", "health_dashboard", "--as-of", "2025-08-01", "--out", out])
     want = ops.health_dashboard(read_parquet_tables(spark, stored), as_of="2025-08-01").collect()
-    assert spark.read.parquet(f"{out}/health_dashboard").collect() == want
+    assert read_reports(spark, out)["health_dashboard"].collect() == want
     changed = tempfile.mkdtemp(prefix="ledgerlens-cli-out-")
     main(["--tables", stored, "--only", "health_dashboard", "--as-of", "2025-08-01", "--plus-base", "1000", "--out", changed])
-    assert spark.read.parquet(f"{changed}/health_dashboard").collect() != want
+    assert read_reports(spark, changed)["health_dashboard"].collect() != want
 
 
 def test_unknown_parameters_raise(spark, stored):

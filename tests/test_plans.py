@@ -80,8 +80,8 @@ def test_single_partition_only_after_aggregation(name, parquet_tables, spark):
             spark.conf.set(k, v)
     kinds = single_partition_inputs(plan)
     assert all(kind == "aggregate" for kind in kinds), plan
-    if name in ("plan_user_distribution", "region_revenue_arpu", "feature_stickiness"):
-        assert kinds, "the share/rank window should sit on a single-partition exchange"
+    if name in ("plan_user_distribution", "region_revenue_arpu"):
+        assert kinds, "the share window should sit on a single-partition exchange"
 
 
 @pytest.mark.parametrize("name", list(REGISTRY))
@@ -138,5 +138,22 @@ def test_no_single_task_window_over_free_text(name, plans):
     assert "Window [" not in plans[name]
 
 
+@pytest.mark.parametrize("name", ["feature_stickiness", "feature_stickiness_distinct"])
+def test_rank_window_is_partitioned(name, parquet_tables):
+    """The rank over features, which are free text, is taken per band of rates."""
+    plan = explain(REGISTRY[name].run(parquet_tables), "simple")
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("[_band#" in line for line in windows)
+
+
+@pytest.mark.parametrize("name", ["churn_reason_topn", "upgrade_triggers"])
+def test_total_is_one_subquery(name, parquet_tables):
+    """The sum over all groups is bound once, however often the exact ratio names it."""
+    build = REGISTRY[name].run
+    plan = (explain(build(parquet_tables), "extended")).split("== Physical Plan ==")[1]
+    totals = [line for line in plan.splitlines() if "scalar-subquery#" in line and " AS total#" in line]
+    assert len(totals) == 1, plan
+
+
 def test_upgrade_rate_scans_subscriptions_twice(plans):
     assert plans["upgrade_rate"].count("Scan parquet") <= 4  # formatted plans name a scan twice

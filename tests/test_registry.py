@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import __spark_entry__ as entry_mod
-from ledgerlens.plans.registry import CORRECTED, REGISTRY
+from ledgerlens.plans.registry import BITMAP, CORRECTED, REGISTRY
 
 SPECIFIED = {
     "plan_user_distribution",
@@ -26,7 +26,8 @@ SPECIFIED = {
 
 
 def test_registry_contents():
-    assert set(REGISTRY) - CORRECTED == SPECIFIED
+    assert set(REGISTRY) - CORRECTED - BITMAP == SPECIFIED
+    assert BITMAP <= set(REGISTRY) and {n.removesuffix("_bitmap") for n in BITMAP} <= SPECIFIED
     assert CORRECTED <= set(REGISTRY) and len(CORRECTED) == 5
 
 
