@@ -49,6 +49,8 @@ SUBSPACE = 8  # dimensions a code stands for
 WORDS = 256  # codewords a subspace
 BLOCK = 4096
 STEP = 256  # queries of a block whose tables are held together
+TILE = 1024  # candidates that are summed up for them together
+SINGLE = 1e-4  # far above the rounding errors of table sums in single precision
 ROUNDS = 8  # of k-means
 MARGIN = 1e-6  # added to distances: far above their rounding errors
 
@@ -159,44 +161,61 @@ class Block:
         return [np.ascontiguousarray(columns[name]).astype(kind).tobytes() for name, kind in Block.FIELDS]
 
 
+def _join(mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the components of the links ``a``, ``b`` one mark each; marks are members' places."""
+    while ((x := mark[a]) != (y := mark[b])).any():
+        np.minimum.at(mark, np.maximum(x, y), np.minimum(x, y))
+        while ((up := mark[mark]) != mark).any():
+            mark[:] = up
+
+
 def meet(q: Block, c: Block, same: bool, model: Model, radii: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Link counts and component marks of the vectors of two blocks (of one block with itself if
-    ``same``), and how many pairs were reranked. Marks number the vectors of both blocks in turn."""
+    ``same``), and how many pairs were reranked. Marks number the vectors of both blocks in turn.
+
+    ``STEP`` queries meet ``TILE`` candidates at a time: a code picks a row of a table, which holds
+    the products of its codeword with all these queries.
+    """
     nq, nc = len(q.cid), len(c.cid)
     reach = reach_of(cosine)
     mark = np.arange(nq if same else nq + nc)
     links_q, links_c = np.zeros(nq, np.int64), np.zeros(nc, np.int64)
     norm_q, norm_c = (np.sqrt((b.vec**2).sum(axis=1)) for b in (q, c))
     unit = q.vec / norm_q[:, None]
-    place = np.arange(c.words) * model.words.shape[1]
-    index = c.codes.astype(np.intp) + place
     far = (reach + c.error) ** 2 - 1 - c.square + MARGIN  # a query's unit length is taken out
+    least = (-far / 2 - SINGLE).astype(np.float32)[:, None]  # product of a candidate that stays
     shift, reranked = 0 if same else nq, 0
+    by_list = np.argsort(c.list, kind="stable")  # a tile's candidates are of few lists
     for lo in range(0, nq, STEP):
         part = unit[lo : lo + STEP]
-        tables = model.tables(part)
-        centre = part @ model.centres.T
-        open_ = model.probes(part, q.list[lo : lo + STEP], radii, reach)
-        for i in range(len(part)):
-            live = np.flatnonzero(open_[i][c.list])
+        open_ = np.ascontiguousarray(model.probes(part, q.list[lo : lo + STEP], radii, reach).T)
+        live = by_list[open_.any(axis=1)[c.list[by_list]]]
+        if same:
+            live = live[live > lo]
+        if not len(live):
+            continue
+        tables = model.tables(part).reshape(len(part), c.words, -1).transpose(1, 2, 0).astype(np.float32, order="C")
+        centre = (model.centres @ part.T).astype(np.float32)
+        for at in range(0, len(live), TILE):
+            some = live[at : at + TILE]
+            product = centre[c.list[some]]
+            for m in range(c.words):
+                product += tables[m][c.codes[some, m]]
+            j, i = np.nonzero((product >= least[some]) & open_[c.list[some]])
             if same:
-                live = live[live > lo + i]
-            if not len(live):
-                continue
-            product = centre[i][c.list[live]] + tables[i][index[live]].sum(axis=1)
-            live = live[-2 * product <= far[live]]
-            reranked += len(live)
-            if not len(live):
-                continue
-            cos = (c.vec[live] @ q.vec[lo + i]) / (norm_c[live] * norm_q[lo + i])
-            hit = live[(cos >= cosine) & (c.length[live] == q.length[lo + i])]
-            if not len(hit):
+                later = some[j] > lo + i
+                j, i = j[later], i[later]
+            reranked += len(j)
+            if not len(j):
                 continue
-            links_q[lo + i] += c.size[hit].sum()
-            links_c[hit] += q.size[lo + i]
-            seen = np.unique(np.append(mark[shift + hit], mark[lo + i]))
-            if len(seen) > 1:
-                mark[np.isin(mark, seen)] = seen[0]
+            (rows, j_at), (columns, i_at) = np.unique(j, return_inverse=True), np.unique(i, return_inverse=True)
+            dots = c.vec[some[rows]] @ q.vec[lo + columns].T
+            a, b = lo + i, some[j]
+            hit = (dots[j_at, i_at] / (norm_c[b] * norm_q[a]) >= cosine) & (c.length[b] == q.length[a])
+            a, b = a[hit], b[hit]
+            np.add.at(links_q, a, c.size[b])
+            np.add.at(links_c, b, q.size[a])
+            _join(mark, a, shift + b)
     return (links_q + links_c if same else links_q), links_c, mark, reranked
 
 
