@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
 import __spark_entry__ as entry_mod
 from ledgerlens.plans.registry import BITMAP, CORRECTED, REGISTRY
 
@@ -42,3 +48,21 @@ def test_every_oracle_reads_only_the_raw_test_tables():
             if f"FROM {table}" in sql or f"JOIN {table}" in sql:
                 assert f"{table} AS (" in sql, (name, table)
         assert any(f"FROM {t}" in sql or f"JOIN {t}" in sql for t in raw), name
+
+
+@pytest.mark.parametrize("missing", ["regex", "public_tokenizers", "tokenizers", "numpy", "pyarrow"])
+def test_a_missing_package_of_an_optional_part_leaves_the_analyses(missing):
+    """In a process of its own, where the package can't be imported."""
+    code = (
+        "import sys\n"
+        "class Block:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        f"        if name.split('.')[0] == {missing!r}: raise ModuleNotFoundError(name, name=name)\n"
+        "sys.meta_path.insert(0, Block())\n"
+        "import __spark_entry__ as e\n"
+        "print(*sorted(e.queries()))\n"
+        "assert set(e.oracle_sql()) <= set(e.queries())\n"
+    )
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(entry_mod.__file__).parent, check=False)
+    assert run.returncode == 0, run.stderr
+    assert set(run.stdout.split()) >= set(REGISTRY)
