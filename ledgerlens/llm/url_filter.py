@@ -1,14 +1,17 @@
 """URL filters: rules first, then a classifier over segmented host and path words.
 
-Hosts are cut at dots, hyphens and digits; each piece is split into words by unigram Viterbi: the
+The labels of a host but the last (the top-level domain) and its path are cut into pieces of letters;
+each piece is split into words by unigram Viterbi: the
 split with the largest product of word probabilities, where unknown words have ``SHARE``, less a
-factor of ten per letter. Word counts come from the hosts of the whole table, in two rounds: that a piece occurs does
+factor of ten per letter. Word counts come from the hosts and paths of the whole table (a piece
+counts once a host), in two rounds: that a piece occurs does
 not make it a word, so the second round counts the words that the pieces consist of. There a piece
 that is made of other words, of ``MEAN`` letters or more on average, is counted as these and is no
 word itself; seed words always are words. A multinomial naive Bayes model then
-scores the words of host and path; it is trained on a bounded sample of hosts that a seed word
-labels by hand (see ``SEEDS``): a host with a seed among its words (of hyphenated or split names) is
-blocked, the others of the sample are allowed. A url is blocked where the log odds are over zero.
+scores the words of host and path, as one set of words; it is trained on a bounded sample of hosts,
+each with one path, that the same words label (see ``SEEDS``): with a strong seed or two seeds among
+them it is blocked, the others of the sample are allowed. Labels that most hosts have, such as ``www`` or the ``co`` of
+``co.uk``, occur in both classes alike and weigh little. A url is blocked where the log odds are over zero.
 
 Rules go before the model. A rule is a host and a path; it fits its host and all subdomains if
 the url's path starts with the rule's path; of the rules that fit the longest wins.
@@ -39,8 +42,8 @@ RULES = [
     ("org", "/fr/", "allow"),
 ]
 SEEDS = frozenset(
-    "adult ads bet bets bingo casino cheap dating farm free gamble gambling jackpot loan loans lottery pharma pill pills poker porn "
-    "replica sex slots spam track tracker viagra warez win xxx".split()
+    "adult ads bet bets bingo casino dating gamble gambling jackpot loan loans lottery pharma pill pills poker porn "
+    "replica sex slots spam tracker viagra warez xxx".split()
 )
 STRONG = frozenset("adult ads bets casino gambling pills poker porn spam viagra warez xxx".split())
 
@@ -51,7 +54,9 @@ LONGEST = 24  # letters of the longest word a split may use
 MEAN = 3  # least mean length of the words that replace a piece: shorter ones (codes, letters) fit by chance
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LABELS = re.compile(r"[a-z]+|[^\x00-\x7f]+")
+_PIECE = r"[a-z]+|[^\x00-\x7f]+"
+_PIECES = re.compile(_PIECE)
+_LOWERED = str.maketrans(_UPPER, _LOWER)
 
 
 def host_of(url: Column) -> Column:
@@ -132,11 +137,10 @@ class Words:
         return split if split == (name,) else tuple(w for part in split for w in self.parts(part))
 
     def url_words(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels without the last two (the registered suffix), and of the path."""
-        labels = host.split(".")
-        named = labels[:-2] if len(labels) > 2 else labels
-        found = ["h:" + w for label in named for piece in _LABELS.findall(label) for w in self.split(piece)]
-        return found + ["p:" + piece for piece in _LABELS.findall(path.lower())]
+        """Words of the host's labels without the last (a host of one label keeps it), and of the path."""
+        named = host.split(".")[:-1] or [host]
+        pieces = [*(p for label in named for p in _PIECES.findall(label)), *_PIECES.findall(path.translate(_LOWERED))]
+        return [w for p in pieces for w in self.split(p)]
 
 
 @dataclass(frozen=True)
@@ -154,9 +158,8 @@ class Model:
         return bool(host) and self.score(host, path) > 0
 
 
-def _labelled_block(host: str, words: Words) -> bool:
-    pieces = [w for label in host.split(".")[:-1] for p in label.split("-") for w in (words.split(p) if _LABELS.fullmatch(p) else (p,))]
-    return any(p in STRONG for p in pieces) or sum(p in SEEDS for p in pieces) > 1
+def _labelled_block(words: list[str]) -> bool:
+    return any(w in STRONG for w in words) or sum(w in SEEDS for w in words) > 1
 
 
 def _model(counts: DataFrame) -> Words:
@@ -190,20 +193,23 @@ def train(urls: DataFrame) -> Model:
 
     The driver receives the words with a share of ``SHARE`` and ``SAMPLE`` hosts, no more.
     """
-    hosts = urls.where("host <> ''").groupBy("host").agg(F.min("path").alias("path"))
-    piece = F.explode(F.regexp_extract_all(F.regexp_replace("host", r"\.[^.]*$", ""), F.lit("([a-z]+)"))).alias("word")
-    counts = hosts.select(piece).groupBy("word").count()
+    given = urls.where("host <> ''")
+    hosts = given.groupBy("host").agg(F.min("path").alias("path"))
+    whole = F.concat_ws("/", F.regexp_replace("host", r"\.[^.]*$", ""), F.translate("path", _UPPER, _LOWER))
+    pieces = given.select("host", F.explode(F.array_distinct(F.regexp_extract_all(whole, F.lit(f"({_PIECE})")))).alias("word"))
+    counts = pieces.distinct().groupBy("word").count()
     words = _model(_recounted(counts, _model(counts)))
     sample = hosts.orderBy(F.xxhash64("host"), "host").limit(SAMPLE).collect()
     tokens = {True: Counter(), False: Counter()}
     size = Counter()
     for r in sample:
-        label = _labelled_block(r.host, words)
+        found = words.url_words(r.host, r.path)
+        label = _labelled_block(found)
         size[label] += 1
-        tokens[label].update(words.url_words(r.host, r.path))
+        tokens[label].update(found)
     # the seeds are the labelling rule itself: one example each, which leaves the prior as it is
     for w in sorted(STRONG):
-        tokens[True]["h:" + w] += 1
+        tokens[True][w] += 1
     vocabulary = len(set(tokens[True]) | set(tokens[False])) + 1
     n = {c: sum(tokens[c].values()) + SMOOTHING * vocabulary for c in (True, False)}
     log_p = {c: {w: math.log((tokens[c][w] + SMOOTHING) / n[c]) for w in {*tokens[True], *tokens[False]}} for c in (True, False)}

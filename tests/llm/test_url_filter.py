@@ -88,6 +88,57 @@ def test_concatenated_names_are_split_and_blocked(spark):
     assert not model.block("www.tionsh.example.org", "/en/7") and not model.block("unheard.example.org", "/")
 
 
+def hosts_and_paths(spark, urls):
+    return pages(spark, urls).select(uf.host_of(F.col("url")).alias("host"), uf.path_of(F.col("url")).alias("path"))
+
+
+def test_registered_names_and_path_words_are_split_and_scored(spark):
+    """Bad names and clean twins as the registered name, under a suffix of two labels, and in paths."""
+    given = [url for _, url in fetch("pages", "page_id, url", "/root/testdata/sf0.01")]
+    given += [f"http://www.{w}.{suffix}/en/{i}" for w in ("garden", "travel", "kitchen", "gardentravel") for suffix in ("com", "co.uk", "de") for i in range(3)]
+    model = uf.train(hosts_and_paths(spark, given))
+    forms = ["http://www.{}.com/", "http://{}.co.uk/en/1", "http://{}.com", "http://www.garden.com/{}/1", "http://travel.de/en/A-{}?x"]
+    names = {True: ["spamfarm", "casinowin", "cheappills", "free-bets", "adsTrack"], False: ["garden", "gardentravel", "kitchen-garden", "Travel"]}
+    cases = [(form.format(name), bad) for bad, all_ in names.items() for name in all_ for form in forms]
+    got = {r.page_id: r for r in uf.judge(pages(spark, [u for u, _ in cases]), model).collect()}
+    for i, (url, bad) in enumerate(cases):
+        assert (got[i].verdict == "block") == bad, (url, got[i].score)
+
+
+def test_naive_bayes_sums_by_brute_force(spark):
+    """Labels, counts, smoothing, prior and scores recomputed from the words of each host."""
+    urls = [f"http://{h}.com/{p}" for h in ("www.spam-farm", "garden", "a.casino-win", "roads.garden", "pills-shop", "shop") for p in ("en/1", "de/2/garden")]
+    model = uf.train(hosts_and_paths(spark, urls))
+    words = {}
+    for host, path in sorted(map(parse, urls), reverse=True):  # the smallest path of each host stays
+        pieces = re.findall("[a-z]+", host.rsplit(".", 1)[0]) + re.findall("[a-z]+", path)
+        words[host] = [w for p in pieces for w in model.words.split(p)]
+    bad = {h: any(w in uf.STRONG for w in ws) or sum(w in uf.SEEDS for w in ws) > 1 for h, ws in words.items()}
+    assert sum(bad.values()) == 3
+    lists = {c: [w for h in words if bad[h] == c for w in words[h]] + sorted(uf.STRONG) * c for c in (True, False)}
+    known = {*lists[True], *lists[False]}
+
+    def p(w, c):
+        return (lists[c].count(w) + uf.SMOOTHING) / (len(lists[c]) + uf.SMOOTHING * (len(known) + 1))
+
+    for r in uf.judge(pages(spark, urls), model).collect():
+        pieces = re.findall("[a-z]+", r.host.rsplit(".", 1)[0]) + re.findall("[a-z]+", r.path)
+        found = [w for x in pieces for w in model.words.split(x) if w in known]
+        want = math.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1)) + sum(math.log(p(w, True) / p(w, False)) for w in found)
+        assert math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-9), r
+
+
+def test_words_that_are_no_seeds_are_learned(spark):
+    """Made-up words that go with seeds in some hosts decide over other hosts without any seed."""
+    bad, clean = ["".join(x) for x in zip("zvqkwx", "oeaiue", "rlmtnd", "baibab", strict=True)], ["bren", "talo", "mipu", "sode", "gafi", "leru"]
+    urls = [f"http://www.{a}-{s}.com/en/{i}" for i, (a, s) in enumerate((a, s) for a in bad for s in ("casino", "pills", "poker"))]
+    urls += [f"http://www.{a}-{s}.com/en/{i}" for i, (a, s) in enumerate((a, s) for a in clean for s in ("garden", "roads", "music"))]
+    model = uf.train(hosts_and_paths(spark, urls))
+    judged = [(f"http://{sep.join((a, b))}.net/fr/", kind) for kind, names in ((True, bad), (False, clean)) for a in names for b in names if a != b for sep in ("", "-")]
+    right = [model.block(*parse(url)) == kind for url, kind in judged]
+    assert len(right) == 120 and sum(right) >= 0.95 * len(right)
+
+
 @pytest.mark.parametrize("hosts", [1, 3, 12])
 def test_concatenated_names_of_the_table_itself_are_split_and_blocked(spark, hosts):
     names = {"spamfarm": ("spam", "farm"), "cheappills": ("cheap", "pills"), "casinowin": ("casino", "win"), "freebets": ("free", "bets")}
