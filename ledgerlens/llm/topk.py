@@ -8,7 +8,7 @@ far are compacted away before the next dimensions are read. Every score that is
 summed in full, and a candidate that ties with the k-th best is kept, so results are exact.
 
 Query blocks meet candidate blocks through a join on a lane number: candidates are dealt over
-the lanes, query blocks are repeated in each. One task holds one block of either side and the best
+the lanes (as many as their blocks ask for), query blocks are repeated in each. One task holds one block of either side and the best
 k of one query block.
 
 Defined results: vectors that are null, or hold a null or non-finite component, and rows with a
@@ -34,11 +34,28 @@ SCALE = 256
 STEP = 16  # dimensions added up between two comparisons with the bound
 QUERY_BLOCK = 512
 BLOCK = 4096
-LANES = 64  # tasks that a query block is sent to
+LANES = 64  # tasks that a query block is sent to, at least
+BLOCKS_A_LANE = 64  # candidate blocks that one of them reads; larger tables have more lanes
+
+
+def _quantised(values: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) / SCALE, which a double holds exactly for every finite x."""
+    with np.errstate(over="ignore"):
+        whole = np.floor(SCALE * values) / SCALE
+    return np.where(np.isfinite(whole), whole, values)
+
+
+def _integers(cells: np.ndarray) -> np.ndarray:
+    """SCALE * cells, as Python integers if some are beyond the doubles."""
+    with np.errstate(over="ignore"):
+        out = SCALE * cells
+    if np.isfinite(out).all():
+        return out
+    return np.array([[int(SCALE * x) if abs(x) < 2.0**1000 else SCALE * int(x) for x in row] for row in cells], object).reshape(cells.shape)
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Pack vectors of one length into blocks: dim, n, vec_ids, row numbers, columns."""
+    """Pack vectors of one length into blocks: dim, n, vec_ids, row numbers, quantised columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, int, np.ndarray]]] = {}
@@ -52,7 +69,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
         for b in batches:
             values = b.column(2)
-            off, flat = np.asarray(values.offsets), np.floor(SCALE * np.asarray(values.values, np.float64))
+            off, flat = np.asarray(values.offsets), _quantised(np.asarray(values.values, np.float64))
             for i, (vec, row) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 v = flat[off[i] : off[i + 1]]
                 held.setdefault(len(v), []).append((vec, row, v))
@@ -94,7 +111,7 @@ def search_block(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_ids: np.nda
     ``q`` and ``c`` hold one column per vector.
     """
     dim, n = c.shape
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dim) < 2**52
+    exact = object not in (q.dtype, c.dtype) and float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, dim) < 2**52
     if not exact:
         q, c = _big(q), _big(c)
     cuts = [*range(0, dim, STEP), dim] if dim else [0, 0]
@@ -127,7 +144,7 @@ def _big(cells: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in row] for row in cells], object).reshape(cells.shape)
 
 
-def _joined(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def _joined(queries: DataFrame, candidates: DataFrame, k: int, lanes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, rows, best = None, None, None, None
 
@@ -153,14 +170,14 @@ def _joined(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                         yield flush()
                     now, ids, rows, best = qr, np.frombuffer(qi, "<i8"), np.frombuffer(qr, "<i8"), Best(qn, k)
                 search_block(
-                    np.frombuffer(qc, "<f8").reshape(dim, qn), rows, np.frombuffer(cc, "<f8").reshape(dim, cn),
+                    _integers(np.frombuffer(qc, "<f8").reshape(dim, qn)), rows, _integers(np.frombuffer(cc, "<f8").reshape(dim, cn)),
                     np.frombuffer(ci, "<i8"), np.frombuffer(cr, "<i8"), best,
                 )
         if best is not None:
             yield flush()
 
-    lane = F.pmod(F.xxhash64("rows"), F.lit(LANES))
-    q = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LANES - 1).cast("bigint"))))
+    lane = F.pmod(F.xxhash64("rows"), F.lit(lanes))
+    q = queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
     c = candidates.withColumn("lane", lane)
     both = q.alias("q").join(c.alias("c"), ["dim", "lane"])
     picked = both.select("dim", "q.n", "q.ids", "q.rows", "q.cells", "c.n", "c.ids", "c.rows", "c.cells")
@@ -174,7 +191,8 @@ def search(embeddings: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataF
     )
     rows = embeddings.where(sound).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     rows = cut(embeddings.sparkSession, rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    found = _joined(_blocks(rows.where(F.col("vec_id") % every == 0), QUERY_BLOCK), _blocks(rows, BLOCK), k)
+    lanes = max(LANES, -(-rows.count() // (BLOCK * BLOCKS_A_LANE)))
+    found = _joined(_blocks(rows.where(F.col("vec_id") % every == 0), QUERY_BLOCK), _blocks(rows, BLOCK), k, lanes)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     ranked = found.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -53,6 +53,26 @@ def test_large_values_stay_exact(spark):
     assert {r.score for r in topk.search(frame(spark, rows)).collect()} == {2**63 - 1}
 
 
+def test_the_largest_doubles_and_more_lanes(spark, monkeypatch):
+    """Finite components whose 256-fold no double holds; their lists also hold small ones."""
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "LANES", 1)
+    monkeypatch.setattr(topk, "BLOCKS_A_LANE", 1)
+    big = 1.7e308
+    rows = [(0, [big, 0.3]), (50, [-big, 0.3]), (51, [0.0, -0.7]), (52, [big, -0.3]), (53, [2.0**-1000, 1.5]), (54, [0.0, 0.9])]
+    whole = lambda x: int(x) * 256 if abs(x) > 2.0**1000 else int(np.floor(256 * x))
+    q = {i: [whole(x) for x in v] for i, v in rows}
+    want = []
+    for a in (0, 50):
+        score = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a)
+        want += [(a, r + 1, b, max(-(2**63), min(2**63 - 1, -s))) for r, (s, b) in enumerate(score)]
+    frame_ = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(frame_).collect()]
+    # scores beyond a BIGINT are its limit, and so tie
+    assert sorted((a, s) for a, _, _, s in got) == sorted((a, s) for a, _, _, s in want)
+    assert {(a, b, s) for a, _, b, s in got} == {(a, b, s) for a, _, b, s in want}
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert topk.search(frame(spark, [])).collect() == []
     more = table(spark, "embeddings").withColumnRenamed("label", "row").selectExpr("*", "1 AS dim", "2 AS lane")
