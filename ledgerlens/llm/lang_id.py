@@ -32,6 +32,9 @@ DIM = 1024
 WORDS = DIM // 64
 CHUNK = 1 << 19  # bytes of text handled together
 PART = 64  # dimensions in one row of a partial prototype
+SLICE = 4096  # distinct trigrams whose vectors are held at a time
+TEXTS = 1024  # texts scored together
+CELLS = 1 << 21  # counts of (text or language, trigram) held at a time
 UNKNOWN = "und"
 _TOP = 0x110000
 
@@ -58,8 +61,8 @@ def _signs(bits: np.ndarray) -> np.ndarray:
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams of a group of texts as sign vectors; and, for every trigram in the
-    texts, its number among them and the text it is in."""
+    """Distinct trigrams of a group of texts, as three letters each; and, for every trigram in the
+    texts, its number among them and the text it is in (texts in order)."""
     table = worker_state("letters", _Letters)
     low = [t.lower() for t in texts]
     lens = np.array([len(t) for t in low], np.int64) + 1
@@ -75,7 +78,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.searchsorted(np.cumsum(lens), at, side="right")
     mid = np.flatnonzero(code[1:-1]) + 1
     if not len(mid):
-        return np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((0, 3), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     table.seen[code] = True
     letters = np.flatnonzero(table.seen)
     table.seen[letters] = False
@@ -89,10 +92,42 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         which = place[key]
     else:
         found, which = np.unique(key, return_inverse=True)
-    bits = _letter_bits(letters)
-    a, b, c = found // (k * k), found // k % k, found % k
-    bound = np.roll(bits[a], 2, axis=1) ^ np.roll(bits[b], 1, axis=1) ^ bits[c]
-    return _signs(bound), which, own[mid - 1]
+    spelled = np.stack([letters[found // (k * k)], letters[found // k % k], letters[found % k]], axis=1)
+    return spelled, which, own[mid - 1]
+
+
+def bound(spelled: np.ndarray) -> np.ndarray:
+    """Sign vectors of trigrams: permuted letter vectors, multiplied."""
+    letters, at = np.unique(spelled, return_inverse=True)
+    bits, at = _letter_bits(letters), at.reshape(spelled.shape)
+    return _signs(np.roll(bits[at[:, 0]], 2, axis=1) ^ np.roll(bits[at[:, 1]], 1, axis=1) ^ bits[at[:, 2]])
+
+
+def bundles(spelled: np.ndarray, which: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the trigrams' vectors for each of ``n`` groups.
+
+    The vectors of ``SLICE`` trigrams are made at a time, and are added to so many groups at once
+    that their counts fit ``CELLS``: memory depends neither on how many trigrams nor on how many
+    groups there are, but for the sums. Sums of whole numbers under 2**53 are exact in any order.
+    """
+    out = np.zeros((n, DIM))
+    key, count = np.unique(group * len(spelled) + which, return_counts=True) if len(spelled) else (which, which)
+    group, which = np.divmod(key, max(1, len(spelled)))
+    kind = np.float32 if count.sum() < 1 << 24 else np.float64  # holds every sum exactly
+    by = np.argsort(which // SLICE, kind="stable")  # slice by slice, groups in order
+    edges = np.searchsorted(which[by] // SLICE, np.arange(-(-len(spelled) // SLICE) + 1))
+    for i, lo in enumerate(range(0, len(spelled), SLICE)):
+        mine = by[edges[i] : edges[i + 1]]
+        vectors = bound(spelled[lo : lo + SLICE]).astype(kind, copy=False)
+        have, row = np.unique(group[mine], return_inverse=True)
+        step = max(1, CELLS // len(vectors))
+        cuts = np.searchsorted(row, np.arange(0, len(have) + step, step))
+        for j, first in enumerate(range(0, len(have), step)):
+            some = mine[cuts[j] : cuts[j + 1]]
+            counts = np.zeros((min(step, len(have) - first), len(vectors)), kind)
+            counts[row[cuts[j] : cuts[j + 1]] - first, which[some] - lo] = count[some]
+            out[have[first : first + step]] += counts @ vectors
+    return out
 
 
 @dataclass(frozen=True)
@@ -103,23 +138,20 @@ class Model:
     prototypes: np.ndarray
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        vectors, which, own = trigrams(texts)
-        n, g = len(texts), len(vectors)
+        spelled, which, own = trigrams(texts)
+        n = len(texts)
         best, score = [UNKNOWN] * n, np.zeros(n)
-        if not g or not self.languages:
+        if not len(spelled) or not self.languages:
             return best, score
-        step = max(1, (2 * CHUNK) // g)
         unit = self.prototypes / np.maximum(np.linalg.norm(self.prototypes, axis=1, keepdims=True), 1e-12)
-        cut = np.searchsorted(own, np.arange(0, n + step, step))
-        for i, lo in enumerate(range(0, n, step)):
-            hi = min(n, lo + step)
-            part = slice(cut[i], cut[i + 1])
-            count = np.bincount((own[part] - lo) * g + which[part], minlength=(hi - lo) * g)
-            bundle = count.reshape(hi - lo, g).astype(np.float32) @ vectors
+        starts = np.searchsorted(own, np.arange(0, n + TEXTS, TEXTS))
+        for i, lo in enumerate(range(0, n, TEXTS)):
+            part = slice(starts[i], starts[i + 1])
+            bundle = bundles(spelled, which[part], own[part] - lo, min(n - lo, TEXTS))
             norm = np.linalg.norm(bundle, axis=1)
-            cosine = bundle.astype(np.float64) @ unit.T / np.maximum(norm, 1e-12)[:, None]
+            cosine = bundle @ unit.T / np.maximum(norm, 1e-12)[:, None]
             top = cosine.argmax(axis=1)
-            for j in np.flatnonzero(np.bincount(own[part] - lo, minlength=hi - lo)).tolist():
+            for j in np.unique(own[part] - lo).tolist():
                 best[lo + j] = self.languages[top[j]]
                 score[lo + j] = min(1.0, max(0.0, float(cosine[j, top[j]])))
         return best, score
@@ -143,12 +175,10 @@ def train(docs: DataFrame) -> Model:
             labels, code = names.dictionary.to_pylist(), np.asarray(names.indices)
             for lo, hi, data, off in string_chunks(b.column(0), CHUNK):
                 raw = data.tobytes()
-                vectors, which, own = trigrams([raw[x:y].decode() for x, y in zip(off[:-1], off[1:], strict=True)])
-                g = len(vectors)
-                if not g:
+                spelled, which, own = trigrams([raw[x:y].decode() for x, y in zip(off[:-1], off[1:], strict=True)])
+                if not len(spelled):
                     continue
-                count = np.bincount(code[lo:hi][own].astype(np.int64) * g + which, minlength=len(labels) * g)
-                total = count.reshape(len(labels), g).astype(np.float64) @ vectors.astype(np.float64)
+                total = bundles(spelled, which, code[lo:hi][own].astype(np.int64), len(labels))
                 for name, v in zip(labels, total, strict=True):
                     sums[name] = sums.get(name, 0.0) + v
         for name, v in sums.items():

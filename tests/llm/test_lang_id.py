@@ -1,6 +1,10 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 from llm_cases import EDGE, documents, fetch, rows_of, table
 
 from ledgerlens.llm import lang_id
@@ -32,9 +36,44 @@ def test_bundle_is_the_sum_of_bound_vectors():
         w = f"_{word}_"
         for a, b, c in zip(w, w[1:], w[2:], strict=False):
             want += roll(signs[a], 2) * roll(signs[b], 1) * signs[c]
-    vectors, which, own = lang_id.trigrams(["", text, "?"])
+    spelled, which, own = lang_id.trigrams(["", text, "?"])
     assert set(own.tolist()) == {1}
-    assert (vectors[which].sum(axis=0) == want).all()
+    assert (lang_id.bound(spelled)[which].sum(axis=0) == want).all()
+    assert (lang_id.bundles(spelled, which, own, 3) == [0 * want, want, 0 * want]).all()
+
+
+@pytest.mark.parametrize("limits", [(1, 1), (7, 20), (4096, 1 << 21)])
+def test_bundles_in_slices(monkeypatch, limits):
+    """Any number of trigrams and groups at a time gives the sums of all vectors, group by group."""
+    monkeypatch.setattr(lang_id, "SLICE", limits[0])
+    monkeypatch.setattr(lang_id, "CELLS", limits[1])
+    texts = ["the cat and the hat", "", "été là-bas", "the the the", "x"]
+    spelled, which, own = lang_id.trigrams(texts)
+    group = np.array([2, 0, 1, 2, 1])[own]
+    want = np.zeros((4, lang_id.DIM))
+    np.add.at(want, group, lang_id.bound(spelled)[which])
+    assert (lang_id.bundles(spelled, which, group, 4) == want).all()
+
+
+def test_memory_of_a_long_text_of_many_letters_and_of_many_labels():
+    """6 MB of varied CJK letters in one text, and 500 labels, in a process of its own."""
+    code = (
+        "import resource\n"
+        "import numpy as np\n"
+        "from ledgerlens.llm import lang_id\n"
+        "r = np.random.default_rng(1)\n"
+        "text = ''.join(map(chr, r.integers(0x4E00, 0x9FA5, 2_000_000)))\n"
+        "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "model = lang_id.Model(tuple(f'l{i:03d}' for i in range(500)), r.normal(size=(500, lang_id.DIM)))\n"
+        "best, score = model.score([text, 'abc'])\n"
+        "assert 0 <= score[0] <= 1 and best[0] in model.languages\n"
+        "spelled, which, own = lang_id.trigrams([text[i * 300 : i * 300 + 300] for i in range(500)])\n"
+        "assert lang_id.bundles(spelled, which, own, 500).shape == (500, lang_id.DIM)\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)\n"
+    )
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=False)
+    assert run.returncode == 0, run.stderr
+    assert int(run.stdout) < 700, "MB over the start"
 
 
 def test_edge_rows(spark):
