@@ -1,6 +1,6 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Pages are sorted by range of ``page_id``. Each task writes its range to gzip files (one member
+Pages are sorted by range of ``page_id`` and payload digest. Each task writes its range to gzip files (one member
 per record) and starts another file when the compressed size of the current one has reached
 ``FILE_BYTES``. Headers and digests are made from the payload, record ids from page id and
 digest, so a file's bytes depend on its pages alone and a retried task writes the same files
@@ -128,10 +128,9 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, records = TaskContext.get().partitionId(), 0, 0
         held = io.BytesIO()
-        now: int | None = None
-        refers: dict[str, int] = {}
-        copies: dict[str, int] = {}
-        first = True
+        now: tuple[int | None, str] | None = None
+        refers: int | None = None
+        copy = -1
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, records, held
@@ -144,18 +143,14 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
 
         for b in batches:
             for i in range(b.num_rows):
-                page_id, sha1, refers_to = (b.column(k)[i].as_py() for k in (0, 2, 3))
-                if first or page_id != now:
-                    now, refers, copies, first = page_id, {}, {}, False
-                if sha1 is not None:  # sorts before the page's own rows
-                    refers[sha1] = refers_to
+                page_id, own, refers_to, payload = (b.column(k)[i].as_py() for k in (0, 2, 3, 4))
+                if (page_id, own) != now:
+                    now, refers, copy = (page_id, own), None, -1
+                if payload is None:  # sorts before the records of its payload
+                    refers = refers_to
                     continue
-                payload = b.column(4)[i].as_py()
-                own = hashlib.sha1(payload).hexdigest()
-                copy = copies[own] = copies.get(own, -1) + 1
-                target = refers.get(own)
-                if target == page_id and copy == 0:
-                    target = None
+                copy += 1
+                target = None if refers == page_id and copy == 0 else refers
                 held.write(gzip.compress(make_record(page_id, b.column(1)[i].as_py(), payload, target, copy), 6, mtime=0))
                 records += 1
                 if held.tell() >= file_bytes:
@@ -166,8 +161,9 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, leas
     whole = _pages(pages)
     none = F.lit(None)
     rows = _references(whole, least).select("page_id", none.cast("string").alias("url"), "sha1", "refers_to", none.cast("binary").alias("payload"))
-    both = rows.unionByName(whole.select("page_id", "url", none.cast("string").alias("sha1"), none.cast("bigint").alias("refers_to"), "payload"))
-    ordered = both.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("sha1").asc_nulls_last(), "payload")
+    both = rows.unionByName(whole.select("page_id", "url", F.sha1("payload").alias("sha1"), none.cast("bigint").alias("refers_to"), "payload"))
+    # a page_id that repeats spreads by its payloads; a task holds one reference and one count
+    ordered = both.repartitionByRange("page_id", "sha1").sortWithinPartitions("page_id", "sha1", F.col("refers_to").asc_nulls_last(), "url")
     ordered.mapInArrow(run, _MANIFEST).write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
 

@@ -107,3 +107,23 @@ def test_threshold_empty_table_and_clashing_columns(spark):
     assert warc.round_trip(pages(spark, [])).collect() == []
     more = pages(spark, EDGE_PAGES).selectExpr("*", "1 AS sha1", "2 AS refers_to", "3 AS payload")
     assert rows_of(warc.round_trip(more)) == expected(EDGE_PAGES)
+
+
+def test_one_page_id_spreads_over_tasks(spark, tmp_path):
+    """Rows of a null id and of one repeated id, most with payloads of their own, some repeated."""
+    rows = [(None if i % 2 else 7, f"http://a/{i}", f"payload {i // 2 % 900}") for i in range(4000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
+    folder = str(tmp_path / "warc")
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # would join ranges as small as these
+    spark.conf.set(merge, False)
+    try:
+        manifest = warc.write_warc(pages, folder, file_bytes=1 << 12)
+    finally:
+        spark.conf.unset(merge)
+    assert manifest.select("part").distinct().count() > 2
+    got = warc.read_warc(spark, folder).collect()
+    assert len(got) == len(rows)
+    # of each payload one record of id 7 is the response, all others (the null id's too) refer to it
+    assert sum(r.record_type == "response" for r in got) == 900
+    assert all(r.page_id == 7 for r in got if r.record_type == "response")
+    assert all(r.refers_to == 7 for r in got if r.record_type == "revisit")
