@@ -63,11 +63,10 @@ def test_no_job_is_added(spark):
         getattr(t, name).write.parquet(f"{root}/{name}")
     t = read_parquet_tables(spark, root, duplicates="ignore")
     for name in ("region_revenue_arpu", "mrr_by_plan", "churn_cohort_curve", "feature_stickiness"):
-        watched = Quality().watch(t)
-        plain, counting = (REGISTRY[name].run(x) for x in (t, watched))
-        plain.collect()  # code is compiled and files are listed
+        REGISTRY[name].run(t).collect()  # code is compiled and files are listed
+        # frames of their own: one that has run keeps its stages
+        plain, counting = (REGISTRY[name].run(x) for x in (t, Quality().watch(t)))
         assert jobs(spark, counting.collect) <= jobs(spark, plain.collect) + 1, name  # the key window is a stage of its own
-        assert jobs(spark, counting.collect) < jobs(spark, plain.collect) + 2, name
 
 
 def test_every_analysis_keeps_its_result(spark):
