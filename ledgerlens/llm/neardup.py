@@ -1,8 +1,11 @@
 """Near duplicates: n-gram Jaccard join by rare-first prefix filtering.
 
 Rows with the same set of word shingles form one class. The shingles of a class are put in one
-global order, rare ones first: the most frequent shingles (a bounded table counted over the
-whole corpus) last by their count, all others before them by their hash. Two sets of Jaccard
+global order, rare ones first. Every shingle is counted, once for each class of a group of texts, in a
+table of ``SKETCH`` cells by its hash; a shingle's place is that of its cell by count, then its
+hash. So a passage spread one per group over many groups comes late. Those that classes of one
+group share also have counts of their own, and the ``FREQUENT`` largest of these come last of
+all. (Any global order gives the same links; only work depends on it.) Two sets of Jaccard
 similarity ``percent`` / 100 share a shingle in their first n - ceil(percent * n / 100) + 1
 places, so classes are joined on those prefix shingles.
 
@@ -43,6 +46,7 @@ from .text import LOWER, NON_SPACE, U64, hash_words, mix, string_chunks, window_
 GRAM = 5
 PERCENT = 80
 FREQUENT = 1 << 17  # entries of the table of frequent shingles: 1 MB, whatever the corpus
+SKETCH = 1 << 18  # cells in which all shingles are counted: 2 MB, whatever the corpus
 COUNTED = 3_000_000  # shingles of a group of texts that are counted together in a task
 CROWD = 3  # members from which a group of texts sends one row for a shingle, and a list has rounds
 HEADS = (1, 3)  # rounds of pairing each list with one member, by one of 2, then of 4 hashes
@@ -51,6 +55,8 @@ CELLS = 512  # parity bits of the suffix filter
 PARITY = [f"p{k}" for k in range(CELLS // 64)]
 CROWD_LEAD = 1 << 31  # bit of ``np`` of a row that stands for a crowd
 _TOP = U64(1 << 63)
+_LOW_BITS = U64(64 - (SKETCH.bit_length() - 1))
+_LOW = (U64(1) << _LOW_BITS) - U64(1)
 
 
 def shingle_sets(column: pa.Array, gram: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
@@ -73,25 +79,33 @@ def shingle_sets(column: pa.Array, gram: int) -> Iterator[tuple[int, int, list[n
         yield lo, hi, sets, mix(sums[ends] - sums[ends - sizes] + sizes.astype(U64))
 
 
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> _LOW_BITS).astype(np.int64)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def _profiles(docs: DataFrame, gram: int) -> DataFrame:
-    """doc_id, text key, set size, class and parity words of every row; and rows without these,
-    with the shingles that more than one class of a group of texts has, and their counts."""
-    names = ["doc_id", "tk", "n", "sig", *PARITY, "hot", "times"]
+    """doc_id, text key, set size, class and parity words of every row; and rows without these:
+    the shingles that more than one class of a group of texts has with their counts, and a
+    task's counts of all shingles by cell."""
+    names = ["doc_id", "tk", "n", "sig", *PARITY, "hot", "times", "cells"]
+    lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         total = 0
+        cells = np.zeros(SKETCH, np.int64)
+        none = [pa.nulls(1, pa.int64())] * (4 + len(PARITY))
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate([*held.values()]), return_counts=True)
+            cells[:] += np.bincount(np.repeat(_cell(found), times), minlength=SKETCH)
             often = times > 1
-            lists = pa.list_(pa.int64())
-            none = [pa.nulls(1, pa.int64())] * (4 + len(PARITY))
-            return pa.RecordBatch.from_arrays([*none, pa.array([found[often].view(np.int64)], lists), pa.array([times[often]], lists)], names)
+            shared = [pa.array([found[often].view(np.int64)], lists), pa.array([times[often]], lists)]
+            return pa.RecordBatch.from_arrays([*none, *shared, pa.nulls(1, lists)], names)
 
         for b in batches:
             for lo, hi, sets, sig in shingle_sets(b.column(2), gram):
@@ -101,8 +115,8 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
                 odd = np.bincount(own * CELLS + cell, minlength=(hi - lo) * CELLS).reshape(hi - lo, CELLS) & 1
                 parity = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 known = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(sizes), _signed(sig)]
-                none = [pa.nulls(hi - lo, pa.list_(pa.int64()))] * 2
-                yield pa.RecordBatch.from_arrays([*known, *[pa.array(parity[:, k]) for k in range(len(PARITY))], *none], names)
+                blank = [pa.nulls(hi - lo, lists)] * 3
+                yield pa.RecordBatch.from_arrays([*known, *[pa.array(parity[:, k]) for k in range(len(PARITY))], *blank], names)
                 for s, c in zip(sets, sig.tolist(), strict=True):
                     if c not in held:
                         held[c] = s
@@ -112,8 +126,10 @@ def _profiles(docs: DataFrame, gram: int) -> DataFrame:
                     held, total = {}, 0
         if held:
             yield counted()
+        if cells.any():
+            yield pa.RecordBatch.from_arrays([*none, *[pa.nulls(1, lists)] * 2, pa.array([cells], lists)], names)
 
-    kinds = [f"{n} bigint" for n in names[:-2]] + ["hot array<bigint>", "times array<bigint>"]
+    kinds = [f"{n} bigint" for n in names[:-3]] + [f"{n} array<bigint>" for n in names[-3:]]
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
@@ -125,7 +141,18 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return top["h"].to_numpy()[::-1].copy().view(U64)
 
 
-def _prefix_rows(docs: DataFrame, frequent: np.ndarray, gram: int, percent: int) -> DataFrame:
+def _cell_order(profiles: DataFrame) -> np.ndarray:
+    """Place of each cell by its count over all texts, rare ones first."""
+    cells = profiles.where("cells IS NOT NULL").select(F.posexplode("cells").alias("cell", "c"))
+    count = cells.groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    total = np.zeros(SKETCH, np.int64)
+    total[count["cell"].to_numpy()] = count["c"].to_numpy()
+    place = np.empty(SKETCH, np.uint32)
+    place[np.argsort(total, kind="stable")] = np.arange(SKETCH)
+    return place
+
+
+def _prefix_rows(docs: DataFrame, frequent: np.ndarray, cells: np.ndarray, gram: int, percent: int) -> DataFrame:
     """Rows of prefix shingles: key (the shingle), sig, np (set size and place in the prefix).
     Where ``CROWD`` or more classes of a group of texts have a shingle, one of them has a row
     and all of them are listed in ``more`` (one further row per group of texts)."""
@@ -142,7 +169,7 @@ def _prefix_rows(docs: DataFrame, frequent: np.ndarray, gram: int, percent: int)
                 parts, places = [], []
                 for i in one.tolist():
                     s = sets[i]
-                    token = s >> U64(1)
+                    token = (cells[_cell(s)].astype(U64) << _LOW_BITS | s & _LOW) >> U64(1)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         token = np.where(known[at] == s, rank[at], token)
@@ -307,15 +334,15 @@ def null_first_id(doc_id: Column) -> Column:
 
 def keep_one(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without all but one of each component (that of the smallest id);
-    rows without words all stay."""
+    rows without words all stay. Repeated rows are reduced to one within the tasks that read them
+    before they meet, so one row that is a third of the table is a few rows a task."""
     found = near_duplicates(docs, gram, percent).where("n_shingles > 0").withColumn("id0", null_first_id(F.col("doc_id")))
     kept = found.groupBy("component").agg(F.min(F.struct("id0", "tk")).alias("x")).select("x.*")
     names = [f"c{i}" for i in range(len(docs.columns))]
     key = [null_first_id(F.col("doc_id")).alias("id0"), F.xxhash64("text").alias("tk"), "*"]
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(has_words).select(*key).toDF("id0", "tk", *names).join(kept, ["id0", "tk"])
-    once = Window.partitionBy("id0", "tk").orderBy("id0")  # a repeated row stays once
-    rows = rows.withColumn("nth", F.row_number().over(once)).where("nth = 1").select(*names)
+    once = docs.where(has_words).select(*key).toDF("id0", "tk", *names).dropDuplicates(["id0", "tk"])
+    rows = once.join(kept, ["id0", "tk"]).select(*names)
     return rows.unionAll(docs.where(~has_words).toDF(*names)).toDF(*docs.columns)
 
 
@@ -325,10 +352,10 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
     stored = cut(spark, _profiles(keyed, gram), "profiles")
-    frequent = _frequent(stored)
+    frequent, cells = _frequent(stored), _cell_order(stored)
     profiles = stored.where("n IS NOT NULL")
     light = profiles.where("n > 0").select("sig", "n", *PARITY).dropDuplicates(["sig"])
-    shared = cut(spark, _shared_prefixes(_prefix_rows(keyed, frequent, gram, percent), percent), "prefixes")
+    shared = cut(spark, _shared_prefixes(_prefix_rows(keyed, frequent, cells, gram, percent), percent), "prefixes")
 
     lists, groups, done = shared.withColumn("label", F.col("sig")), None, None
     for turn in range(len(HEADS) + 1):

@@ -1,7 +1,9 @@
 import re
 
+import pyarrow as pa
 import pytest
 from llm_cases import EDGE, documents, fetch, rows_of, sentence
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import neardup
 from ledgerlens.llm.components import components
@@ -91,3 +93,28 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in range(200, 260)} | {7: 7, 1: 1, 2: 1, 3: 1}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_a_passage_of_one_document_a_task_is_no_rare_one(spark):
+    """Every shingle is counted: one that no two texts of a task share comes after the others all the same."""
+    passage = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(40)) + " " + passage) for i in range(24)]
+    docs = documents(spark, rows).repartitionByRange(24, "doc_id").select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    profiles = neardup._profiles(docs, 5).cache()
+    place = neardup._cell_order(profiles)
+    (_, _, sets, _), *_ = neardup.shingle_sets(pa.array([passage]), 5)
+    cells = set(neardup._cell(sets[0]).tolist())
+    assert {int(c) for c in place.argsort()[-len(cells) :]} == cells
+    counts = profiles.where("cells IS NOT NULL").select(F.posexplode("cells").alias("cell", "c")).groupBy("cell").agg(F.sum("c").alias("c"))
+    assert counts.agg(F.sum("c")).first()[0] == 24 * (52 - 4)  # each shingle of each text, once
+    assert {r.cell: r.c for r in counts.where("c > 2").collect()} == {c: 24 for c in cells}
+
+
+def test_keep_one_of_a_row_that_is_repeated_in_every_task(spark):
+    hot = sentence(3, 80)
+    rows = [(7, hot)] * 60 + [(None, hot + " x")] * 5 + [(i, sentence(1000 + i, 60)) for i in range(20)] + [(3, ""), (3, ""), (None, None)]
+    kept = neardup.keep_one(documents(spark, rows).repartition(6))
+    low = [(None, hot + " x")]  # a null id counts as the smallest
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(low + rows[65:], key=repr)
+    aggregates = str(kept._jdf.queryExecution().sparkPlan()).count("partial_first")
+    assert aggregates  # repeated rows are reduced before the shuffle
