@@ -163,13 +163,15 @@ def test_the_model_does_not_depend_on_table_size_or_spelling(spark):
     n = 60_000
     letters = [F.substring(F.lit("bcdfghjklm"), (F.col("id") / 10**k).cast("bigint").cast("int") % 10 + 1, 1) for k in range(5)]
     counts = spark.range(n).select(F.concat(F.lit("q"), *letters).alias("word"), F.lit(1).cast("bigint").alias("count"))
-    small, large = uf._model(counts), uf._model(counts.withColumn("count", F.col("count") * 10))
+    (small, _), (large, _) = uf._model(counts), uf._model(counts.withColumn("count", F.col("count") * 10))
     assert len(small.log_p) == n + len(uf.SEEDS)
     assert set(small.log_p) == set(large.log_p) and all(math.isclose(p, large.log_p[w]) for w, p in small.log_p.items())
     assert small.word("unheardof") == large.word("unheardof")
     common = spark.createDataFrame([("spam", 5_000_000), ("rare", 4), ("word", 6)], "word string, count bigint")
-    model = uf._model(common)
+    model, others = uf._model(common)
     assert "word" in model.log_p and "rare" not in model.log_p
+    assert [tuple(r) for r in others.collect()] == [("rare", 4)]  # not held by tasks, but a word
+    assert math.isclose(math.exp(model.plus([{"word": "rare", "count": 4}]).log_p["rare"]) * model.total, 4)
     assert math.isclose(math.exp(model.log_p["word"]) * (5_000_010 + 5_000_000 * (len(uf.SEEDS) - 1)), 6)
 
 
@@ -189,3 +191,15 @@ def test_empty_table_and_clashing_columns(spark):
     assert uf.judge(pages(spark, [])).collect() == []
     more = pages(spark, URLS).selectExpr("*", "1 AS host", "2 AS path", "3 AS verdict")
     assert rows_of(uf.judge(more)) == rows_of(uf.judge(pages(spark, URLS)))
+
+
+def test_rare_words_come_through_the_join(spark):
+    """With nearly all words in the table of rare ones, the model and every score are the same."""
+    given = [url for _, url in fetch("pages", "page_id, url", "/root/testdata/sf0.01")]
+    given += URLS + [f"http://www.{a}{b}.com/{b}garden/{i}" for i, (a, b) in enumerate((a, b) for a in ("spam", "moon", "cheap") for b in ("farm", "pills", "light"))]
+    table = pages(spark, given).repartition(5)
+    held, joined = (uf.train(hosts_and_paths(spark, given), share) for share in (1e-9, 0.05))
+    assert held.rare is None and joined.rare.count() > 20 and len(joined.words.log_p) < len(held.words.log_p)
+    assert held.odds == joined.odds and held.prior == joined.prior
+    assert {r.word for r in joined.rare.collect()} | set(joined.words.log_p) == set(held.words.log_p)
+    assert rows_of(uf.judge(table, held)) == rows_of(uf.judge(table, joined))
